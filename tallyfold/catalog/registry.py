@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyfold.catalog import figures
+from tallyfold.catalog import cleaning, figures, profiles
 from tallyfold.catalog.base import Query
 
-MODULES = (figures,)
+MODULES = (figures, profiles, cleaning)
 
 
 def queries() -> dict[str, Query]:
