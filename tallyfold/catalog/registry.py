@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyfold.catalog import cleaning, figures, profiles
+from tallyfold.catalog import cleaning, figures, profiles, relationships, tables, texts
 from tallyfold.catalog.base import Query
 
-MODULES = (figures, profiles, cleaning)
+MODULES = (figures, profiles, cleaning, tables, relationships, texts)
 
 
 def queries() -> dict[str, Query]:

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Formats tried in this order. The second list is the one where day and month may swap.
+# Accepted date texts. Each shape is matched first, so that a format is only ever tried on
+# text it fits; failed parse attempts are what makes date detection slow. ISO texts take Spark's own cast.
+ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 PLAIN_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "yyyyMMdd",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^(19|20)\d{2}(0[1-9]|1[0-2])([0-2]\d|3[01])$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+]
+_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+MONTH_FIRST_FORMATS = [
+    (rf"^{_MONTH}/{_DAY}/\d{{4}}$", "M/d/yyyy"),
+    (rf"^{_MONTH}-{_DAY}-\d{{4}}$", "M-d-yyyy"),
+    (rf"^{_MONTH}\.{_DAY}\.\d{{4}}$", "M.d.yyyy"),
+    (rf"^{_MONTH}/{_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}$", "M/d/yyyy H:mm"),
+    (rf"^{_MONTH}/{_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$", "M/d/yyyy H:mm:ss"),
+]
+DAY_FIRST_FORMATS = [
+    (rf"^{_DAY}/{_MONTH}/\d{{4}}$", "d/M/yyyy"),
+    (rf"^{_DAY}-{_MONTH}-\d{{4}}$", "d-M-yyyy"),
+    (rf"^{_DAY}\.{_MONTH}\.\d{{4}}$", "d.M.yyyy"),
+    (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}$", "d/M/yyyy H:mm"),
+    (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$", "d/M/yyyy H:mm:ss"),
 ]
-MONTH_FIRST_FORMATS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy"]
-DAY_FIRST_FORMATS = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
 
 # Strftime letters and the matching date_format letters.
 STRFTIME = {
@@ -48,9 +57,11 @@ def parse_date(column: Column, day_first: bool = False) -> Column:
     """Text to timestamp; the preferred day/month order is tried first, the other one next."""
     swapped = DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
     text = F.trim(column)
-    # Every format but the month-name ones starts with a digit: anything else skips the parse attempts.
-    dated = text.rlike(r"^(\d|[A-Za-z]{3,9} \d)")
-    return F.when(dated, F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in PLAIN_FORMATS + swapped]))
+    shapes = F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp"))
+    for shape, pattern in PLAIN_FORMATS + swapped:
+        shapes = shapes.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    # Dates are short and hold a digit; other texts skip all shapes.
+    return F.when((F.length(text) <= 40) & text.rlike(r"\d"), shapes)
 
 
 def parse_with(column: Column, strftime_format: str) -> Column:
