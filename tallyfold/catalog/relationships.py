@@ -32,17 +32,26 @@ LINKED = """o AS (SELECT *, CASE WHEN o_totalprice > 400000 THEN 'large' WHEN o_
   CASE WHEN o_orderkey % 4 = 0 THEN 'a' WHEN o_totalprice > 250000 THEN 'a' ELSE 'b' END AS half FROM orders)"""
 
 
+PRICED = {
+    "l_quantity": "l_quantity",
+    "l_extendedprice": "l_extendedprice",
+    "net": "l_extendedprice * (1 - l_discount)",
+    "unsold": "60 - l_quantity",
+}
+
+
 @REG.add(
     "pearson_pairs",
-    " UNION ALL ".join(
+    f"WITH t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in PRICED.items())} FROM lineitem) "
+    + " UNION ALL ".join(
         f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(abs(corr({a}, {b})), 3) AS strength,
-        CASE WHEN corr({a}, {b}) > 0 THEN 'positive' ELSE 'negative' END AS direction FROM lineitem HAVING abs(corr({a}, {b})) > 0.5"""
-        for a, b in combinations(["l_quantity", "l_extendedprice", "l_discount"], 2)
+        CASE WHEN corr({a}, {b}) > 0 THEN 'positive' ELSE 'negative' END AS direction FROM t HAVING abs(corr({a}, {b})) > 0.5"""
+        for a, b in combinations(PRICED, 2)
     ),
 )
 def pearson_pairs(spark, folder):
-    found = stats.pearson_pairs(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return found.select("col_a", "col_b", "strength", "direction")
+    lines = table(spark, folder, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in PRICED.items()])
+    return stats.pearson_pairs(lines, list(PRICED)).select("col_a", "col_b", "strength", "direction")
 
 
 def _rank(c: str) -> str:

@@ -25,7 +25,7 @@ from tallyfold.operators.profile import (
 )
 from tallyfold.operators.roles import category, column_facts
 from tallyfold.plans.freq import modes
-from tallyfold.plans.ordering import POSITION, carried, with_position
+from tallyfold.plans.ordering import POSITION, carried, staged, with_position
 from tallyfold.plans.quantiles import quantiles
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
 
@@ -258,11 +258,19 @@ def interpolate(
     rows = row_count(df)
     columns = [c for c in df.columns if c not in keys and c not in order_by]
     numbers = [c for c in numeric_columns(df) if c in columns]
-    placed = with_position(without_nan(df), order_by, rows, keys, scale)
-    marks = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(f"`{c}`").alias("v"), F.col(POSITION).alias("p"))) for c in columns}
-    before = carried(placed, {f"_b{i}": marks[c] for i, c in enumerate(columns)}, order_by, rows, keys, scale)
+    placed = staged(with_position(without_nan(df), order_by, rows, keys, scale), rows, scale)
+    marks = {
+        c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(f"`{c}`").alias("v"), F.col(POSITION).alias("p")))
+        for c in columns
+    }
     both = carried(
-        before, {f"_a{i}": marks[c] for i, c in enumerate(columns)}, order_by, rows, keys, scale, forward=False
+        placed,
+        {f"_b{i}": marks[c] for i, c in enumerate(columns)},
+        order_by,
+        rows,
+        keys,
+        scale,
+        backward={f"_a{i}": marks[c] for i, c in enumerate(columns)},
     )
     out = {}
     for i, c in enumerate(columns):

@@ -79,10 +79,16 @@ def checked_method(facts: ColumnFacts, requested: str) -> str:
 def candidate_facts(
     df: DataFrame, target_columns: list[str] | None = None, facts: list[ColumnFacts] | None = None
 ) -> list[ColumnFacts]:
-    numbers = [c for c in numeric_columns(df) if not c.endswith(FLAG_SUFFIX)]
-    known = [f for f in (facts or column_facts(df, columns=numbers)) if f.column in numbers]
-    kept = [f for f in known if not is_outlier_excluded(f)]
-    return [f for f in kept if not target_columns or f.column in target_columns]
+    """Facts of the numeric columns that may be tested; only these columns are read."""
+    wanted = [
+        c
+        for c in numeric_columns(df)
+        if not c.endswith(FLAG_SUFFIX) and (not target_columns or c in target_columns)
+    ]
+    if not wanted:
+        return []
+    known = [f for f in (facts or column_facts(df, columns=wanted)) if f.column in wanted]
+    return [f for f in known if not is_outlier_excluded(f)]
 
 
 def fit(
@@ -95,7 +101,18 @@ def fit(
     scale: Scale = DEFAULT,
 ) -> list[Bounds]:
     """Bounds of every column worth testing. ``max_rows`` is off by default."""
-    usable = candidate_facts(df, target_columns, facts)
+    return fit_columns(df, candidate_facts(df, target_columns, facts), method, threshold, max_rows, scale)
+
+
+def fit_columns(
+    df: DataFrame,
+    usable: list[ColumnFacts],
+    method: str,
+    threshold: float,
+    max_rows: int | None = None,
+    scale: Scale = DEFAULT,
+) -> list[Bounds]:
+    """``fit`` for columns that are already chosen."""
     if not usable:
         return []
     rows = usable[0].rows
@@ -273,7 +290,8 @@ def remove(
     if joint:
         return drop_rows(df, fit(df, method, threshold, target_columns, scale=scale), scale)
     for f in candidate_facts(df, target_columns):
-        df = drop_rows(df, fit(df, method, threshold, [f.column], scale=scale), scale)
+        current = column_facts(df, columns=[f.column])
+        df = drop_rows(df, fit_columns(df, current, method, threshold, scale=scale), scale)
     return df
 
 

@@ -8,11 +8,12 @@ few, carry the running state across. Cut points only balance the load; results d
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.plans.scale import DEFAULT, Scale
+from tallyfold.session import checkpointed
 
 CHUNK = "_chunk"
 POSITION = "_position"
@@ -126,27 +127,27 @@ def running_sum(
     scale: Scale = DEFAULT,
 ) -> DataFrame:
     """Adds the sum of ``weight`` over the earlier rows of the same key, the row itself left out."""
-    weighted = df.withColumn("_w", weight)
+    weighted = df.withColumn("_rs_w", weight)
     chunked = with_chunk(weighted, order_by, rows, scale)
     inside = (
         Window.partitionBy(*[F.col(f"`{k}`") for k in keys], CHUNK)
         .orderBy(*_order(order_by))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = F.coalesce(F.sum("_w").over(inside), F.lit(0))
+    local = F.coalesce(F.sum("_rs_w").over(inside), F.lit(0))
     if rows <= scale.direct_rows:
-        return chunked.withColumn(output, local).drop("_w", CHUNK)
-    totals = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(F.sum("_w").alias("_t"))
+        return chunked.withColumn(output, local).drop("_rs_w", CHUNK)
+    totals = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(F.sum("_rs_w").alias("_rs_t"))
     across = (
         Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
         .orderBy(CHUNK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *[F.col(f"`{k}`") for k in keys], CHUNK, F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_before")
+        *[F.col(f"`{k}`") for k in keys], CHUNK, F.coalesce(F.sum("_rs_t").over(across), F.lit(0)).alias("_rs_before")
     )
-    joined = attach(chunked.withColumn("_local", local), offsets, [*keys, CHUNK])
-    return joined.withColumn(output, F.col("_before") + F.col("_local")).drop("_w", "_t", "_before", "_local", CHUNK)
+    joined = attach(chunked.withColumn("_rs_local", local), offsets, [*keys, CHUNK])
+    return joined.withColumn(output, F.col("_rs_before") + F.col("_rs_local")).drop("_rs_w", "_rs_t", "_rs_before", "_rs_local", CHUNK)
 
 
 def with_position(
@@ -167,50 +168,55 @@ def average_ranks(freq: DataFrame, keys: list[str], rows: int, scale: Scale = DE
 
 def carried(
     df: DataFrame,
-    columns: dict[str, Column],
+    forward: dict[str, Column],
     order_by: list[str],
     rows: int,
     partition_by: list[str] | None = None,
     scale: Scale = DEFAULT,
-    forward: bool = True,
+    backward: dict[str, Column] | None = None,
     include_current: bool = True,
 ) -> DataFrame:
-    """Adds, per entry of ``columns``, the last non-null value at or before the row (``forward``) or the
-    next one at or after it, per partition key. ``include_current=False`` leaves the row itself out."""
-    keys = partition_by or []
-    prepared = df.withColumns({f"_v_{name}": expr for name, expr in columns.items()})
+    """Adds, per entry of ``forward``, the last non-null value at or before the row, and per entry of
+    ``backward`` the next one at or after it, per partition key, in one pass over the order.
+    ``include_current=False`` leaves the row itself out."""
+    keys = [F.col(f"`{k}`") for k in (partition_by or [])]
+    wanted = [(n, e, True) for n, e in forward.items()] + [(n, e, False) for n, e in (backward or {}).items()]
+    prepared = df.withColumns({f"_v_{name}": expr for name, expr, _ in wanted})
     chunked = with_chunk(prepared, order_by, rows, scale)
     edge = 0 if include_current else 1
-    base = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], CHUNK).orderBy(*_order(order_by))
-    if forward:
-        pick, inside = F.last, base.rowsBetween(Window.unboundedPreceding, -edge)
-    else:
-        pick, inside = F.first, base.rowsBetween(edge, Window.unboundedFollowing)
-    local = chunked.withColumns({f"_l_{n}": pick(F.col(f"_v_{n}"), ignorenulls=True).over(inside) for n in columns})
-    if rows > scale.direct_rows:
-        # Per chunk, the value it hands over: its last (or first) non-null one in order.
-        order = F.struct(*[F.col(f"`{c}`") for c in order_by])
-        chooser = F.max_by if forward else F.min_by
-        handed = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(
-            *[chooser(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), order)).alias(f"_e_{n}") for n in columns]
-        )
-        chain = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(CHUNK)
-        chain = (
-            chain.rowsBetween(Window.unboundedPreceding, -1)
-            if forward
-            else chain.rowsBetween(1, Window.unboundedFollowing)
-        )
-        entering = handed.select(
-            *[F.col(f"`{k}`") for k in keys],
-            CHUNK,
-            *[pick(F.col(f"_e_{n}"), ignorenulls=True).over(chain).alias(f"_c_{n}") for n in columns],
-        )
-        local = attach(local, entering, [*keys, CHUNK])
-        result = {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in columns}
-    else:
-        result = {n: F.col(f"_l_{n}") for n in columns}
-    scratch = [c for n in columns for c in (f"_v_{n}", f"_l_{n}", f"_c_{n}")]
-    return local.withColumns(result).drop(CHUNK, *scratch)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*_order(order_by))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -edge)
+    later = inside.rowsBetween(edge, Window.unboundedFollowing)
+
+    def nearest(source: str, ahead: bool, before: WindowSpec, after: WindowSpec) -> Column:
+        return F.last(source, True).over(before) if ahead else F.first(source, True).over(after)
+
+    local = chunked.withColumns({f"_l_{n}": nearest(f"_v_{n}", ahead, earlier, later) for n, _, ahead in wanted})
+    scratch = [CHUNK, *[f"{p}{n}" for n, _, _ in wanted for p in ("_v_", "_l_", "_c_")]]
+    if rows <= scale.direct_rows:
+        return local.withColumns({n: F.col(f"_l_{n}") for n, _, _ in wanted}).drop(*scratch)
+    # Per key and chunk, the values it hands on: its last non-null ones in order, or its first.
+    order = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    handed = chunked.groupBy(*keys, CHUNK).agg(
+        *[
+            (F.max_by if ahead else F.min_by)(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), order)).alias(f"_e_{n}")
+            for n, _, ahead in wanted
+        ]
+    )
+    chain = Window.partitionBy(*keys).orderBy(CHUNK)
+    past = chain.rowsBetween(Window.unboundedPreceding, -1)
+    coming = chain.rowsBetween(1, Window.unboundedFollowing)
+    entering = handed.select(
+        *keys, CHUNK, *[nearest(f"_e_{n}", ahead, past, coming).alias(f"_c_{n}") for n, _, ahead in wanted]
+    )
+    joined = attach(local, entering, [*(partition_by or []), CHUNK])
+    return joined.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n, _, _ in wanted}).drop(*scratch)
+
+
+def staged(df: DataFrame, rows: int, scale: Scale = DEFAULT) -> DataFrame:
+    """Large inputs of a second ordered step are stored once in the shared checkpoint folder, because every
+    ordered step reads its input twice: for the chunks and for what they hand on."""
+    return checkpointed(df) if rows > scale.direct_rows else df
 
 
 def with_blocks(positioned: DataFrame, size: int, before: int, after: int = 0) -> DataFrame:

@@ -99,7 +99,7 @@ def typed(df: DataFrame) -> DataFrame:
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with an optional ``tags:`` header between ``---`` lines: ``(chunk_id, text, tags)``."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     header = F.regexp_extract("value", r"(?s)^---(.*?)---", 1)
     body = F.regexp_replace("value", r"(?s)^---.*?---\s*", "")
     return files.select(
