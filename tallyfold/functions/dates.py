@@ -32,6 +32,10 @@ DAY_FIRST_FORMATS = [
     (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$", "d/M/yyyy H:mm:ss"),
 ]
 
+# How the two kinds of date text begin; other texts skip all shapes.
+SWAPPED_START = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
+PLAIN_START = r"^(\d{4}[-/]|\d{8}$|\d{1,2} [A-Z][a-z]|[A-Z][a-z]{2,8} \d)"
+
 # Strftime letters and the matching date_format letters.
 STRFTIME = {
     "%Y": "yyyy",
@@ -55,13 +59,27 @@ STRFTIME = {
 
 def parse_date(column: Column, day_first: bool = False) -> Column:
     """Text to timestamp; the preferred day/month order is tried first, the other one next."""
-    swapped = DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
     text = F.trim(column)
-    shapes = F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp"))
-    for shape, pattern in PLAIN_FORMATS + swapped:
-        shapes = shapes.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-    # Dates are short and hold a digit; other texts skip all shapes.
-    return F.when((F.length(text) <= 40) & text.rlike(r"\d"), shapes)
+    return F.when(text.rlike(SWAPPED_START), parse_swapped(text, day_first)).otherwise(parse_plain(text))
+
+
+def parse_plain(text: Column) -> Column:
+    """Texts whose day and month cannot be mistaken."""
+    iso = F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp"))
+    return F.when(text.rlike(PLAIN_START), _first_fit(iso, text, PLAIN_FORMATS))
+
+
+def parse_swapped(text: Column, day_first: bool) -> Column:
+    """Texts like 03/04/2024."""
+    month, day = MONTH_FIRST_FORMATS, DAY_FIRST_FORMATS
+    return _first_fit(None, text, day + month if day_first else month + day)
+
+
+def _first_fit(chain: Column | None, text: Column, formats: list[tuple[str, str]]) -> Column:
+    for shape, pattern in formats:
+        parsed = F.try_to_timestamp(text, F.lit(pattern))
+        chain = F.when(text.rlike(shape), parsed) if chain is None else chain.when(text.rlike(shape), parsed)
+    return chain
 
 
 def parse_with(column: Column, strftime_format: str) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.dates import java_pattern, parse_date, parse_with
+from tallyfold.functions.dates import SWAPPED_START, java_pattern, parse_date, parse_swapped, parse_with
 from tallyfold.functions.numbers import number, text_to_number, without_nan
 from tallyfold.functions.text import is_missing_token, match_key, tidy
 from tallyfold.operators import outliers
@@ -106,13 +106,13 @@ def fit_types(
     for i, c in enumerate(columns):
         cell = F.col(f"`{c}`")
         month_first = parse_with(cell, date_format) if date_format else parse_date(cell)
-        day_first = parse_date(cell, day_first=True)
+        swapped = F.trim(cell).rlike(SWAPPED_START)
+        differs = F.when(swapped, parse_swapped(F.trim(cell), True) != parse_swapped(F.trim(cell), False))
         present = cell.isNotNull()
-        both = month_first.isNotNull() & day_first.isNotNull()
         parts += [
             F.avg(F.when(present, text_to_number(cell).isNotNull().cast("int"))).alias(f"num{i}"),
             F.avg(F.when(present, month_first.isNotNull().cast("int"))).alias(f"date{i}"),
-            F.avg(F.when(both, (month_first != day_first).cast("int"))).alias(f"diff{i}"),
+            (F.count_if(differs) / F.nullif(F.count(month_first), F.lit(0))).alias(f"diff{i}"),
         ]
     row = df.agg(*parts).first()
     numbers, dates, ambiguous = [], [], []
@@ -144,17 +144,17 @@ def fit_fill(
     fill_value=None,
     column_rules: dict[str, dict] | None = None,
     columns: list[str] | None = None,
+    gaps: list[str] | None = None,
     scale: Scale = DEFAULT,
 ) -> dict[str, object]:
-    """Fill value per column with missing cells. Statistics leave out rows flagged as outliers of the same
+    """Fill value per column with missing cells (``gaps``, counted here when not given). Statistics leave out rows flagged as outliers of the same
     column. Means come from one aggregate, medians from one rank search, modes from one value count."""
     rules = column_rules or {}
     wanted = [c for c in (columns or df.columns) if not c.endswith(FLAG_SUFFIX)]
     numbers, dates = numeric_columns(df), date_columns(df)
     if not wanted:
         return {}
-    missing = df.agg(*[missing_count(df, c).alias(f"m{i}") for i, c in enumerate(wanted)]).first()
-    gaps = [c for i, c in enumerate(wanted) if missing[f"m{i}"]]
+    gaps = [c for c in wanted if c in gaps] if gaps is not None else [c for c in missing_cells(df) if c in wanted]
     values: dict[str, object] = {}
     means, medians, commonest = [], [], []
     for c in gaps:
@@ -222,22 +222,33 @@ def apply_fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.withColumns(out)
 
 
+def missing_cells(df: DataFrame) -> dict[str, int]:
+    """Missing cells of the columns that have any."""
+    row = df.agg(*[missing_count(df, c).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(df.columns) if row[f"m{i}"]}
+
+
 def fill_missing(
-    df: DataFrame, strategy: str = "auto", fill_value=None, column_rules: dict[str, dict] | None = None,
+    df: DataFrame,
+    strategy: str = "auto",
+    fill_value=None,
+    column_rules: dict[str, dict] | None = None,
+    gaps: list[str] | None = None,
     scale: Scale = DEFAULT,
-) -> DataFrame:
+) -> DataFrame:
     """Fills column after column in schema order. A ``drop`` rule removes rows first, so statistics of the
     later columns are fitted on what remains; runs of plain columns between drops are fitted together."""
     rules = column_rules or {}
+    gaps = list(missing_cells(df)) if gaps is None else gaps
     run: list[str] = []
-    for c in df.columns:
+    for c in [c for c in df.columns if c in gaps]:
         if rules.get(c, {}).get("impute", strategy) == "drop":
             if run:
-                df = apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, scale))
+                df = apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, run, scale))
             df, run = drop_missing(df, [c]), []
         else:
             run.append(c)
-    return apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, scale)) if run else df
+    return apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, run, scale)) if run else df
 
 
 def identifier_rules(df: DataFrame, mode: str = "drop", facts=None) -> dict[str, dict]:
@@ -350,13 +361,16 @@ def clean(
         out, changes["outliers"] = _clean_outliers(out, profile, scale)
         operations.append("outliers")
     rules = dict(profile.column_rules)
-    if profile.missing == "fill" and profile.identifier_rule != "none":
-        rules = {**identifier_rules(out, profile.identifier_rule), **rules}
-    missing_before = _missing_total(out)
+    gaps = missing_cells(out)
+    missing_before = sum(gaps.values())
+    if profile.missing == "fill" and profile.identifier_rule != "none" and gaps:
+        # Only columns with missing cells can be touched by the rule, so only they are examined.
+        examined = column_facts(out, columns=list(gaps))
+        rules = {**identifier_rules(out, profile.identifier_rule, examined), **rules}
     if profile.missing == "drop":
         out = drop_missing(out)
     elif profile.missing == "fill":
-        out = fill_missing(out, profile.fill_strategy, profile.fill_value, rules, scale)
+        out = fill_missing(out, profile.fill_strategy, profile.fill_value, rules, list(gaps), scale)
     elif profile.missing == "interpolate":
         out = interpolate(out, order_by, scale=scale)
     if profile.missing != "none":
@@ -398,14 +412,10 @@ def _clean_outliers(df: DataFrame, profile: Profile, scale: Scale) -> tuple[Data
     if profile.outlier_action == "cap":
         out = outliers.cap(df, hit, profile.strict_percent, scale)
     else:
-        out = outliers.flag(df, hit, scale)
+        out = outliers.flag(df, hit, scale, keep_all=True)
     return out, {"action": profile.outlier_action, "by_column": counts}
 
 
-def _missing_total(df: DataFrame) -> int:
-    return _size_and_missing(df)[1]
-
-
 def _size_and_missing(df: DataFrame) -> tuple[int, int]:
     total = sum((missing_count(df, c) for c in df.columns), F.lit(0))
     row = df.agg(F.count(F.lit(1)).alias("rows"), total.alias("missing")).first()

@@ -237,10 +237,11 @@ def _without_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_lof_")])
 
 
-def flag(df: DataFrame, bounds: list[Bounds], scale: Scale = DEFAULT) -> DataFrame:
-    """Adds ``<column>_outlier`` for every column in which something was found."""
+def flag(df: DataFrame, bounds: list[Bounds], scale: Scale = DEFAULT, keep_all: bool = False) -> DataFrame:
+    """Adds ``<column>_outlier`` for every column in which something was found; ``keep_all`` spares that
+    look and flags all given columns."""
     ready = prepared(df, bounds, scale)
-    hit = {b.column for b in bounds if b.column in _columns_with_hits(ready, bounds)}
+    hit = {b.column for b in bounds} if keep_all else _columns_with_hits(ready, bounds)
     return _without_helpers(
         ready.withColumns({f"{b.column}{FLAG_SUFFIX}": mask(ready, b) for b in bounds if b.column in hit})
     )
