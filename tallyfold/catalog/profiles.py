@@ -9,6 +9,7 @@ from tallyfold.catalog.figures import DESCRIBE_DIGITS, _describe_sql
 from tallyfold.operators import profile, relations, roles, stats
 from tallyfold.operators.outliers import fit, outlier_counts
 from tallyfold.operators.merge import replace_by_key
+from tallyfold.plans.freq import side_by_side
 from tallyfold.sources.readers import read_table
 
 REG = Registry()
@@ -106,7 +107,7 @@ def quality_score(spark, folder):
     found = outlier_counts(orders, fit(orders, "auto", 1.5, ["amount"]))
     share = found.agg(F.coalesce(F.sum("critical"), F.lit(0)).alias("_outliers"))
     scored = profile.quality_score(
-        report.join(F.broadcast(share)), F.col("_outliers") / F.col("row_count") * 100, F.lit(True), F.lit(1.0)
+        side_by_side(report, share), F.col("_outliers") / F.col("row_count") * 100, F.lit(True), F.lit(1.0)
     )
     return longs(scored.drop("_outliers"), "column_count")
 

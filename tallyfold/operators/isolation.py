@@ -48,9 +48,14 @@ def average_path(n: int) -> float:
 
 
 def fit_isolation(df: DataFrame, cell: Column) -> StepScore | None:
-    """Grows the forest from a seeded uniform sample: at most ``TREES * TREE_ROWS`` values reach the driver."""
+    """Grows the forest from a seeded uniform sample: at most ``TREES * TREE_ROWS`` values reach the driver.
+
+    The table is thinned to about twice that many rows before they are put in random order, so the tasks
+    together hand on no more than that either."""
     pool = df.select(cell.alias("v")).filter("v is not null")
-    drawn = pool.orderBy(F.rand(SEED)).limit(TREES * TREE_ROWS)
+    share = 2.0 * TREES * TREE_ROWS / max(pool.count(), 1)
+    thin = pool.sample(fraction=share, seed=SEED) if share < 1.0 else pool
+    drawn = thin.orderBy(F.rand(SEED)).limit(TREES * TREE_ROWS)
     values = np.sort(np.array([r["v"] for r in drawn.select("v").collect()], dtype="float64"))
     if not len(values):
         return None

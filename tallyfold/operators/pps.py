@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.numbers import number
 from tallyfold.operators.profile import numeric_columns
+from tallyfold.plans.scale import row_count
 
 # Fixed values of the definition.
 SAMPLE_ROWS = 5_000
@@ -22,6 +23,9 @@ DEPTH = 4
 LEAST_ROWS = 10
 LEAST_SCORE = 0.3
 
+# Rows that pass the hash limit, as a multiple of the sample.
+THINNED = 4
+
 RESULT = "x string, y string, ppscore double, baseline_score double, model_score double, case string"
 
 
@@ -63,7 +67,15 @@ def sampled(df: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS) -> DataF
     """At most ``rows`` rows by seeded hash of their contents, the same ones on every run; ``_row`` is the
     hash that orders them. Copies of a row share a hash, so which copies are taken makes no difference."""
     named = [F.col(f"`{c}`") for c in columns]
-    return df.select(F.xxhash64(F.lit(SEED), *named).alias("_row"), *named).orderBy("_row").limit(rows)
+    hashed = df.select(F.xxhash64(F.lit(SEED), *named).alias("_row"), *named)
+    # Smallest hashes only: a table much larger than the sample is thinned by a hash limit first, so its
+    # tasks hand on few rows. If copies crowd the hashes and too few pass, the whole table is ordered.
+    share = THINNED * rows / max(row_count(df), 1)
+    if share < 1.0:
+        few = hashed.filter(F.col("_row") <= F.lit(int(-(2**63) + share * 2**64)))
+        if few.limit(rows).count() == rows:
+            hashed = few
+    return hashed.orderBy("_row").limit(rows)
 
 
 def pps_relationships(scores: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

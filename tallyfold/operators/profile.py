@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.numbers import corrected_skew, is_whole, number, without_nan
-from tallyfold.plans.freq import distinct_counts, long_form, modes, value_counts, wide_to_rows
+from tallyfold.plans.freq import distinct_counts, long_form, modes, side_by_side, value_counts, wide_to_rows
 from tallyfold.plans.quantiles import quantiles
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
 
@@ -98,14 +98,9 @@ def structural_categories(df: DataFrame) -> DataFrame:
     open_columns = [c for c in df.columns if c not in fixed]
     if not open_columns:
         return known
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    found = (
-        distinct_counts(df, open_columns)
-        .join(F.broadcast(rows))
-        .select(
-            "column",
-            F.when(F.col("distinct") < 0.5 * F.col("rows"), "categorical").otherwise("text").alias("category"),
-        )
+    half = 0.5 * row_count(df)
+    found = distinct_counts(df, open_columns).select(
+        "column", F.when(F.col("distinct") < half, "categorical").otherwise("text").alias("category")
     )
     return known.unionByName(found)
 
@@ -142,8 +137,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         reduce(Column.__add__, [missing_count(df, c) for c in columns]).alias("missing_cells"),
     )
     cells = F.col("row_count") * F.lit(len(columns))
-    # Two one-row frames side by side.
-    return totals.join(F.broadcast(duplicate_count(df))).select(
+    return side_by_side(totals, duplicate_count(df)).select(
         "row_count",
         F.lit(len(columns)).alias("column_count"),
         "missing_cells",

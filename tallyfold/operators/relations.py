@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.profile import missing_count, text_columns
 from tallyfold.operators.roles import column_facts, is_identifier
+from tallyfold.plans.freq import side_by_side
 
 SCHEMA = (
     "col_a string, col_b string, type string, strength double, direction string, method string, insight string"
@@ -53,8 +54,7 @@ def analysis_confidence(df: DataFrame, relationships: DataFrame) -> DataFrame:
     missing = sum((missing_count(df, c) for c in df.columns), F.lit(0))
     filled = df.agg((F.lit(1) - missing / (F.count(F.lit(1)) * len(df.columns))).alias("_filled"))
     score = F.round(F.col("_mean") * 0.7 + F.col("_filled") * 0.3, 2)
-    # Two one-row frames side by side.
-    return top.join(F.broadcast(filled)).select(F.coalesce(score, F.lit(0.5)).alias("confidence"))
+    return side_by_side(top, filled).select(F.coalesce(score, F.lit(0.5)).alias("confidence"))
 
 
 def hierarchies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import source_version, tokens
-from tallyfold.functions.vectors import cosine_distance
+from tallyfold.functions.vectors import distance_to
 from tallyfold.operators.tables import latest_per_key
 
 # Fixed values of retrieval.
@@ -33,14 +33,10 @@ def lexical_topk(df: DataFrame, text: str, query: str, order_by: str, top_k: int
     return df.withColumn("score", score).orderBy(F.desc("score"), order_by).limit(top_k)
 
 
-def _literal(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in vector])
-
-
 def cosine_topk(df: DataFrame, vector: str, query: list[float], order_by: str, top_k: int = 8) -> DataFrame:
-    """Nearest rows by exact cosine distance; the query vector is a literal."""
-    distance = cosine_distance(F.col(vector), _literal(query))
-    return df.withColumn("distance", distance).orderBy("distance", order_by).limit(top_k)
+    """Nearest rows by exact cosine distance; rows whose vector has another length are left out."""
+    distance = distance_to(F.col(vector), query)
+    return df.withColumn("distance", distance).filter("distance is not null").orderBy("distance", order_by).limit(top_k)
 
 
 def diverse_topk(
@@ -66,7 +62,7 @@ def topic_topk(
             F.struct(
                 F.lit(name).alias("topic"),
                 F.lit(k).alias("_k"),
-                cosine_distance(F.col(vector), _literal(query)).alias("distance"),
+                distance_to(F.col(vector), query).alias("distance"),
             ),
         )
         for name, query, kind, k in topics

@@ -216,8 +216,7 @@ def kruskal_pairs(
     counted = _group_cells(df, pairs, True).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy("pair", "a").agg(F.sum("n").alias("size"))
     usable = sizes.filter("size >= 2")
-    # Categories have at most a few dozen groups; one row per pair and group.
-    kept = counted.join(usable.select("pair", "a"), ["pair", "a"], "left_semi")
+    kept = attach_skewed(counted, usable, ["pair", "a"], "size", rows * len(pairs), scale).drop("size")
     values = kept.groupBy("pair", F.col("b").alias("value")).agg(F.sum("n").alias("n"))
     ranks = average_ranks(values, ["pair"], rows, scale)
     group_ranks = (
@@ -250,7 +249,8 @@ def contingency(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Per pair: rows, table size, chi² with and without Yates correction, least expected-free cell count.
 
     Only occurring cells are counted. An absent cell adds exactly its expected count, so all absent cells
-    together add rows − Σ expected; no empty cells are generated."""
+    together add rows − Σ expected; no empty cells are generated. Margins are windows over counted cells;
+    the columns that ``plan_tests`` admits have at most fifty labels, so a pair has at most 2500 of them."""
     cells = _group_cells(df, pairs, False).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     by = lambda *k: Window.partitionBy(*k)
     margins = cells.select(

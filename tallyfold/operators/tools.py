@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,9 @@ SERIES_ROWS = 50
 FRAME_ROWS = 20
 PREVIEW_CHARS = 500
 
+# Correlations per aggregate: more would make its generated code too large to be compiled.
+PAIRS_PER_PASS = 300
+
 
 def filter_aggregate(
     df: DataFrame,
@@ -45,18 +49,19 @@ def describe_columns(df: DataFrame, columns: list[str] | None = None, scale: Sca
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(x, y, r)``; every pair uses the rows where both are present.
 
-    All pairs come from one aggregate over one scan; the mirror half is added afterwards."""
+    A few hundred pairs share one aggregate over one scan; the mirror half is added afterwards."""
     columns = columns or numeric_columns(df)
-    pairs = list(combinations(columns, 2))
     cells = {c: number(df, c) for c in columns}
-    wide = df.agg(
-        *[F.corr(cells[a], cells[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.when(F.var_pop(cells[c]) > 0, F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(columns)],
-    )
+    measures = [(a, b, F.corr(cells[a], cells[b])) for a, b in combinations(columns, 2)]
+    measures += [(c, c, F.when(F.var_pop(cells[c]) > 0, F.lit(1.0))) for c in columns]
     row = lambda a, b, name: F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(name).alias("r"))
-    rows = [row(*order, f"r{i}") for i, (a, b) in enumerate(pairs) for order in ((a, b), (b, a))]
-    rows += [row(c, c, f"d{i}") for i, c in enumerate(columns)]
-    return wide.select(F.inline(F.array(*rows)))
+    parts = []
+    for start in range(0, len(measures), PAIRS_PER_PASS):
+        batch = measures[start : start + PAIRS_PER_PASS]
+        wide = df.agg(*[m.alias(f"r{i}") for i, (_, _, m) in enumerate(batch)])
+        rows = [row(x, y, f"r{i}") for i, (a, b, _) in enumerate(batch) for x, y in dict.fromkeys([(a, b), (b, a)])]
+        parts.append(wide.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evaluate(df: DataFrame, expressions: dict[str, str], where: str | None = None) -> DataFrame:

@@ -81,6 +81,12 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row frames of different columns as one row, by a union and a maximum instead of a keyless join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in stacked.columns])
+
+
 def wide_to_rows(wide: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
     """Turns a one-row aggregate with names ``<field>|<i>`` into one row per column.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.plans.ordering import attach, running_sum
+from tallyfold.plans.ordering import attach_skewed, running_sum
 from tallyfold.plans.scale import DEFAULT, Scale
 
 
@@ -63,13 +63,14 @@ def quantiles(
 def _narrow(base: DataFrame, open_ranges: dict, scale: Scale) -> tuple[dict, dict]:
     """One round: bin the values of the open intervals and pick, per wanted rank, the bin holding it."""
     intervals = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in open_ranges.items()})
+    bins = max(16, min(scale.bins, scale.collected // len(intervals)))
     cells = []
     for number, (i, lo, hi) in enumerate(intervals):
         value = F.col(f"c{i}")
         if hi > lo:
             # Halves keep the width finite for intervals as wide as the double range.
             share = (value / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
-            bin_no = F.least(F.floor(share * scale.bins), F.lit(scale.bins - 1)).cast("int")
+            bin_no = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
         else:
             bin_no = F.lit(0)
         cells.append(
@@ -83,7 +84,7 @@ def _narrow(base: DataFrame, open_ranges: dict, scale: Scale) -> tuple[dict, dic
         .groupBy("cell.interval", "cell.bin")
         .agg(F.count(F.lit(1)).alias("n"), F.min("cell.value").alias("lo"), F.max("cell.value").alias("hi"))
     )
-    # At most bins × open intervals rows, whatever the data.
+    # At most ``scale.collected`` rows, whatever the data.
     table: dict[int, list] = {}
     for row in counted.orderBy("interval", "bin").collect():
         table.setdefault(row["interval"], []).append(row)
@@ -111,12 +112,13 @@ def group_quantile(
         return base.groupBy(*named).agg(F.percentile("value", F.lit(prob)).alias(output))
     counted = base.groupBy(*named, "value").agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy(*named).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("_size"))
+    filled = sizes.filter("_size is not null")
     ranked = running_sum(counted.filter("value is not null"), keys, ["value"], F.col("n"), rows, "_below", scale)
     at = (F.col("_size") - 1) * F.lit(prob)
     low, high = F.floor(at), F.ceil(at)
     end = F.col("_below") + F.col("n")
     picked = (
-        attach(ranked, sizes, keys)
+        attach_skewed(ranked, filled, keys, "_size", rows, scale)
         .groupBy(*named)
         .agg(
             F.max(F.when((F.col("_below") <= low) & (low < end), F.col("value"))).alias("_lo"),
