@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tallyfold.catalog.base import DAMAGED_SQL, Registry, damaged_orders, longs, rounded, table
+from tallyfold.catalog.base import DAMAGED_SQL, Registry, damaged_orders, rounded, table
 from tallyfold.operators import clean, outliers, profile, roles, scan, validate
 
 REG = Registry()
@@ -310,7 +308,17 @@ def outlier_isolation_forest(spark, folder):
     return _cells(spark, folder, "isolation_forest").select("event_id", "value")
 
 
-@REG.add("outlier_lof")
+LOF = """WITH p AS (SELECT value AS x, row_number() OVER (ORDER BY value, event_id) AS i FROM events WHERE value IS NOT NULL),
+  g AS (SELECT a.i, b.i AS j, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x), b.i) AS r
+        FROM p a JOIN p b ON b.i BETWEEN a.i - 20 AND a.i + 20 AND b.i <> a.i),
+  n AS (SELECT * FROM g WHERE r <= 20), k AS (SELECT i, max(d) AS kd FROM n GROUP BY 1),
+  l AS (SELECT n.i, 1 / (avg(greatest(n.d, k.kd)) + 1e-10) AS lrd FROM n JOIN k ON k.i = n.j GROUP BY 1),
+  f AS (SELECT n.i, avg(o.lrd) / max(s.lrd) AS lof FROM n JOIN l o ON o.i = n.j JOIN l s ON s.i = n.i GROUP BY 1),
+  v AS (SELECT p.x FROM f JOIN p ON p.i = f.i GROUP BY 1 HAVING avg(lof) > 1.5)
+  SELECT event_id, value FROM events WHERE value IN (SELECT x FROM v)"""
+
+
+@REG.add("outlier_lof", LOF)
 def outlier_lof(spark, folder):
     return _cells(spark, folder, "lof").select("event_id", "value")
 

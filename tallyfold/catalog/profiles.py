@@ -9,6 +9,7 @@ from tallyfold.catalog.figures import DESCRIBE_DIGITS, _describe_sql
 from tallyfold.operators import profile, relations, roles, stats
 from tallyfold.operators.outliers import fit, outlier_counts
 from tallyfold.operators.merge import replace_by_key
+from tallyfold.operators.tables import preview
 from tallyfold.plans.freq import side_by_side
 from tallyfold.sources.readers import read_table
 
@@ -31,7 +32,7 @@ def scan_lineitem(spark, folder):
 @REG.add("preview_orders", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50")
 def preview_orders(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    return orders.orderBy("o_orderkey").limit(50)
+    return preview(orders, ["o_orderkey"])
 
 
 @REG.add(

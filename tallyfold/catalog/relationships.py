@@ -199,13 +199,37 @@ def detect_relationships(spark, folder):
     return rounded(found.select("col_a", "col_b", "type", "strength", "strength_label"), strength=6)
 
 
-@REG.add("detect_relationships_merged")
+def _union(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {p}" for p in parts)
+
+
+ACROSS = f"""WITH {LINKED}, k AS ({_union([_kruskal_sql(c, "o_totalprice", "o") for c in ("size", "rich", "half")])}),
+  c AS ({_union([_chi_sql(a, b, "o") for a, b in (("size", "rich"), ("size", "half"), ("rich", "half"))])}),
+  r AS (SELECT col_a, col_b, 'categorical_to_numeric' AS type, round(eta_squared, 6) AS strength, 'kruskal_wallis' AS method FROM k
+        UNION ALL SELECT col_a, col_b, 'categorical_association', round({CORRECTED}, 6), 'chi_square' FROM c)"""
+
+
+@REG.add(
+    "detect_relationships_merged",
+    ACROSS
+    + """ SELECT 'prices' AS dataset, * FROM r WHERE col_a = 'size' AND col_b = 'o_totalprice'
+          UNION ALL SELECT 'groups', * FROM r WHERE col_a = 'rich' AND col_b = 'half' UNION ALL SELECT 'merged', * FROM r""",
+)
 def detect_relationships_merged(spark, folder):
     orders = linked(spark, folder)
     a = orders.select("o_orderkey", "size", "o_totalprice")
     b = orders.select("o_orderkey", "rich", "half")
     found = stats.detect_across([("prices", a), ("groups", b), ("prices", a)])
-    return found.select("dataset", "col_a", "col_b", "type", "strength", "method")
+    return rounded(found.select("dataset", "col_a", "col_b", "type", "strength", "method"), strength=6)
+
+
+@REG.add(
+    "relationship_sections",
+    ACROSS + " SELECT type, count(*) AS relationships, max(strength) AS strongest FROM r GROUP BY 1",
+)
+def relationship_sections(spark, folder):
+    found = stats.detect_relationships(linked(spark, folder).drop("o_orderkey"))
+    return rounded(stats.relationship_sections(found), strongest=6)
 
 
 @REG.add("pps_matrix")

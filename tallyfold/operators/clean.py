@@ -99,12 +99,17 @@ def fit_types(
     df: DataFrame, number_rate: float = NUMBER_RATE, date_rate: float = DATE_RATE, date_format: str | None = None
 ) -> TypePlan:
     """Measures, in one scan of the text columns, how many cells parse as numbers and as dates."""
-    columns = [c for c in text_columns(df) if not c.endswith(FLAG_SUFFIX)]
-    if not columns:
+    cells = {c: F.col(f"`{c}`") for c in text_columns(df) if not c.endswith(FLAG_SUFFIX)}
+    if not cells:
         return TypePlan([], [], [], date_format)
+    row = df.agg(*_type_rates(cells, date_format)).first()
+    return _type_plan(row, list(cells), number_rate, date_rate, date_format)
+
+
+def _type_rates(cells: dict[str, Column], date_format: str | None) -> list[Column]:
+    """Per cell expression: shares of numbers and of dates, and how often the day/month order matters."""
     parts = []
-    for i, c in enumerate(columns):
-        cell = F.col(f"`{c}`")
+    for i, cell in enumerate(cells.values()):
         month_first = parse_with(cell, date_format) if date_format else parse_date(cell)
         swapped = F.trim(cell).rlike(SWAPPED_START)
         differs = F.when(swapped, parse_swapped(F.trim(cell), True) != parse_swapped(F.trim(cell), False))
@@ -114,7 +119,10 @@ def fit_types(
             F.avg(F.when(present, month_first.isNotNull().cast("int"))).alias(f"date{i}"),
             (F.count_if(differs) / F.nullif(F.count(month_first), F.lit(0))).alias(f"diff{i}"),
         ]
-    row = df.agg(*parts).first()
+    return parts
+
+
+def _type_plan(row, columns: list[str], number_rate: float, date_rate: float, date_format: str | None) -> TypePlan:
     numbers, dates, ambiguous = [], [], []
     for i, c in enumerate(columns):
         if (row[f"num{i}"] or 0) >= number_rate:
@@ -343,17 +351,25 @@ def clean(
     operations: list[str] = []
     changes: dict[str, object] = {}
     columns_before = list(df.columns)
-    rows_before = row_count(df)
     out = without_nan(df)
     if profile.strip_whitespace:
         out = clean_text(out, profile.standardize_text)
         operations.append("clean_text")
-    if text_columns(out):
-        changes["missing_tokens"] = {r["column"]: r["tokens"] for r in token_counts(out, profile.column_rules).collect()}
+    # One scan counts rows and placeholders and measures what the remaining texts parse as.
+    texts = text_columns(out)
+    cells = {c: F.when(~_token(c, profile.column_rules), F.col(f"`{c}`")) for c in texts if not c.endswith(FLAG_SUFFIX)}
+    found = out.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(_token(c, profile.column_rules)).alias(f"tok{i}") for i, c in enumerate(texts)],
+        *(_type_rates(cells, profile.date_format) if profile.fix_types else []),
+    ).first()
+    rows_before = found["rows"]
+    if texts:
+        changes["missing_tokens"] = {c: found[f"tok{i}"] for i, c in enumerate(texts) if found[f"tok{i}"]}
         out = null_tokens(out, profile.column_rules)
         operations.append("missing_tokens")
     if profile.fix_types:
-        plan = fit_types(out, profile.number_rate, date_format=profile.date_format)
+        plan = _type_plan(found, list(cells), profile.number_rate, DATE_RATE, profile.date_format)
         out = apply_types(out, plan)
         changes["types"] = {"numbers": plan.numbers, "dates": plan.dates, "ambiguous": plan.ambiguous}
         operations.append("fix_types")

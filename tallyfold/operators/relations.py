@@ -52,7 +52,7 @@ def analysis_confidence(df: DataFrame, relationships: DataFrame) -> DataFrame:
     """0.7 · mean of the five strongest + 0.3 · share of filled cells; 0.5 without relationships."""
     top = relationships.orderBy(F.desc("strength")).limit(5).agg(F.avg("strength").alias("_mean"))
     missing = sum((missing_count(df, c) for c in df.columns), F.lit(0))
-    filled = df.agg((F.lit(1) - missing / (F.count(F.lit(1)) * len(df.columns))).alias("_filled"))
+    filled = df.agg((F.lit(1) - F.try_divide(missing, F.count(F.lit(1)) * len(df.columns))).alias("_filled"))
     score = F.round(F.col("_mean") * 0.7 + F.col("_filled") * 0.3, 2)
     return side_by_side(top, filled).select(F.coalesce(score, F.lit(0.5)).alias("confidence"))
 

@@ -23,6 +23,7 @@ from tallyfold.operators.tools import correlations
 from tallyfold.plans import names as N
 from tallyfold.plans.ordering import attach_skewed, average_ranks
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
+from tallyfold.session import stored
 
 # Cut-offs of the strength words, and the least effect that is reported.
 SPEARMAN_CUTS = (0.25, 0.45, 0.70)
@@ -428,7 +429,8 @@ def detect_across(tables: list[tuple[str, DataFrame]], scale: Scale = DEFAULT) -
     parts = [detect_relationships(d, scale=scale).withColumn("dataset", F.lit(n)) for n, d in unique]
     if len(unique) > 1:
         merged, _ = merge_all(unique, count_rows=False)
-        parts.append(detect_relationships(merged, scale=scale).withColumn("dataset", F.lit("merged")))
+        # Every test reads the merge again; it is joined once.
+        parts.append(detect_relationships(stored(merged), scale=scale).withColumn("dataset", F.lit("merged")))
     return reduce(DataFrame.unionByName, parts)
 
 

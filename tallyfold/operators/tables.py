@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.numbers import without_nan
+
+
+def preview(df: DataFrame, order_by: list[str], limit: int = 50) -> DataFrame:
+    """First rows in a given order, NaN shown as null."""
+    return without_nan(df).orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(limit)
+
 
 def page(df: DataFrame, newest: str, tie: str, skip: int = 0, limit: int = 100) -> DataFrame:
     """Rows ``skip`` to ``skip + limit`` of the newest-first order; the sort is bounded by their sum."""

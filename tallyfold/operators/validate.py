@@ -94,7 +94,7 @@ def _match_report(df: DataFrame, matches) -> DataFrame:
     return df.agg(
         F.count_if(matches).alias("valid"),
         (F.count(F.lit(1)) - F.count_if(matches)).alias("invalid"),
-        F.round(F.count_if(matches) / F.count(F.lit(1)) * 100, 2).alias("validity_rate"),
+        F.round(F.try_divide(F.count_if(matches), F.count(F.lit(1))) * 100, 2).alias("validity_rate"),
     )
 
 

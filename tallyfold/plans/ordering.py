@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.plans.scale import DEFAULT, Scale
-from tallyfold.session import checkpointed
+from tallyfold.session import stored
 
 CHUNK = "_chunk"
 POSITION = "_position"
@@ -214,9 +214,9 @@ def carried(
 
 
 def staged(df: DataFrame, rows: int, scale: Scale = DEFAULT) -> DataFrame:
-    """Large inputs of a second ordered step are stored once in the shared checkpoint folder, because every
-    ordered step reads its input twice: for the chunks and for what they hand on."""
-    return checkpointed(df) if rows > scale.direct_rows else df
+    """Large inputs of a second ordered step are stored once, because every ordered step reads its input
+    twice: for the chunks and for what they hand on."""
+    return stored(df) if rows > scale.direct_rows else df
 
 
 def with_blocks(positioned: DataFrame, size: int, before: int, after: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of each expression, nulls ignored. Only the answers reach the driver.
 
-    Few rows: Spark's own ``percentile``. Many rows: rank search. Each round counts the values of every
+    Few cells: Spark's own ``percentile``, which holds the values of all columns in one task. Many: rank search. Each round counts the values of every
     still open interval in equal-width bins (bin counts combine before the shuffle, so hot values and
     skew do not matter) and keeps the bins that hold the wanted ranks, until these hold one value.
     """
@@ -25,7 +25,7 @@ def quantiles(
     rows = df.count() if rows is None else rows
     names = list(columns)
     base = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    if rows <= scale.direct_rows:
+    if rows * len(names) <= scale.direct_rows:
         found = base.agg(
             *[F.percentile(f"c{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"c{i}") for i in range(len(names))]
         ).first()

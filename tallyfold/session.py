@@ -1,9 +1,10 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings and intermediate tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +27,21 @@ def local_session(cores: str = "8", app: str = "tallyfold", shuffle_partitions:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor loses nothing.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; only a session without one
-    (tests) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``. Only a
+    session without one (tests) gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyfold-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes an intermediate table once to the shared folder and reads it from there.
+
+    Later steps start from the files, so a lost executor loses nothing, and each reads only the columns
+    it needs."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tallyfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

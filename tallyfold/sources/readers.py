@@ -22,12 +22,21 @@ def read_table(spark: SparkSession, path: str, file_type: str | None = None, **o
     if kind == "csv":
         return read_csv(spark, path, **options)
     if kind == "json":
-        return spark.read.json(path, multiLine=options.pop("multi_line", True), **options)
+        return read_json(spark, path, **options)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file type {kind}")
 
 
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, **options) -> DataFrame:
+    """JSON lines, or files holding one array of records. Lines can be split over tasks, arrays cannot; which
+    of the two it is shows in the first line unless given."""
+    if multi_line is None:
+        head = spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value").alias("line")).first()
+        multi_line = head is not None and not (head["line"].startswith("{") and head["line"].endswith("}"))
+    return spark.read.json(path, multiLine=multi_line, **options)
+
+
 def sniff_delimiter(spark: SparkSession, path: str, lines: int = SNIFF_LINES) -> str:
     """The candidate that occurs in every sampled line, most evenly and most often."""
     head = spark.read.text(path).limit(lines).filter("trim(value) <> ''")
@@ -69,14 +78,15 @@ def read_csv(
     columns decides the types (``infer``)."""
     sep = sep or sniff_delimiter(spark, path)
     reader = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"')
-    if schema is not None:
-        return reader.csv(path, schema=schema, mode="DROPMALFORMED")
-    names = reader.csv(path).columns
+    if schema is None:
+        fields = T.StructType([T.StructField(n, T.StringType()) for n in reader.csv(path).columns])
+    else:
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     # One column beyond the header catches surplus fields.
-    fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_surplus"]])
+    fields = T.StructType([*fields.fields, T.StructField("_surplus", T.StringType())])
     raw = reader.option("enforceSchema", True).csv(path, schema=fields)
     good = raw if keep_bad else raw.filter("_surplus is null").drop("_surplus")
-    return typed(good) if infer else good
+    return typed(good) if infer and schema is None else good
 
 
 def count_bad_lines(spark: SparkSession, path: str, sep: str | None = None) -> int:

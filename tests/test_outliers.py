@@ -174,3 +174,11 @@ def test_reviewed_bounds_by_selected_rows(spark):
     capped = O.apply_bounds(df, bounds, "cap", selected=selected, key=["row"])
     by_row = {r["row"]: r["v"] for r in capped.collect()}
     assert by_row[11] == 60.25 and by_row[12] == pytest.approx(bounds[0].upper)
+
+
+@pytest.mark.parametrize("method", ["iqr", "log_iqr", "mad"])
+def test_bounds_do_not_depend_on_the_size_path(spark, method):
+    values = [float(v) for v in np.random.default_rng(9).lognormal(2, 1, 300)] + [7.5] * 150
+    df = frame(spark, values)
+    plain, searched = O.fit(df, method, 1.5, ["v"])[0], O.fit(df, method, 1.5, ["v"], scale=TINY)[0]
+    assert searched.lower == pytest.approx(plain.lower) and searched.upper == pytest.approx(plain.upper)

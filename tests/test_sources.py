@@ -27,6 +27,16 @@ def test_csv_of_any_delimiter(spark, tmp_path, sep):
     assert readers.count_bad_lines(spark, str(path)) == 1
 
 
+def test_csv_with_schema_and_json_lines(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id;price\n1;2.5\n2;bad\n3;1;9\n")
+    rows = readers.read_csv(spark, str(path), ";", "id int, price double").collect()
+    assert [(r["id"], r["price"]) for r in rows] == [(1, 2.5), (2, None)]
+    lines = tmp_path / "l.json"
+    lines.write_text('{"a": 1}\n{"a": 2}\n')
+    assert readers.read_table(spark, str(lines)).count() == 2
+
+
 def test_json_array_and_unknown_type(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text(json.dumps([{"a": 1, "b": "x"}, {"a": 2, "b": None}]))
