@@ -329,8 +329,11 @@ def suggest_aggregations(spark, folder):
 @REG.add(
     "dashboard_columns",
     """WITH v AS (SELECT 'value' AS c, var_samp(value) AS v, 4 AS o FROM events UNION ALL SELECT 'user_id', var_samp(user_id), 2 FROM events),
-       m AS (SELECT c, row_number() OVER (ORDER BY v DESC, o) AS p FROM v)
-       SELECT p AS position, c AS "column" FROM m UNION ALL SELECT 3, 'event_type' UNION ALL SELECT 4, 'props' UNION ALL SELECT 5, 'ts'""",
+       m AS (SELECT c, row_number() OVER (ORDER BY v DESC, o) AS p FROM v),
+       d AS (SELECT 'event_type' AS c, 10 AS p, count(DISTINCT event_type) AS d, count(*) AS n FROM events
+             UNION ALL SELECT 'props', 11, count(DISTINCT props), count(*) FROM events),
+       a AS (SELECT c, p FROM m UNION ALL SELECT c, p FROM d WHERE d BETWEEN 2 AND 50 OR d / n < 0.05 UNION ALL SELECT 'ts', 20)
+       SELECT row_number() OVER (ORDER BY p) AS position, c AS "column" FROM a""",
 )
 def dashboard_columns(spark, folder):
     events = table(spark, folder, "events")

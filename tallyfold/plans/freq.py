@@ -17,12 +17,11 @@ def family(kind: T.DataType) -> str:
         return "whole"
     if isinstance(kind, (T.FractionalType, T.DecimalType)):
         return "fraction"
-    if isinstance(kind, T.StringType):
-        return "text"
-    return "other"
+    # Texts, and dates and booleans by their text.
+    return "text"
 
 
-_CAST = {"whole": "long", "fraction": "double", "text": "string", "other": "string"}
+_CAST = {"whole": "long", "fraction": "double", "text": "string"}
 
 
 def families(df: DataFrame, columns: list[str] | None = None) -> dict[str, list[str]]:
