@@ -23,7 +23,7 @@ from tallyfold.operators.profile import (
     numeric_columns,
     text_columns,
 )
-from tallyfold.operators.roles import category, column_facts
+from tallyfold.operators.roles import column_facts, is_identifier
 from tallyfold.plans.freq import modes
 from tallyfold.plans.ordering import POSITION, carried, staged, with_position
 from tallyfold.plans.quantiles import quantiles
@@ -154,8 +154,10 @@ def fit_fill(
     columns: list[str] | None = None,
     gaps: list[str] | None = None,
     scale: Scale = DEFAULT,
+    rows: int | None = None,
 ) -> dict[str, object]:
-    """Fill value per column with missing cells (``gaps``, counted here when not given). Statistics leave out rows flagged as outliers of the same
+    """Fill value per column with missing cells (``gaps``, counted here when not given). ``rows`` may be any
+    known upper bound of the row count. Statistics leave out rows flagged as outliers of the same
     column. Means come from one aggregate, medians from one rank search, modes from one value count."""
     rules = column_rules or {}
     wanted = [c for c in (columns or df.columns) if not c.endswith(FLAG_SUFFIX)]
@@ -186,9 +188,9 @@ def fit_fill(
         ).first()
         values.update({c: row[f"v{i}"] for i, c in enumerate(means)})
     if medians:
-        found = quantiles(df, {c: trusted[c] for c in medians}, [0.5], scale=scale)
+        found = quantiles(df, {c: trusted[c] for c in medians}, [0.5], rows, scale)
         bare = {c: number(df, c) for c in medians if found[c][0] is None}
-        found.update(quantiles(df, bare, [0.5], scale=scale))
+        found.update(quantiles(df, bare, [0.5], rows, scale))
         values.update({c: found[c][0] for c in medians})
     if commonest:
         picked = df.select(*[trusted[c].alias(c) for c in commonest])
@@ -243,6 +245,7 @@ def fill_missing(
     column_rules: dict[str, dict] | None = None,
     gaps: list[str] | None = None,
     scale: Scale = DEFAULT,
+    rows: int | None = None,
 ) -> DataFrame:
     """Fills column after column in schema order. A ``drop`` rule removes rows first, so statistics of the
     later columns are fitted on what remains; runs of plain columns between drops are fitted together."""
@@ -252,16 +255,16 @@ def fill_missing(
     for c in [c for c in df.columns if c in gaps]:
         if rules.get(c, {}).get("impute", strategy) == "drop":
             if run:
-                df = apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, run, scale))
+                df = apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, run, scale, rows))
             df, run = drop_missing(df, [c]), []
         else:
             run.append(c)
-    return apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, run, scale)) if run else df
+    return apply_fill(df, fit_fill(df, strategy, fill_value, rules, run, run, scale, rows)) if run else df
 
 
 def identifier_rules(df: DataFrame, mode: str = "drop", facts=None) -> dict[str, dict]:
     """Rules for identifier columns: drop rows without one, or fill in a fixed word."""
-    found = [f.column for f in (facts or column_facts(df)) if category(f) == "identifiers"]
+    found = [f.column for f in (facts or column_facts(df, with_dates=False)) if is_identifier(f)]
     rule = {"impute": "drop"} if mode == "drop" else {"impute": "constant", "fill_value": "Inconnu"}
     return {c: rule for c in found}
 
@@ -344,9 +347,16 @@ def standardize_dates(df: DataFrame, target_format: str | None = None) -> DataFr
 
 
 def clean(
-    df: DataFrame, profile: Profile = Profile(), order_by: list[str] | None = None, scale: Scale = DEFAULT
+    df: DataFrame,
+    profile: Profile = Profile(),
+    order_by: list[str] | None = None,
+    scale: Scale = DEFAULT,
+    count_result: bool = True,
 ) -> tuple[DataFrame, dict]:
-    """Runs the steps in their fixed order and returns the table with a report of what each step did."""
+    """Runs the steps in their fixed order and returns the table with a report of what each step did.
+
+    ``count_result=False`` leaves the counts after duplicate removal out of the report, and with them a
+    second run of the largest shuffle; a caller who writes the table can count it while writing."""
     order_by = order_by or df.columns[:1]
     operations: list[str] = []
     changes: dict[str, object] = {}
@@ -381,12 +391,12 @@ def clean(
     missing_before = sum(gaps.values())
     if profile.missing == "fill" and profile.identifier_rule != "none" and gaps:
         # Only columns with missing cells can be touched by the rule, so only they are examined.
-        examined = column_facts(out, columns=list(gaps))
+        examined = column_facts(out, columns=list(gaps), with_dates=False)
         rules = {**identifier_rules(out, profile.identifier_rule, examined), **rules}
     if profile.missing == "drop":
         out = drop_missing(out)
     elif profile.missing == "fill":
-        out = fill_missing(out, profile.fill_strategy, profile.fill_value, rules, list(gaps), scale)
+        out = fill_missing(out, profile.fill_strategy, profile.fill_value, rules, list(gaps), scale, rows_before)
     elif profile.missing == "interpolate":
         out = interpolate(out, order_by, scale=scale)
     if profile.missing != "none":
@@ -397,8 +407,8 @@ def clean(
     rows_after = rows_kept
     if profile.remove_duplicates:
         out = remove_duplicates(out, order_by, profile.duplicate_subset, profile.duplicate_keep)
-        rows_after = out.count()
-        duplicates = rows_kept - rows_after
+        rows_after = out.count() if count_result else None
+        duplicates = rows_kept - rows_after if count_result else None
         operations.append("duplicates")
     if profile.standardize_dates:
         out = standardize_dates(out, profile.target_date_format)
