@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyfold.catalog.base import Registry, table
-from tallyfold.llm import order_minhash, repeats
+from tallyfold.llm import mixing, order_minhash, packing, quality, repeats
 
 REG = Registry()
 
@@ -13,6 +13,21 @@ def op1_order_minhash(spark, folder):
     return order_minhash.near_copies(table(spark, folder, "documents"))
 
 
+@REG.add("op3_ngram_ratio")
+def op3_ngram_ratio(spark, folder):
+    return quality.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@REG.add("op5_pareto_mixing", mixing.ORACLE)
+def op5_pareto_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@REG.add("op8_square_packing")
+def op8_square_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
 @REG.add("op9_level_doubling")
 def op9_level_doubling(spark, folder):
     return repeats.digests(repeats.remove_repeats(table(spark, folder, "documents")))
