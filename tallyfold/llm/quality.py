@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000
-THRESHOLD = -0.25
+PRIOR = 20
+THRESHOLD = -0.065
 _BLANKS = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _PLACES = 24
@@ -45,24 +46,29 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> list[float]:
-    """For each bucket the log of its share in trusted documents over its share in all, one count added to each."""
-    marked = docs.select("doc_id", words().alias("words")).join(
-        F.broadcast(trusted_ids(labels, most).withColumn("trusted", F.lit(1))), "doc_id", "left"
-    )
-    hashed = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), _hashes(F.col("words")).alias("h"))
+def _marked(docs: DataFrame, labels: DataFrame, most: int, *columns: Column | str) -> DataFrame:
+    trusted = trusted_ids(labels, most).select(F.col("doc_id").alias("_trusted"))
+    on = F.col("doc_id") == F.col("_trusted")
+    return docs.join(F.broadcast(trusted), on, "left").select(*columns, F.col("_trusted").isNotNull().alias("trusted"))
+
+
+def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> tuple[list[float], list[float]]:
+    """For each bucket the log of its share in trusted documents over its share in all, as seen by an n-gram of an untrusted and of
+    a trusted document: the n-gram itself is left out of the counts. ``PRIOR`` n-grams with a ratio of one are added, so a
+    bucket rarely met says little."""
+    hashed = _marked(docs, labels, most, _hashes(words()).alias("h"))
     grams = hashed.select("trusted", F.explode(F.concat("h", _pairs("h"))).alias("gram"))
     counts = grams.groupBy(F.pmod("gram", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(
-        F.count("*").alias("raw"), F.sum("trusted").alias("good")
+        F.count("*").alias("raw"), F.count_if("trusted").alias("good")
     )
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
-    for row in counts.collect():  # one row per bucket, a fixed number
-        raw[row.bucket] += row.raw
-        good[row.bucket] += row.good
-    if sum(good) == BUCKETS:
-        return [0.0] * BUCKETS
-    base = math.log(sum(raw) / sum(good))
-    return [math.log(g / r) + base for g, r in zip(good, raw)]
+    found = [(row.bucket, row.raw, row.good) for row in counts.collect()]  # one row per bucket, a fixed number
+    trusted = sum(g for _, _, g in found)
+    scale = sum(r for _, r, _ in found) / trusted if trusted else 0.0
+    tables = ([0.0] * BUCKETS, [0.0] * BUCKETS)
+    for bucket, raw, good in found if trusted else []:
+        for own, table in enumerate(tables):
+            table[bucket] = math.log((max(good - own, 0) * scale + PRIOR) / (raw - 1 + PRIOR))
+    return tables
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
@@ -71,18 +77,18 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
 
     Null text: no words, so the base rule fails. Without trusted documents every score is 0. Rows count each by
     itself; a null ``doc_id`` is never trusted."""
-    table = F.split(F.lit(",".join(map(repr, ratios(docs, labels, most)))), ",").cast("array<double>")
+    untrusted, trusted = [F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>") for x in ratios(docs, labels, most)]
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    step = docs.select(row, words().alias("words"))
+    step = _marked(docs, labels, most, row, words().alias("words"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    step = step.select("_row", _hashes(F.col("words")).alias("h"), lines.alias("lines"))
+    step = step.select("_row", "trusted", _hashes(F.col("words")).alias("h"), lines.alias("lines"))
     h, n = F.col("h"), F.size("h")
     # Three-word windows as one sortable number each: the upper bits of their hash, then their place.
     places = F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     upper = F.lit(-(1 << _PLACES)).cast("long")
     marks = F.transform(places, lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]).bitwiseAND(upper).bitwiseOR(i.cast("long")))
-    step = step.select("_row", "h", "lines", F.sort_array(marks).alias("marks"), _pairs("h").alias("pairs"))
+    step = step.select("_row", "trusted", "h", "lines", F.sort_array(marks).alias("marks"), _pairs("h").alias("pairs"))
     s, place = F.col("marks"), lambda x: x.bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int")
 
     def same(x: Column, y: Column) -> Column:
@@ -90,16 +96,18 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
         return (x.bitwiseAND(upper) == y.bitwiseAND(upper)) & (h[a] == h[b]) & (h[a + 1] == h[b + 1]) & (h[a + 2] == h[b + 2])
 
     twice = F.filter(s, lambda x, i: F.when(i > 0, same(x, s[i - 1])).otherwise(False) | F.when(i < F.size(s) - 1, same(x, s[i + 1])).otherwise(False))
-    step = step.select("_row", "h", "lines", "pairs", F.sort_array(F.transform(twice, place)).alias("starts"))
+    step = step.select("_row", "trusted", "h", "lines", "pairs", F.sort_array(F.transform(twice, place)).alias("starts"))
     covered = F.aggregate(
         "starts",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),
         lambda acc, p: F.struct((p + 3).alias("end"), (acc["sum"] + p + 3 - F.greatest(acc["end"], p)).alias("sum")),
         lambda acc: acc["sum"],
     )
-    ratio = lambda x: table[F.pmod(x, F.lit(BUCKETS)).cast("int")]
-    total = F.aggregate("h", F.lit(0.0), lambda acc, x: acc + ratio(x))
-    total = F.aggregate("pairs", total, lambda acc, x: acc + ratio(x))
+
+    def total(table: Column) -> Column:
+        add = lambda acc, x: acc + table[F.pmod(x, F.lit(BUCKETS)).cast("int")]
+        return F.aggregate("pairs", F.aggregate("h", F.lit(0.0), add), add)
+
     grams = n + F.size("pairs")
     step = step.select(
         "_row",
@@ -108,7 +116,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
         (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.when(grams > 0, total / grams).otherwise(0.0).alias("score"),
+        F.when(grams > 0, F.when(F.col("trusted"), total(trusted)).otherwise(total(untrusted)) / grams).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

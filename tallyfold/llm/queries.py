@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyfold.catalog.base import Registry, table
-from tallyfold.llm import mixing, order_minhash, packing, quality, repeats
+from tallyfold.llm import mixing, order_minhash, packing, quality, repeats, surrogates
 
 REG = Registry()
 
@@ -31,3 +31,8 @@ def op8_square_packing(spark, folder):
 @REG.add("op9_level_doubling")
 def op9_level_doubling(spark, folder):
     return repeats.digests(repeats.remove_repeats(table(spark, folder, "documents")))
+
+
+@REG.add("op10_surrogates")
+def op10_surrogates(spark, folder):
+    return surrogates.replace(table(spark, folder, "documents"))

@@ -1,0 +1,273 @@
+"""Personal data replaced by surrogates of the same kind, in DataFrame operations only.
+
+One pattern finds the mentions. A mention becomes pieces, each plain text or an entity of one type with a canonical form, so
+that one person, number or address is the same entity however it is written. Every different entity gets one surrogate
+from a keyed digest: digits for digits, letters for letters of the same script and case, given names of the same gender, addresses in
+their own form. Entities whose surrogate another entity has, or that is itself an entity of the corpus, are numbered on and
+derived again until there are none, so different entities stay different. Only texts with a mention are moved.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyfold.llm.shared import empty, stored
+
+KEY = "surrogates"
+
+# Forms of address, given names by gender and script, syllables of made-up surnames.
+TITLES = {
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Госпожа"],
+    "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Господин"],
+    "n": ["Dr", "Prof", "Professor", "Доктор"],
+}
+GIVEN = {
+    ("f", "latin"): "Anna Clara Elena Emma Greta Helen Ines Julia Laura Lucia Maria Marta Nora Olivia Paula Rosa Sarah Sofia Teresa Vera".split(),
+    ("m", "latin"): "Adam Carlos David Emil Felix Hugo James Jean John Karl Leon Luis Marco Martin Michael Oscar Paul Peter Robert Thomas".split(),
+    ("f", "cyrillic"): "Алина Вера Дарья Елена Ирина Любовь Мария Надежда Ольга Татьяна".split(),
+    ("m", "cyrillic"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
+}
+NEUTRAL = {
+    "latin": "Alex Andrea Camille Charlie Dominique Eden Jamie Jordan Kim Robin Sam Sasha".split(),
+    "cyrillic": "Женя Саша Шура Валя".split(),
+}
+SYLLABLES = {
+    "latin": "bar ben cor dal den fal gar hol kar lan mar nor pel ros sel tan tor val wen wil".split(),
+    "cyrillic": "бар вор гал дан зор кар лан мир нор пол рин сал тар фед хол шен".split(),
+}
+ALPHABETS = {
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "cyrillic_upper": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ",
+    "cyrillic_lower": "абвгдежзиклмнопрстуфхцчшщэюя",
+    "greek_upper": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    "greek_lower": "αβγδεζηθικλμνξοπρστυφχψω",
+}
+
+_ATOM = r"\p{L}\p{N}._%+\-"
+_EMAIL = rf"(?<![{_ATOM}@])[{_ATOM}]{{1,128}}+@[\p{{L}}\p{{N}}\-]{{1,63}}+(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}+){{1,8}}"
+_SECRET_NAME = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key)"
+_SECRET = rf"(?<![\p{{L}}\p{{N}}]){_SECRET_NAME}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'<>,;]{{6,256}}"
+_CODE = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])"
+_IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
+_SOCIAL = r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
+_ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"
+_CARD = r"(?<![\p{L}\p{N}.\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\p{L}\p{N}]|[.\-]\d)"
+_PHONE = (
+    r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}"
+    r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}]|[.\-]\d)"
+)
+_ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
+_ALL_GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
+_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_ALL_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}+(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}}+)?|(?:{_ALL_GIVEN}) \p{{Lu}}[\p{{L}}'\-]{{1,40}}+)"
+PATTERN = "|".join([_EMAIL, _SECRET, _CODE, _IP, _SOCIAL, _ACCOUNT, _CARD, _PHONE, _NAME])
+
+_PIECES = "array<struct<type: string, text: string>>"
+
+
+def _piece(kind: Column | str | None, text: Column) -> Column:
+    kind = F.lit(kind).cast("string") if kind is None or isinstance(kind, str) else kind
+    return F.struct(kind.alias("type"), text.alias("text"))
+
+
+def _only(kind: str, text: Column) -> Column:
+    return F.array(_piece(kind, text))
+
+
+def _names(mention: Column) -> Column:
+    words = F.split(mention, " ")
+    title = F.regexp_replace(words[0], r"\.$", "")
+    said = reduce(lambda c, g: c.when(title.isin(TITLES[g]), g), "fm", F.when(F.lit(False), ""))
+    titled = title.isin([t for ts in TITLES.values() for t in ts])
+    known = lambda w: reduce(lambda c, k: c.when(w.isin(GIVEN[k]), k[0]), GIVEN, F.when(F.lit(False), ""))
+    given = lambda w: F.concat(F.lit("given_"), F.coalesce(said, known(w), F.lit("n")))
+    space = _piece(None, F.lit(" "))
+    return (
+        F.when(titled & (F.size(words) > 2), F.array(_piece(None, words[0]), space, _piece(given(words[1]), words[1]), space, _piece("surname", words[2])))
+        .when(titled, F.array(_piece(None, words[0]), space, _piece(F.when(known(words[1]).isNotNull(), given(words[1])).otherwise("surname"), words[1])))
+        .otherwise(F.array(_piece(given(words[0]), words[0]), space, _piece("surname", words[1])))
+    )
+
+
+def _pieces(mention: Column) -> Column:
+    """A mention as plain and private pieces; the first form that fits it whole names its type."""
+    whole = lambda p: mention.rlike(f"^(?:{p})$")
+    lead = F.regexp_extract(mention, rf"^({_SECRET_NAME}[\"']?[ \t]*[=:][ \t]*[\"']?)", 1)
+    country = F.regexp_extract(mention, r"^(\+\d{1,3}[ .\-]?)(?=[(\d])", 1)
+    return (
+        F.when(whole(_EMAIL), _only("email", mention))
+        .when(whole(_SECRET), F.array(_piece(None, lead), _piece("secret", mention.substr(F.length(lead) + 1, F.length(mention)))))
+        .when(whole(_CODE), F.array(_piece(None, mention.substr(1, 4)), _piece("secret", mention.substr(F.lit(5), F.length(mention)))))
+        .when(whole(_IP), _only("ip", mention))
+        .when(whole(_SOCIAL), _only("number", mention))
+        .when(whole(_ACCOUNT), F.array(_piece(None, mention.substr(1, 2)), _piece("account", mention.substr(F.lit(3), F.length(mention)))))
+        .when(whole(_CARD), _only("card", mention))
+        .when(whole(_PHONE), F.array(_piece(None, country), _piece("number", mention.substr(F.length(country) + 1, F.length(mention)))))
+        .otherwise(_names(mention))
+    ).cast(_PIECES)
+
+
+_NUMBERS = ("number", "card", "account")
+
+
+def canonical(kind: Column, text: Column) -> Column:
+    """What the mentions of one entity have in common."""
+    return (
+        F.when(kind.isin(*_NUMBERS), F.regexp_replace(text, r"[^0-9A-Za-z]", ""))
+        .when(kind.isin("secret", "ip"), text)
+        .otherwise(F.lower(text))
+    )
+
+
+def _pick(values: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+
+
+def _draw(i: Column | int) -> Column:
+    return F.xxhash64(F.col("digest"), i if isinstance(i, Column) else F.lit(i))
+
+
+def _alike(text: Column, offset: int = 0) -> Column:
+    """Another text of the same form: each digit or letter by one of its script and case, hexadecimal texts by hexadecimal."""
+    hexadecimal = (F.col("type") == "secret") & text.rlike("^[0-9a-f]*$")
+
+    def char(c: Column, i: Column) -> Column:
+        n = _draw(i + offset)
+        letters = lambda a: _pick(list(ALPHABETS[a]), n)
+        return (
+            F.when(hexadecimal, _pick(list("0123456789abcdef"), n))
+            .when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
+            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), letters("cyrillic_upper"))
+            .when(c.rlike(r"\p{IsCyrillic}"), letters("cyrillic_lower"))
+            .when(c.rlike(r"[\p{IsGreek}&&\p{Lu}]"), letters("greek_upper"))
+            .when(c.rlike(r"\p{IsGreek}"), letters("greek_lower"))
+            .when(c.rlike(r"\p{Lu}"), letters("upper"))
+            .when(c.rlike(r"\p{L}"), letters("lower"))
+            .otherwise(c)
+        )
+
+    return F.array_join(F.transform(F.split(text, ""), char), "")
+
+
+def _checked(digits: Column) -> Column:
+    """The digits with the last one such that the weighted digit sum of card numbers is a multiple of ten."""
+    front = digits.substr(F.lit(1), F.length(digits) - 1)
+    return F.concat(front, F.pmod(-_weighted(F.concat(front, F.lit("0"))), F.lit(10)).cast("string"))
+
+
+def _weighted(digits: Column) -> Column:
+    def value(c: Column, i: Column) -> Column:
+        d = c.try_cast("int")
+        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+        return F.when(i % 2 == 1, twice).otherwise(d)
+
+    return F.aggregate(F.transform(F.split(F.reverse(digits), ""), value), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
+def _derive(entities: DataFrame, key: str) -> DataFrame:
+    """A surrogate, in canonical form, for every entity and its number of earlier attempts."""
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), "type", "entity", F.col("attempt").cast("string")), 256)
+    rows = entities.withColumn("digest", digest)
+    longer = F.repeat(F.lit("0"), F.floor(F.col("attempt") / 8).cast("int"))
+    entity = F.col("entity")
+    rows = rows.withColumn("alike", _alike(F.when(F.col("type").isin("secret", *_NUMBERS), F.concat(entity, longer)).otherwise(entity)))
+    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+
+    def names(table: dict[str, list[str]]) -> Column:
+        one = lambda i: reduce(lambda c, s: c.when(script == s, _pick(table[s], _draw(i))), table, F.when(F.lit(False), ""))
+        more = F.col("attempt")
+        return F.concat(one(0), F.when(more >= 4, F.concat(F.lit("-"), one(1))).otherwise(""), F.when(more >= 12, F.concat(F.lit("-"), one(2))).otherwise(""))
+
+    def surnames() -> Column:
+        one = lambda i: reduce(lambda c, s: c.when(script == s, _pick(SYLLABLES[s], _draw(i))), SYLLABLES, F.when(F.lit(False), ""))
+        return F.concat(one(0), one(1), one(2), F.when(F.col("attempt") >= 2, F.concat(one(3), one(4))).otherwise(""))
+
+    octet = lambda part, i: (
+        F.when(F.length(part) == 3, 100 + F.pmod(_draw(i), F.lit(155))).when(F.length(part) == 2, 10 + F.pmod(_draw(i), F.lit(90))).otherwise(1 + F.pmod(_draw(i), F.lit(9)))
+    ).cast("string")
+    address = F.array_join(F.transform(F.split("entity", r"\."), octet), ".")
+    tail = F.regexp_extract("entity", r"(\.[^.]*)$", 1)
+    mail = F.concat(F.col("alike").substr(F.lit(1), F.length("entity") - F.length(tail)), tail)
+    kind = F.col("type")
+    surrogate = (
+        F.when(kind == "email", mail)
+        .when(kind == "ip", address)
+        .when((kind == "card") & (F.pmod(_weighted(entity), F.lit(10)) == 0), _checked(F.col("alike")))
+        .when(kind == "given_f", names({s: GIVEN["f", s] for s in SYLLABLES}))
+        .when(kind == "given_m", names({s: GIVEN["m", s] for s in SYLLABLES}))
+        .when(kind == "given_n", names(NEUTRAL))
+        .when(kind == "surname", surnames())
+        .otherwise(F.col("alike"))
+    )
+    return rows.withColumn("surrogate", F.when(kind.startswith("given") | (kind == "surname"), F.lower(surrogate)).otherwise(surrogate)).select("type", "entity", "attempt", "surrogate")
+
+
+def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """``type``, ``entity`` -> the same with ``surrogate``: no two entities of a type share one, and none is an entity itself."""
+    table = stored(_derive(entities.select("type", "entity").distinct().withColumn("attempt", F.lit(0)), key))
+    while True:
+        holders = table.groupBy("type", "surrogate").agg(F.min("entity").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+        again = table.join(holders, ["type", "surrogate"]).filter("entity <> keeper").select("type", "entity", "attempt")
+        real = table.select("type", F.col("entity").alias("surrogate"))
+        taken = table.join(real, ["type", "surrogate"], "left_semi").select("type", "entity", "attempt")
+        again = stored(again.unionByName(taken).distinct())
+        if empty(again):
+            return table.select("type", "entity", "surrogate")
+        fresh = _derive(again.withColumn("attempt", F.col("attempt") + 1), key)
+        table = stored(table.join(again, ["type", "entity"], "left_anti").unionByName(fresh))
+
+
+def _render(text: Column, kind: Column, surrogate: Column) -> Column:
+    """A surrogate in the form of the mention: its punctuation, its capitals."""
+    count = lambda t: F.length(F.regexp_replace(t, r"[^0-9A-Za-z]", ""))
+    step = F.aggregate(
+        F.split(text, ""),
+        F.struct(F.lit("").alias("out"), F.lit(1).alias("next")),
+        lambda acc, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(acc["out"], surrogate.substr(acc["next"], F.lit(1))).alias("out"), (acc["next"] + 1).alias("next"))).otherwise(
+            F.struct(F.concat(acc["out"], c).alias("out"), acc["next"].alias("next"))
+        ),
+        lambda acc: F.concat(acc["out"], surrogate.substr(acc["next"], F.length(surrogate))),
+    )
+    shouted = (F.upper(text) == text) & (count(text) > 1)
+    return (
+        F.when(kind.isin(*_NUMBERS), step)
+        .when(kind.isin("ip", "secret"), surrogate)
+        .when(shouted & (F.lower(text) != text), F.upper(surrogate))
+        .when(kind == "email", surrogate)
+        .otherwise(F.array_join(F.transform(F.split(surrogate, "-"), F.initcap), "-"))
+    )
+
+
+def _entities(pieces: str) -> Column:
+    found = F.filter(pieces, lambda p: p["type"].isNotNull())
+    return F.array_distinct(F.transform(found, lambda p: F.struct(p["type"].alias("type"), canonical(p["type"], p["text"]).alias("entity"))))
+
+
+def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The documents with surrogates for personal data in ``text``; all columns, names and rows as before.
+
+    Null and empty texts and texts without a mention stay as they are. Rows are told apart by their place in a stored table, so repeated rows and null
+    ids do no harm."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    private = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    found = docs.filter(private).select(F.struct(*columns).alias("_row"))
+    text = F.col("_row.text")
+    mentions = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), _pieces)
+    plain = F.transform(F.split(text, PATTERN, -1), lambda t: F.array(_piece(None, t)).cast(_PIECES))
+    pieces = F.flatten(F.flatten(F.zip_with(plain, mentions, lambda a, b: F.array(a, F.coalesce(b, F.array().cast(_PIECES))))))
+    found = stored(found.select("_row", pieces.alias("pieces"), F.monotonically_increasing_id().alias("_place")))
+    named = stored(found.select("_place", F.explode(_entities("pieces")).alias("e")).select("_place", "e.*"))
+    table = assign(named, key)
+    own = named.join(table, ["type", "entity"]).groupBy("_place").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "entity"), F.col("surrogate")))).alias("own")
+    )
+    said = lambda p: F.concat_ws(":", p["type"], canonical(p["type"], p["text"]))
+    new = F.array_join(
+        F.transform("pieces", lambda p: F.when(p["type"].isNull(), p["text"]).otherwise(_render(p["text"], p["type"], F.col("own")[said(p)]))), ""
+    )
+    done = found.join(own, "_place").select("_row", new.alias("_text"))
+    done = done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return docs.filter(~private).select(*columns).unionByName(done)
