@@ -384,7 +384,7 @@ def outlier_cap(spark, folder):
     "outlier_metadata",
     f"""WITH {D}, b AS ({_iqr("amount", 1.5, "t")}) SELECT 'amount' AS "column", 'iqr' AS requested_method, 'iqr' AS effective_method,
         CAST(1.5 AS DOUBLE) AS threshold, round(greatest(max(lo), 0), 4) AS lower_bound, round(max(hi), 4) AS upper_bound, 'money' AS column_role,
-        CAST(0.95 AS DOUBLE) AS role_confidence, 'column name looks like a price/money metric' AS role_reason, 'critical' AS severity,
+        CAST(0.95 AS DOUBLE) AS role_confidence, 'name: money' AS role_reason, 'critical' AS severity,
         'flag' AS suggested_action, count(*) AS outliers FROM t, b WHERE amount < greatest(lo, 0) OR amount > hi""",
 )
 def outlier_metadata(spark, folder):

@@ -320,15 +320,15 @@ def _number(e: str) -> str:
         t AS (SELECT CAST(o_orderdate AS VARCHAR) AS label, o_orderdate AS t, o_orderkey AS k, o_totalprice AS v FROM orders),
         tf AS (SELECT * FROM t ORDER BY t, k LIMIT 1), tl AS (SELECT * FROM t ORDER BY t DESC, k DESC LIMIT 1),
         tp AS (SELECT * FROM t ORDER BY v DESC, t, k LIMIT 1), tw AS (SELECT * FROM t ORDER BY v, t, k LIMIT 1)
-        SELECT CAST(1 AS BIGINT) AS section, CAST(1 AS BIGINT) AS position, 'Dataset facts: orders has ' || n || ' rows and 6 columns. Primary metric: o_totalprice.' AS line FROM q
-        UNION ALL SELECT 1, 2, 'Data quality: ' || dup || ' duplicate rows, 0 missing cells.' FROM d
-        UNION ALL SELECT 2, 1, 'Metric o_totalprice: total ' || {_number("m.s")} || ', average ' || {_number("m.a")} || ', min ' || {_number("m.lo")}
-          || ' at o_orderstatus=' || lo.w || ', max ' || {_number("m.hi")} || ' at o_orderstatus=' || hi.w || '.' FROM m, lo, hi
-        UNION ALL SELECT 3, 1, 'Trend for o_totalprice by o_orderdate: ' || tf.label || ' was ' || {_number("tf.v")} || ', ' || tl.label || ' was ' || {_number("tl.v")}
-          || ', change ' || {_number("(tl.v - tf.v)")} || ' (' || {_number("((tl.v - tf.v) / tf.v * 100)")} || '%). Peak: ' || tp.label || ' at ' || {_number("tp.v")}
-          || '; low: ' || tw.label || ' at ' || {_number("tw.v")} || '.' FROM tf, tl, tp, tw
-        UNION ALL SELECT 4, 1, 'Top o_orderstatus values by count: ' || t || '.' FROM gc
-        UNION ALL SELECT 4, 2, 'Top o_orderstatus values by metric total: ' || t || '.' FROM gs""",
+        SELECT CAST(1 AS BIGINT) AS section, CAST(1 AS BIGINT) AS position, 'table orders: rows=' || n || ', columns=6, primary=o_totalprice' AS line FROM q
+        UNION ALL SELECT 1, 2, 'quality: duplicates=' || dup || ', missing=0' FROM d
+        UNION ALL SELECT 2, 1, 'o_totalprice: sum=' || {_number("m.s")} || ' mean=' || {_number("m.a")} || ' least=' || {_number("m.lo")}
+          || ' [o_orderstatus=' || lo.w || '] greatest=' || {_number("m.hi")} || ' [o_orderstatus=' || hi.w || ']' FROM m, lo, hi
+        UNION ALL SELECT 3, 1, 'o_totalprice over o_orderdate: ' || tf.label || '=' || {_number("tf.v")} || ' -> ' || tl.label || '=' || {_number("tl.v")}
+          || ', moved ' || {_number("(tl.v - tf.v)")} || ' (' || {_number("((tl.v - tf.v) / tf.v * 100)")} || '%), high ' || tp.label || '=' || {_number("tp.v")}
+          || ', low ' || tw.label || '=' || {_number("tw.v")} FROM tf, tl, tp, tw
+        UNION ALL SELECT 4, 1, 'o_orderstatus by count: ' || t FROM gc
+        UNION ALL SELECT 4, 2, 'o_orderstatus by total: ' || t FROM gs""",
 )
 def fact_lines(spark, folder):
     orders = table(spark, folder, "orders")
@@ -347,10 +347,10 @@ def fact_lines(spark, folder):
     "kpi_hints",
     """WITH tr AS (SELECT strftime(o_orderdate, '%Y-%m') AS p, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1),
        g AS (SELECT o_orderpriority AS k, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 3)
-       SELECT CAST(1 AS BIGINT) AS position, 'Primary metric: o_totalprice total=' || printf('%.2f', round(sum(o_totalprice), 2)) AS line FROM orders
-       UNION ALL SELECT 2, 'Time trend: ' || (SELECT count(*) FROM tr) || ' periods; last=' || p || ':' || printf('%.2f', v) FROM (SELECT * FROM tr ORDER BY p DESC LIMIT 1)
-       UNION ALL SELECT 3, 'By o_orderpriority: ' || string_agg(k || ':' || printf('%.2f', v), ', ' ORDER BY v DESC, k) FROM g
-       UNION ALL SELECT 4, 'Row count: ' || count(*) FROM orders""",
+       SELECT CAST(1 AS BIGINT) AS position, 'o_totalprice: sum ' || printf('%.2f', round(sum(o_totalprice), 2)) AS line FROM orders
+       UNION ALL SELECT 2, 'months ' || (SELECT count(*) FROM tr) || ', latest ' || p || ' ' || printf('%.2f', v) FROM (SELECT * FROM tr ORDER BY p DESC LIMIT 1)
+       UNION ALL SELECT 3, 'largest o_orderpriority: ' || string_agg(k || ' ' || printf('%.2f', v), ', ' ORDER BY v DESC, k) FROM g
+       UNION ALL SELECT 4, 'rows ' || count(*) FROM orders""",
 )
 def kpi_hints(spark, folder):
     orders = table(spark, folder, "orders")

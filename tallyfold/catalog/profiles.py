@@ -304,7 +304,7 @@ def column_categories(spark, folder):
         UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(*) FROM orders)
        SELECT c AS "column", CASE WHEN d = n THEN 'primary_key' ELSE 'foreign_key' END AS key_type,
          CASE WHEN d = n THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence,
-         CASE WHEN d = n THEN c || ' is unique and complete - likely primary key' ELSE c || ' might reference another table' END AS insight
+         CASE WHEN d = n THEN c || ': every row has its own value' ELSE c || ': values repeat as references do' END AS insight
        FROM c WHERE d = n OR (d / n > 0.1 AND d / n < 0.9)""",
 )
 def key_candidates(spark, folder):
@@ -313,11 +313,12 @@ def key_candidates(spark, folder):
 
 @REG.add(
     "suggest_aggregations",
-    """WITH m AS (SELECT * FROM (VALUES ('l_orderkey', 1), ('l_partkey', 2), ('l_suppkey', 3), ('l_linenumber', 4), ('l_quantity', 5)) v(metric, i)),
+    """WITH m AS (SELECT * FROM (VALUES ('l_orderkey', 1), ('l_partkey', 2), ('l_suppkey', 3), ('l_linenumber', 4), ('l_quantity', 5), ('l_extendedprice', 6),
+         ('l_discount', 7), ('l_tax', 8)) v(metric, i)),
        g AS (SELECT 'l_returnflag' AS dimension, 1 AS j, count(DISTINCT l_returnflag) AS d FROM lineitem
              UNION ALL SELECT 'l_linestatus', 2, count(DISTINCT l_linestatus) FROM lineitem)
        SELECT 'Sum ' || metric || ' by ' || dimension AS aggregation, metric, dimension, 'group_sum' AS type, 'bar' AS chart_suggestion
-       FROM m, g WHERE d BETWEEN 2 AND 50 ORDER BY i, j LIMIT 10""",
+       FROM m, g WHERE d BETWEEN 2 AND 50 ORDER BY i, j""",
 )
 def suggest_aggregations(spark, folder):
     lines = table(spark, folder, "lineitem")

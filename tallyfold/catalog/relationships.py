@@ -249,7 +249,7 @@ def pps_relationships(spark, folder):
        p AS (SELECT 'c_mktsegment' AS a, 'n_name' AS b, c_mktsegment AS x, n_name AS y FROM c UNION ALL SELECT 'c_mktsegment', 'r_name', c_mktsegment, r_name FROM c
              UNION ALL SELECT 'n_name', 'r_name', n_name, r_name FROM c),
        g AS (SELECT a, b, x, count(DISTINCT y) AS d FROM p GROUP BY 1, 2, 3)
-       SELECT a AS col_a, b AS col_b, 'Each ' || a || ' belongs to exactly one ' || b AS insight FROM g GROUP BY 1, 2 HAVING max(d) = 1 AND min(d) = 1 AND count(*) > 1""",
+       SELECT a AS col_a, b AS col_b, a || ' fixes ' || b AS insight FROM g GROUP BY 1, 2 HAVING max(d) = 1 AND min(d) = 1 AND count(*) > 1""",
 )
 def hierarchies(spark, folder):
     customers = table(spark, folder, "customer")

@@ -29,7 +29,7 @@ def lexical_topk(spark, folder):
     "column_fact_chunks",
     f"""WITH p AS ({_profile_sql("events", EVENT_TYPES)}), v AS (SELECT left(sha1('7:2024-01-01'), 12) AS v)
         SELECT 'ds7_col_' || "column" || '_' || v AS chunk_id, 'column_fact' AS chunk_type,
-          'Column: ' || "column" || chr(10) || 'Type: ' || dtype || chr(10) || 'Null rate: ' || missing_pct || chr(10) || 'Unique values: ' || "unique" AS text,
+          'column ' || "column" || ' (' || dtype || '); missing ' || missing_pct || '; distinct ' || "unique" AS text,
           v AS source_version FROM p, v""",
 )
 def column_fact_chunks(spark, folder):
@@ -71,7 +71,7 @@ def cosine_topk(spark, folder):
 
 @REG.add(
     "cosine_diverse",
-    f"""WITH s AS (SELECT vec_id, label, d FROM (SELECT e.vec_id, e.label, {_distance(3)} AS d FROM embeddings e, {_query(3)}) ORDER BY d, vec_id LIMIT 16),
+    f"""WITH s AS (SELECT vec_id, label, d FROM (SELECT e.vec_id, e.label, {_distance(3)} AS d FROM embeddings e, {_query(3)}) WHERE d IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS k FROM s)
         SELECT vec_id, label, round(d, 6) AS distance FROM r WHERE k <= 2 ORDER BY d, vec_id LIMIT 8""",
 )

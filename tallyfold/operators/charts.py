@@ -51,10 +51,11 @@ def crosstab(df: DataFrame, row: str, column: str, normalize: bool = False) -> D
     return long.withColumn("value", F.col("value") / total)
 
 
-def value_counts_chart(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
+def value_counts_chart(df: DataFrame, column: str, top_n: int | None = 20) -> DataFrame:
     """Commonest values, nulls left out."""
     counted = df.select(F.col(f"`{column}`").alias("x")).dropna().groupBy("x").agg(F.count(F.lit(1)).alias("y"))
-    return counted.orderBy(F.desc("y"), "x").limit(top_n)
+    ordered = counted.orderBy(F.desc("y"), "x")
+    return ordered if top_n is None else ordered.limit(top_n)
 
 
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -25,6 +25,12 @@ def aggregate_name(name: str) -> str:
     return found
 
 
+def cell(df: DataFrame, column: str) -> Column:
+    """The stored value, NaN being a missing one."""
+    raw = F.col(f"`{column}`")
+    return F.when(~F.isnan(raw), raw) if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)) else raw
+
+
 def aggregate(df: DataFrame, column: str, how: str) -> Column:
     """The aggregate as an expression; sums of no values are 0, as in the report figures."""
     how = aggregate_name(how)
@@ -32,7 +38,7 @@ def aggregate(df: DataFrame, column: str, how: str) -> Column:
     if how == "sum":
         return F.coalesce(F.sum(value), F.lit(0.0))
     if how in ("count", "nunique"):
-        raw = F.col(f"`{column}`")
+        raw = cell(df, column)
         return F.count(raw) if how == "count" else F.count_distinct(raw)
     if how == "median":
         raise ValueError("median is planned by the caller")
@@ -63,7 +69,7 @@ def row_count_kpi(df: DataFrame) -> DataFrame:
 
 def mode_kpi(df: DataFrame, column: str) -> DataFrame:
     """Most frequent value and its count; the smallest value wins ties, nulls are left out."""
-    counted = df.filter(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).count()
+    counted = df.select(cell(df, column).alias("value")).filter("value IS NOT NULL").groupBy("value").count()
     return counted.orderBy(F.desc("count"), "value").limit(1).select("value", F.col("count").alias("n"))
 
 

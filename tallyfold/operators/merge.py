@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.numbers import without_nan
 from tallyfold.plans.ordering import null_safe
-from tallyfold.plans.scale import DEFAULT, Scale, row_count
 
 
 def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in right.columns]
 
 
-def outer_merge(left: DataFrame, right: DataFrame, scale: Scale = DEFAULT) -> DataFrame | None:
+def outer_merge(left: DataFrame, right: DataFrame) -> DataFrame | None:
     """Full outer join on all common column names; null keys match null keys. None without common columns.
 
-    A full outer join cannot be split when a key is hot. Large tables are therefore merged as inner join
-    plus the unmatched rows of either side, three equi-joins whose skewed partitions adaptive execution
-    does split."""
+    A full outer join cannot be split when a key is hot. The tables are therefore merged as inner join plus the unmatched rows
+    of either side, three equi-joins whose skewed partitions adaptive execution does split."""
     keys = common_columns(left, right)
     if not keys:
         return None
@@ -27,22 +25,12 @@ def outer_merge(left: DataFrame, right: DataFrame, scale: Scale = DEFAULT) -> Da
     renamed = b.select(*[F.col(f"`{c}`").alias(f"_right_{c}" if c in keys else c) for c in b.columns])
     condition = null_safe(a, renamed, [(k, f"_right_{k}") for k in keys])
     rest = [c for c in b.columns if c not in keys]
-    if row_count(left) + row_count(right) > scale.direct_rows:
-        matched = a.join(renamed, condition, "inner").select(*[F.col(f"`{c}`") for c in [*a.columns, *rest]])
-        right_keys = renamed.select(*[F.col(f"`_right_{k}`") for k in keys]).distinct()
-        only_left = a.join(right_keys, null_safe(a, right_keys, [(k, f"_right_{k}") for k in keys]), "left_anti")
-        left_keys = a.select(*[F.col(f"`{k}`").alias(f"_left_{k}") for k in keys]).distinct()
-        only_right = b.join(left_keys, null_safe(b, left_keys, [(k, f"_left_{k}") for k in keys]), "left_anti")
-        return matched.unionByName(only_left, True).unionByName(only_right, True)
-    # A marker tells which side a row came from, because its keys may all be null.
-    joined = a.withColumn("_in_left", F.lit(True)).join(renamed, condition, "full")
-    merged = [
-        F.when(F.col("_in_left"), F.col(f"`{c}`")).otherwise(F.col(f"`_right_{c}`")).alias(c)
-        if c in keys
-        else F.col(f"`{c}`")
-        for c in a.columns
-    ]
-    return joined.select(*merged, *[F.col(f"`{c}`") for c in rest])
+    matched = a.join(renamed, condition, "inner").select(*[F.col(f"`{c}`") for c in [*a.columns, *rest]])
+    right_keys = renamed.select(*[F.col(f"`_right_{k}`") for k in keys]).distinct()
+    only_left = a.join(right_keys, null_safe(a, right_keys, [(k, f"_right_{k}") for k in keys]), "left_anti")
+    left_keys = a.select(*[F.col(f"`{k}`").alias(f"_left_{k}") for k in keys]).distinct()
+    only_right = b.join(left_keys, null_safe(b, left_keys, [(k, f"_left_{k}") for k in keys]), "left_anti")
+    return matched.unionByName(only_left, True).unionByName(only_right, True)
 
 
 def merge_all(tables: list[tuple[str, DataFrame]], count_rows: bool = True) -> tuple[DataFrame, list[dict]]:

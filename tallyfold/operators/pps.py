@@ -1,8 +1,8 @@
 """Predictive power score of all ordered column pairs.
 
 The score is defined on a sample of at most 5000 rows: a depth-4 tree on one feature, cross-validated,
-against a naive baseline. Sampling runs over the whole table as a bounded top-k by row hash; the pairs are
-then spread over the cluster, one pair of at most 5000 rows per Arrow group.
+against a naive baseline. Rows are sampled uniformly over the whole table as a bounded top-k by row hash, the
+one documented bound of the fit; the pairs are then spread over the cluster, one pair of the sample per Arrow group.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ DEPTH = 4
 LEAST_ROWS = 10
 LEAST_SCORE = 0.3
 
-# Rows that pass the hash limit, as a multiple of the sample.
+# Rows that pass the hash limit, as a multiple of the sample; copies of one row that one task numbers.
 THINNED = 4
+COPIES = 100_000
 
 RESULT = "x string, y string, ppscore double, baseline_score double, model_score double, case string"
 
@@ -64,18 +65,20 @@ def pps_matrix(df: DataFrame, columns: list[str] | None = None, sample_rows: int
 
 
 def sampled(df: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` rows by seeded hash of their contents, the same ones on every run; ``_row`` is the
-    hash that orders them. Copies of a row share a hash, so which copies are taken makes no difference."""
+    """A uniform sample of at most ``rows`` rows, the same ones on every run; ``_row`` orders them.
+
+    Equal rows are counted first and numbered, so that every row, copies too, has a hash of its own and a combination is drawn as
+    often as the table holds it. Only hashes below a limit that leaves a few times the sample are sorted."""
     named = [F.col(f"`{c}`") for c in columns]
-    hashed = df.select(F.xxhash64(F.lit(SEED), *named).alias("_row"), *named)
-    # Smallest hashes only: a table much larger than the sample is thinned by a hash limit first, so its
-    # tasks hand on few rows. If copies crowd the hashes and too few pass, the whole table is ordered.
-    share = THINNED * rows / max(row_count(df), 1)
-    if share < 1.0:
-        few = hashed.filter(F.col("_row") <= F.lit(int(-(2**63) + share * 2**64)))
-        if few.limit(rows).count() == rows:
-            hashed = few
-    return hashed.orderBy("_row").limit(rows)
+    counted = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
+    content = counted.withColumn("_content", F.xxhash64(F.lit(SEED), *named))
+    spread = content.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES)))).repartition("_content", "_part")
+    last = F.least(F.col("_n"), (F.col("_part") + 1) * COPIES)
+    numbered = spread.withColumn("_copy", F.explode(F.sequence(F.col("_part") * COPIES + 1, last)))
+    hashed = numbered.select(F.xxhash64(F.lit(SEED), "_content", "_copy").alias("_row"), *named)
+    share = min(1.0, THINNED * rows / max(row_count(df), 1))
+    limit = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    return hashed.filter(F.col("_row") <= limit).orderBy("_row", *named).limit(rows)
 
 
 def pps_relationships(scores: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -86,7 +89,7 @@ def pps_relationships(scores: DataFrame, least: float = LEAST_SCORE) -> DataFram
         F.col("ppscore").alias("strength"),
         F.concat("x", F.lit(" → "), "y").alias("direction"),
         F.lit("custom_pps").alias("method"),
-        F.concat("x", F.lit(" can predict "), "y").alias("insight"),
+        F.concat("y", F.lit(" follows from "), "x").alias("insight"),
     )
 
 

@@ -291,15 +291,15 @@ def key_candidates(df: DataFrame) -> DataFrame:
             F.when(F.col("key_type") == "primary_key", 1.0).otherwise(0.7).alias("confidence"),
             F.when(
                 F.col("key_type") == "primary_key",
-                F.concat("column", F.lit(" is unique and complete - likely primary key")),
+                F.concat("column", F.lit(": every row has its own value")),
             )
-            .otherwise(F.concat("column", F.lit(" might reference another table")))
+            .otherwise(F.concat("column", F.lit(": values repeat as references do")))
             .alias("insight"),
         )
     )
 
 
-def sample_values(df: DataFrame, max_columns: int = 150, max_values: int = 15) -> DataFrame:
+def sample_values(df: DataFrame, max_columns: int | None = None, max_values: int = 15) -> DataFrame:
     """Up to 15 values, in value order, of each text column with 2-50 distinct values."""
     columns = [c for c in df.columns[:max_columns] if c in text_columns(df)]
     counts = value_counts(df, columns)

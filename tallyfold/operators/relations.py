@@ -99,5 +99,5 @@ def hierarchies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.lit(1.0).alias("strength"),
         F.concat(name["a"], F.lit(" → "), name["b"]).alias("direction"),
         F.lit("hierarchy_detector").alias("method"),
-        F.concat(F.lit("Each "), name["a"], F.lit(" belongs to exactly one "), name["b"]).alias("insight"),
+        F.concat(name["a"], F.lit(" fixes "), name["b"]).alias("insight"),
     )

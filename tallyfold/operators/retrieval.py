@@ -13,15 +13,6 @@ from tallyfold.operators.tables import latest_per_key
 
 # Fixed values of retrieval.
 PER_TYPE = 2
-MOST_FETCHED = 30
-MAX_RELATIONSHIPS = 50
-GUARDRAILS = [
-    "Do not infer causation from correlation.",
-    "Ignore ID, email, and UUID columns in analysis.",
-    "Do not execute arbitrary code — only approved tool operations.",
-    "Do not reveal raw PII values from the dataset.",
-    "Cite only columns and facts present in context or tool output.",
-]
 
 
 def lexical_topk(df: DataFrame, text: str, query: str, order_by: str, top_k: int = 6) -> DataFrame:
@@ -42,8 +33,8 @@ def cosine_topk(df: DataFrame, vector: str, query: list[float], order_by: str, t
 def diverse_topk(
     df: DataFrame, vector: str, query: list[float], order_by: str, chunk_type: str, top_k: int = 8
 ) -> DataFrame:
-    """Nearest ``min(2k, 30)`` rows, at most two per type, then ``top_k``."""
-    fetched = cosine_topk(df, vector, query, order_by, min(2 * top_k, MOST_FETCHED))
+    """The nearest ``top_k`` rows with at most two per type, ranked within their type over all rows."""
+    fetched = df.withColumn("distance", distance_to(F.col(vector), query)).filter("distance is not null")
     by_type = Window.partitionBy(F.coalesce(F.col(chunk_type).cast("string"), F.lit("other"))).orderBy("distance", order_by)
     capped = fetched.withColumn("_rn", F.row_number().over(by_type)).filter(F.col("_rn") <= PER_TYPE).drop("_rn")
     return capped.orderBy("distance", order_by).limit(top_k)
@@ -78,48 +69,33 @@ def topic_topk(
 
 def column_chunks(profile: DataFrame, dataset: str, version: Column) -> DataFrame:
     """One chunk per column of a ``column_profile``: name, type, missing share, distinct values."""
-    text = F.concat(
-        F.lit("Column: "), "column",
-        F.lit("\nType: "), "dtype",
-        F.lit("\nNull rate: "), F.col("missing_pct").cast("string"),
-        F.lit("\nUnique values: "), F.col("unique").cast("string"),
-    )
+    text = F.format_string("column %s (%s); missing %s; distinct %s", "column", "dtype", F.col("missing_pct").cast("string"), F.col("unique").cast("string"))
     chunk_id = F.concat(F.lit(f"ds{dataset}_col_"), "column", F.lit("_"), version)
     return _chunks(profile, chunk_id, "column_fact", text, version)
 
 
-def relationship_chunks(relationships: DataFrame, dataset: str, version: Column) -> DataFrame:
-    """One chunk for each of the first fifty relationships, strongest first."""
-    kept = relationships.orderBy(F.desc("strength"), "col_a", "col_b").limit(MAX_RELATIONSHIPS)
-    # At most fifty rows are numbered.
-    place = F.row_number().over(Window.orderBy(F.desc("strength"), "col_a", "col_b")) - 1
-    text = F.concat(
-        F.lit("Relationship: "), "col_a", F.lit(" ↔ "), "col_b",
-        F.lit("\nType: "), F.coalesce("type", F.lit("unknown")),
-        F.lit("\nStrength: "), F.coalesce(F.col("strength").cast("string"), F.lit("?")),
-        F.lit("\nMethod: "), F.coalesce("method", F.lit("unknown")),
+def relationship_chunks(relationships: DataFrame, dataset: str, version: Column, most: int | None = None) -> DataFrame:
+    """One chunk for each relationship, or for the ``most`` strongest; there is one row per pair of columns to number."""
+    order = [F.desc("strength"), "col_a", "col_b"]
+    kept = relationships if most is None else relationships.orderBy(*order).limit(most)
+    text = F.format_string(
+        "%s with %s: %s; strength %s; by %s", "col_a", "col_b", F.coalesce("type", F.lit("none")),
+        F.coalesce(F.col("strength").cast("string"), F.lit("none")), F.coalesce("method", F.lit("none")),
     )
-    numbered = kept.withColumn("_at", place)
+    numbered = kept.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
     chunk_id = F.concat(F.lit(f"ds{dataset}_rel_"), "_at", F.lit("_"), version)
     return _chunks(numbered, chunk_id, "relationship", text, version)
 
 
 def definition_chunks(
-    spark: SparkSession, dataset: str, version: Column, primary: str | None, groups: dict[str, list[str]]
+    spark: SparkSession, dataset: str, version: Column, primary: str | None, groups: dict[str, list[str]], rules: list[str] | None = None
 ) -> DataFrame:
-    """The metric definition chunk and the guardrail chunk."""
-    definition = "\n".join(
-        [
-            f"Primary metric: {primary or 'N/A'}",
-            f"All metrics: {', '.join(groups.get('metrics', []))}",
-            f"Dimensions: {', '.join(groups.get('dimensions', []))}",
-            f"Temporal columns: {', '.join(groups.get('temporal', []))}",
-        ]
-    )
-    rules = "\n".join(["Guardrails:", *[f"- {g}" for g in GUARDRAILS]])
-    rows = spark.createDataFrame(
-        [("metrics", "metric_definition", definition), ("guardrails", "guardrail", rules)], "part string, kind string, body string"
-    )
+    """The metric definition chunk and, if the caller has rules for answers, a chunk of them."""
+    parts = {"primary": primary or "none"} | {k: ", ".join(groups.get(k, [])) or "none" for k in ("metrics", "dimensions", "temporal")}
+    chunks = [("metrics", "metric_definition", "\n".join(f"{k} = {v}" for k, v in parts.items()))]
+    if rules:
+        chunks.append(("guardrails", "guardrail", "\n".join(rules)))
+    rows = spark.createDataFrame(chunks, "part string, kind string, body string")
     chunk_id = F.concat(F.lit(f"ds{dataset}_"), "part", F.lit("_"), version)
     return _chunks(rows, chunk_id, F.col("kind"), F.col("body"), version)
 
@@ -133,13 +109,13 @@ def _chunks(df: DataFrame, chunk_id: Column, kind, text: Column, version: Column
 
 def build_chunks(
     df: DataFrame, dataset: str, profile: DataFrame, relationships: DataFrame, primary: str | None,
-    groups: dict[str, list[str]], updated: str,
+    groups: dict[str, list[str]], updated: str, rules: list[str] | None = None,
 ) -> DataFrame:
     version = source_version(F.lit(dataset), F.lit(updated))
     parts = [
         column_chunks(profile, dataset, version),
         relationship_chunks(relationships, dataset, version),
-        definition_chunks(df.sparkSession, dataset, version, primary, groups),
+        definition_chunks(df.sparkSession, dataset, version, primary, groups, rules),
     ]
     return reduce(DataFrame.unionByName, parts)
 

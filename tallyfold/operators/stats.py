@@ -372,7 +372,7 @@ def significant_spearman(df: DataFrame, columns: list[str], alpha: float, rows:
     return kept.select(
         "col_a", "col_b", F.lit("correlation").alias("type"), size.alias("strength"), sign.alias("direction"),
         F.lit("spearman").alias("method"),
-        F.concat("col_a", F.lit(" ↔ "), "col_b", F.lit(" ["), word, F.lit(" "), sign, F.lit(" correlation]")).alias("insight"),
+        F.concat(word, F.lit(" "), sign, F.lit(" rank correlation")).alias("insight"),
         "p_value", "statistic", word.alias("strength_label"),
     )
 
@@ -380,7 +380,7 @@ def significant_spearman(df: DataFrame, columns: list[str], alpha: float, rows:
 def significant_kruskal(df: DataFrame, pairs: list[tuple[str, str]], alpha: float, rows: int, scale: Scale = DEFAULT) -> DataFrame:
     eta = F.col("eta_squared")
     kept = kruskal_pairs(df, pairs, rows, scale).filter((F.col("p_value") < alpha) & (eta >= ETA_CUTS[0]))
-    text = F.concat("col_a", F.lit(" explains "), F.format_string("%.1f", eta * 100), F.lit("% of variance in "), "col_b")
+    text = F.format_string("eta squared %.3f of %s by groups of %s", eta, "col_b", "col_a")
     return kept.select(
         "col_a", "col_b", F.lit("categorical_to_numeric").alias("type"), eta.alias("strength"),
         F.concat("col_a", F.lit(" → "), "col_b").alias("direction"), F.lit("kruskal_wallis").alias("method"),
@@ -391,7 +391,7 @@ def significant_kruskal(df: DataFrame, pairs: list[tuple[str, str]], alpha: floa
 def significant_associations(df: DataFrame, pairs: list[tuple[str, str]], alpha: float, rows: int) -> DataFrame:
     v = F.col("cramers_v")
     kept = chi_square_pairs(df, pairs, rows).filter((F.col("p_value") < alpha) & (v >= CRAMER_CUTS[0]))
-    text = F.concat("col_a", F.lit(" and "), "col_b", F.lit(" are associated (Cramér's V = "), F.format_string("%.3f", v), F.lit(")"))
+    text = F.format_string("V %.3f between labels of %s and %s", v, "col_a", "col_b")
     return kept.select(
         "col_a", "col_b", F.lit("categorical_association").alias("type"), v.alias("strength"),
         F.concat("col_a", F.lit(" ↔ "), "col_b").alias("direction"), F.lit("chi_square").alias("method"),

@@ -38,8 +38,8 @@ def filter_aggregate(
     return group_values(kept.withColumn("_all", F.lit(1)), ["_all"], column, how, scale=scale).drop("_all")
 
 
-def count_values(df: DataFrame, column: str) -> DataFrame:
-    return value_counts_chart(df, column, SERIES_ROWS)
+def count_values(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    return value_counts_chart(df, column, most)
 
 
 def describe_columns(df: DataFrame, columns: list[str] | None = None, scale: Scale = DEFAULT) -> DataFrame:

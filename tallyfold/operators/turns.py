@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import clip_text, one_line, strip
-from tallyfold.plans.ordering import BLOCK, HALO, POSITION, carried, running_sum, staged, with_blocks, with_position
+from tallyfold.plans.ordering import BLOCK, HALO, POSITION, carried, running_sum, with_blocks, with_position
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
 
 # How much of a conversation is looked at.
@@ -41,7 +41,7 @@ def merge_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     )
     starts = (~F.col("role").eqNullSafe(F.col("_previous"))).cast("int")
     # Starts before the row plus its own: the number of the island it belongs to.
-    started = staged(with_previous.withColumn("_start", starts), rows, scale)
+    started = with_previous.withColumn("_start", starts)
     numbered = running_sum(started, [conversation], [turn], F.col("_start"), rows, "_before", scale)
     text = F.coalesce(F.nullif(strip(F.coalesce("text", F.lit(""))), F.lit("")), F.lit("(empty message)"))
     island = F.col("_before") + F.col("_start")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.plans.scale import DEFAULT, Scale
-from tallyfold.session import stored
 
 CHUNK = "_chunk"
 POSITION = "_position"
@@ -47,8 +46,6 @@ def attach_skewed(
     Keys with more than ``total / hot_groups`` rows number fewer than ``hot_groups``, so they are safe to
     broadcast and their rows never move. The remaining rows shuffle, no key of theirs being large.
     """
-    if total <= scale.direct_rows:
-        return attach(rows, facts, keys)
     limit = total / scale.hot_groups
     hot = facts.filter(F.col(weight) > limit).withColumn("_hot", F.lit(True))
     cold = facts.filter(F.col(weight) <= limit)
@@ -65,7 +62,7 @@ def attach_skewed(
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """A number that sorts like the column; only numeric and date-like columns can lead an order."""
+    """A number that sorts like the column, equal at worst for values that differ; for texts, which sort by their bytes, the first six of them."""
     kind = df.schema[name].dataType
     column = F.col(f"`{name}`")
     if isinstance(kind, T.NumericType):
@@ -76,7 +73,12 @@ def order_number(df: DataFrame, name: str) -> Column:
         return F.unix_micros(column)
     if isinstance(kind, T.TimestampNTZType):
         return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
-    raise TypeError(f"order column {name} must be numeric or a date, not {kind.simpleString()}")
+    if isinstance(kind, T.BooleanType):
+        return column.cast("int")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.hex(F.substring(column.cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"order column {name} must be sortable, not {kind.simpleString()}")
 
 
 def with_chunk(df: DataFrame, order_by: list[str], rows: int, scale: Scale = DEFAULT) -> DataFrame:
@@ -84,7 +86,7 @@ def with_chunk(df: DataFrame, order_by: list[str], rows: int, scale: Scale = DEF
 
     A value of the first order column that fills whole chunks alone is cut again by the second column.
     """
-    parts = 1 if rows <= scale.direct_rows else scale.chunks(rows)
+    parts = scale.chunks(rows)
     if parts == 1:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
     fractions = [i / parts for i in range(1, parts)]
@@ -135,8 +137,6 @@ def running_sum(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = F.coalesce(F.sum("_rs_w").over(inside), F.lit(0))
-    if rows <= scale.direct_rows:
-        return chunked.withColumn(output, local).drop("_rs_w", CHUNK)
     totals = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(F.sum("_rs_w").alias("_rs_t"))
     across = (
         Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
@@ -193,8 +193,6 @@ def carried(
 
     local = chunked.withColumns({f"_l_{n}": nearest(f"_v_{n}", ahead, earlier, later) for n, _, ahead in wanted})
     scratch = [CHUNK, *[f"{p}{n}" for n, _, _ in wanted for p in ("_v_", "_l_", "_c_")]]
-    if rows <= scale.direct_rows:
-        return local.withColumns({n: F.col(f"_l_{n}") for n, _, _ in wanted}).drop(*scratch)
     # Per key and chunk, the values it hands on: its last non-null ones in order, or its first.
     order = F.struct(*[F.col(f"`{c}`") for c in order_by])
     handed = chunked.groupBy(*keys, CHUNK).agg(
@@ -213,12 +211,6 @@ def carried(
     return joined.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n, _, _ in wanted}).drop(*scratch)
 
 
-def staged(df: DataFrame, rows: int, scale: Scale = DEFAULT) -> DataFrame:
-    """Large inputs of a second ordered step are stored once, because every ordered step reads its input
-    twice: for the chunks and for what they hand on."""
-    return stored(df) if rows > scale.direct_rows else df
-
-
 def with_blocks(positioned: DataFrame, size: int, before: int, after: int = 0) -> DataFrame:
     """Copies each row of ``_position`` order into the blocks that need it as a neighbour.
 

@@ -16,23 +16,28 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of each expression, nulls ignored. Only the answers reach the driver.
 
-    Few cells: Spark's own ``percentile``, which holds the values of all columns in one task. Many: rank search. Each round counts the values of every
-    still open interval in equal-width bins (bin counts combine before the shuffle, so hot values and
-    skew do not matter) and keeps the bins that hold the wanted ranks, until these hold one value.
+    Rank search: each round counts the values of every still open interval in equal-width bins (bin counts combine before
+    the shuffle, so hot values and skew do not matter) and keeps the bins that hold the wanted ranks, until these hold one
+    value. Infinities are counted apart, as the ends of the order.
     """
     if not columns:
         return {}
     rows = df.count() if rows is None else rows
     names = list(columns)
     base = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    if rows * len(names) <= scale.direct_rows:
-        found = base.agg(
-            *[F.percentile(f"c{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"c{i}") for i in range(len(names))]
-        ).first()
-        return {n: list(found[f"c{i}"] or [None] * len(probs)) for i, n in enumerate(names)}
+    endless = F.lit(math.inf)
     bounds = base.agg(
-        *[f(f"c{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
+        *[
+            part.alias(f"{k}{i}")
+            for i in range(len(names))
+            for c in [F.col(f"c{i}")]
+            for finite in [F.when(F.abs(c) < endless, c)]
+            for k, part in (
+                ("n", F.count(c)), ("lo", F.min(finite)), ("hi", F.max(finite)),
+                ("below", F.count_if(c == -endless)), ("above", F.count_if(c == endless)),
+            )
+        ]
+    ).first()
     wanted: dict[tuple[int, int], float | None] = {}
     open_ranges: dict[tuple[int, int], tuple[float, float, int]] = {}
     for i in range(len(names)):
@@ -41,7 +46,12 @@ def quantiles(
                 continue
             at = (bounds[f"n{i}"] - 1) * p
             for rank in {math.floor(at), math.ceil(at)}:
-                open_ranges[(i, rank)] = (bounds[f"lo{i}"], bounds[f"hi{i}"], 0)
+                if rank < bounds[f"below{i}"]:
+                    wanted[(i, rank)] = -math.inf
+                elif rank >= bounds[f"n{i}"] - bounds[f"above{i}"]:
+                    wanted[(i, rank)] = math.inf
+                else:
+                    open_ranges[(i, rank)] = (bounds[f"lo{i}"], bounds[f"hi{i}"], bounds[f"below{i}"])
     while open_ranges:
         open_ranges, closed = _narrow(base, open_ranges, scale)
         wanted.update(closed)
@@ -55,7 +65,7 @@ def quantiles(
                 continue
             at = (n - 1) * p
             low, high = wanted[(i, math.floor(at))], wanted[(i, math.ceil(at))]
-            values.append(low + (high - low) * (at - math.floor(at)))
+            values.append(low if low == high else low + (high - low) * (at - math.floor(at)))
         out[name] = values
     return out
 
@@ -67,7 +77,9 @@ def _narrow(base: DataFrame, open_ranges: dict, scale: Scale) -> tuple[dict, dic
     cells = []
     for number, (i, lo, hi) in enumerate(intervals):
         value = F.col(f"c{i}")
-        if hi > lo:
+        if hi > lo and hi / 2 - lo / 2 == 0:
+            bin_no = F.when(value > lo, 1).otherwise(0)  # neighbours among the smallest doubles
+        elif hi > lo:
             # Halves keep the width finite for intervals as wide as the double range.
             share = (value / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
             bin_no = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
@@ -108,8 +120,6 @@ def group_quantile(
     """Exact quantile per group, one row per group, nulls of ``value`` ignored."""
     named = [F.col(f"`{k}`") for k in keys]
     base = df.select(*named, value.cast("double").alias("value"))
-    if rows <= scale.direct_rows:
-        return base.groupBy(*named).agg(F.percentile("value", F.lit(prob)).alias(output))
     counted = base.groupBy(*named, "value").agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy(*named).agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("_size"))
     filled = sizes.filter("_size is not null")
@@ -125,7 +135,12 @@ def group_quantile(
             F.max(F.when((F.col("_below") <= high) & (high < end), F.col("value"))).alias("_hi"),
             F.max(at - low).alias("_part"),
         )
-        .select(*named, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(output))
+        .select(
+            *named,
+            F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+            .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+            .alias(output),
+        )
     )
     empty = sizes.filter("_size is null").select(*named, F.lit(None).cast("double").alias(output))
     return picked.unionByName(empty)

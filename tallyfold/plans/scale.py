@@ -1,4 +1,4 @@
-"""Size limits that choose between a one-task form and its distributed, equally exact form."""
+"""How finely ordered work is cut. Sizes change the number of pieces, never the form of a plan or what it accepts."""
 
 from __future__ import annotations
 
@@ -9,19 +9,17 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Scale:
-    """``direct_rows``: rows one task may sort or hold. ``chunk_rows``: rows aimed at per ordered chunk.
+    """``chunk_rows``: rows aimed at per ordered chunk.
     ``hot_groups``: most groups that may be treated as hot, hence the row bound of a broadcast.
     ``bins``: histogram bins per open quantile; ``collected``: most bin rows brought to the driver."""
 
-    direct_rows: int = 4_000_000
     chunk_rows: int = 2_000_000
-    max_chunks: int = 8_192
     hot_groups: int = 1_000
     bins: int = 4_096
     collected: int = 400_000
 
     def chunks(self, rows: int) -> int:
-        return max(1, min(self.max_chunks, -(-rows // self.chunk_rows)))
+        return max(1, -(-rows // self.chunk_rows))
 
 
 DEFAULT = Scale()

@@ -28,12 +28,16 @@ def local_session(cores: str = "8", app: str = "tallyfold", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without one (tests) gets a temporary folder."""
+    """The folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``. A session on one machine
+    (tests) gets a folder of its own if none is named; on a cluster that is an error, as executors share no temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyfold-checkpoint-"))
+        if folder is None:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tallyfold-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

@@ -18,29 +18,37 @@ from tallyfold.operators.scan import scan
 
 Stage = Callable[[DataFrame], DataFrame]
 
+# The stage that stores the rows; the others only report on them.
+STORAGE = "rows"
+
 
 def default_stages(row_key: str) -> dict[str, Stage]:
     return {
-        "rows": lambda df: df,
+        STORAGE: lambda df: df,
         "profile": column_profile,
         "issues": lambda df: scan(df, row_key),
     }
 
 
 def run_stages(batch: DataFrame, batch_id: int, target: str, stages: dict[str, Stage]) -> dict[str, str]:
-    """Runs each stage on its own; the status table says which ones failed and why."""
+    """Runs each stage on its own; the status table says which ones failed and why. If the rows themselves could not be
+    stored, the batch fails once its status is written, so that it is not committed and is run again."""
     status = {}
+    lost = None
     for name, stage in stages.items():
         try:
             stage(batch).write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
             status[name] = "done"
         except Exception as error:  # noqa: BLE001 - one stage's failure must not stop the others
             status[name] = f"failed: {type(error).__name__}: {str(error)[:200]}"
+            lost = error if name == STORAGE else lost
     rows = [(name, text) for name, text in status.items()]
     report = batch.sparkSession.createDataFrame(rows, "stage string, status string")
     report.withColumn("finished_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(
         f"{target}/status/batch={batch_id}"
     )
+    if lost is not None:
+        raise lost
     return status
 
 

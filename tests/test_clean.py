@@ -11,7 +11,7 @@ from tallyfold.operators import clean as C
 from tallyfold.operators import merge, profile, scan, validate
 from tallyfold.plans.scale import Scale
 
-TINY = Scale(direct_rows=0, chunk_rows=9, hot_groups=3, bins=8)
+TINY = Scale(chunk_rows=9, hot_groups=3, bins=8)
 
 
 def values(df, column):
@@ -181,7 +181,7 @@ def test_scan_duplicates_of_a_hot_group(spark, scale):
 def test_outer_merge_matches_null_keys(spark, scale):
     a = spark.createDataFrame([(1, "x", 10), (None, "y", 20), (3, None, 30), (None, None, 40)], "k int, j string, p int")
     b = spark.createDataFrame([(1, "x", 7), (None, "y", 8), (9, "z", 9), (None, None, 6)], "k int, j string, q int")
-    got = {(r["k"], r["j"], r["p"], r["q"]) for r in merge.outer_merge(a, b, scale).collect()}
+    got = {(r["k"], r["j"], r["p"], r["q"]) for r in merge.outer_merge(a, b).collect()}
     assert got == {(1, "x", 10, 7), (None, "y", 20, 8), (3, None, 30, None), (9, "z", None, 9), (None, None, 40, 6)}
     assert merge.outer_merge(a, spark.createDataFrame([(1,)], "other int")) is None
 

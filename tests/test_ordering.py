@@ -12,7 +12,7 @@ from tallyfold.plans import ordering as O
 from tallyfold.plans.quantiles import group_quantile, quantiles
 from tallyfold.plans.scale import Scale
 
-TINY = Scale(direct_rows=0, chunk_rows=37, hot_groups=5, bins=16)
+TINY = Scale(chunk_rows=37, hot_groups=5, bins=16)
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from tallyfold.plans.scale import Scale
 from tallyfold.sources import readers, sinks
 from tallyfold.streaming.ingest import ingest_folder
 
-TINY = Scale(direct_rows=0, chunk_rows=11, hot_groups=3, bins=8)
+TINY = Scale(chunk_rows=11, hot_groups=3, bins=8)
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
@@ -163,7 +163,7 @@ def test_empty_query_keeps_order(spark):
 def test_chunks_of_one_dataset(spark):
     profile = spark.createDataFrame([("a", "int", 0.0, 3)], "column string, dtype string, missing_pct double, unique long")
     found = spark.createDataFrame([(f"a{i}", "b", "correlation", i / 100, "d", "m", "i") for i in range(60)], "col_a string, col_b string, type string, strength double, direction string, method string, insight string")
-    made = retrieval.build_chunks(profile, "5", profile, found, "a", {"metrics": ["a"]}, str(datetime.date(2024, 1, 1)))
+    made = retrieval.build_chunks(profile, "5", profile, found, "a", {"metrics": ["a"]}, str(datetime.date(2024, 1, 1)), ["cite facts only"])
     kinds = {r["chunk_type"]: r["count"] for r in made.groupBy("chunk_type").count().collect()}
-    assert kinds == {"column_fact": 1, "relationship": 50, "metric_definition": 1, "guardrail": 1}
-    assert made.select(F.countDistinct("chunk_id")).first()[0] == 53
+    assert kinds == {"column_fact": 1, "relationship": 60, "metric_definition": 1, "guardrail": 1}
+    assert made.select(F.countDistinct("chunk_id")).first()[0] == 63
