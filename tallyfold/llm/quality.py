@@ -56,7 +56,7 @@ def ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> tuple[lis
     """For each bucket the log of its share in trusted documents over its share in all, as seen by an n-gram of an untrusted and of
     a trusted document: the n-gram itself is left out of the counts. ``PRIOR`` n-grams with a ratio of one are added, so a
     bucket rarely met says little."""
-    hashed = _marked(docs, labels, most, _hashes(words()).alias("h"))
+    hashed = _marked(docs.select("doc_id", "text"), labels, most, _hashes(words()).alias("h"))
     grams = hashed.select("trusted", F.explode(F.concat("h", _pairs("h"))).alias("gram"))
     counts = grams.groupBy(F.pmod("gram", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(
         F.count("*").alias("raw"), F.count_if("trusted").alias("good")
@@ -80,7 +80,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
     untrusted, trusted = [F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>") for x in ratios(docs, labels, most)]
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    step = _marked(docs, labels, most, row, words().alias("words"))
+    step = _marked(docs.select(row, "doc_id", "text"), labels, most, "_row", words().alias("words"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     step = step.select("_row", "trusted", _hashes(F.col("words")).alias("h"), lines.alias("lines"))
     h, n = F.col("h"), F.size("h")
@@ -109,8 +109,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
         return F.aggregate("pairs", F.aggregate("h", F.lit(0.0), add), add)
 
     grams = n + F.size("pairs")
-    step = step.select(
-        "_row",
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(text, " " + _BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -118,6 +117,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
         covered.cast("long").alias("n_repeat_words"),
         F.when(grams > 0, F.when(F.col("trusted"), total(trusted)).otherwise(total(untrusted)) / grams).otherwise(0.0).alias("score"),
     )
+    # As rows of a generator the counts are formed once; a filter on them would otherwise be pushed down with all its steps.
+    step = step.select("_row", F.inline(F.array(counts)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return step.select("_row", F.struct(*[c for c in step.columns if c != "_row"]).alias("quality"))
