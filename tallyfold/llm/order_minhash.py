@@ -7,9 +7,10 @@ its edit similarity is 0.8 or more: the words common to both in order, by an ali
 allows, over the words of the longer text. Pairs whose shingle sets have a Jaccard similarity of 0.8 and keep their
 order reach that as well; two shingles a sketch and 24 sketches miss such a pair once in 10^10 times, one of 0.5 once in a thousand.
 
-Documents of the same words form a group first, so copies cost one row. Members of a bucket are aligned with its leader, not
-with each other; then links are joined to classes, and only buckets whose members still belong to several classes
-choose further leaders, until every pair of a bucket that could join two classes has been aligned.
+Documents of the same words form a group first, so copies cost one row. Members of a bucket are aligned with its leader, not with each
+other: those linked to it are done, the others go on under a leader of their own until none is left. A bucket that stays wide, because
+its members share a passage and little else, is cut by rare words first, which loses no link. Links are then joined to classes,
+and members outside the largest class of a bucket are aligned with some inside it once more.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 TAKEN = 2
-#: Leaders that a bucket with several classes chooses in its first further round; each later round takes twice as many.
-LEADERS = 16
-#: Buckets of more classes than this after the first round are cut by rare words.
-CLASSES = 32
+#: Buckets of at most so many members are compared pair by pair. Those that are wider after so many leaders are cut by rare words.
+WIDE = 8
+PEELED = 6
+#: Members of a bucket's largest class that those outside it meet at the end.
+AGAIN = 4
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -172,8 +174,14 @@ def _links(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     return rows.filter("similarity > 0")
 
 
+def _unlinked(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket members other than the leader that no link ties to it."""
+    tied = links.select(F.col("a").alias("leader"), F.col("b").alias("rep"))
+    return members.filter("rep <> leader").join(tied, ["leader", "rep"], "left_anti").select("key", "rep")
+
+
 def _split(wide: DataFrame, texts: DataFrame) -> DataFrame:
-    """Buckets of members of very many classes, as documents have that share a passage and little else, cut into smaller
+    """Buckets of very many members that are not linked, as documents have that share a passage and little else, cut into smaller
     ones by rare words. Of ``n`` words two linked documents share 0.8 n, so, ordered from rare to frequent, they meet in one
     of the first ``n - 0.8 n + 1``: no link is lost, and the words of the passage, being frequent, bring nobody together."""
     reps = wide.select("rep").distinct()
@@ -228,38 +236,42 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = stored(members.join(sizes, "key").select("key", "rep", "leader"))
     pairs = stored(members.filter("rep <> leader").selectExpr("leader AS a", "rep AS b").distinct())
     needed = pairs.selectExpr("a AS doc_id").unionByName(pairs.selectExpr("b AS doc_id")).distinct()
-    texts = stored(docs.join(needed, "doc_id").dropDuplicates(["doc_id"]))
+    # Ids in candidate pairs grow with the corpus: sorted and merged at every size, never broadcast.
+    texts = stored(docs.join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     links = stored(_links(pairs, texts, kind))
-    members = stored(members.filter("rep <> leader").select("key", "rep"))
-    tested, classes, most, first = pairs, stored(components(links)), LEADERS, True
-    while True:
-        named = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("class_id", "rep").alias("class_id")
-        )
-        mixed = named.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high")
-        members = stored(named.join(mixed.select("key"), "key"))
-        if empty(members):
-            break
-        if first:
-            first = False
-            apart = members.select("key", "class_id").distinct().groupBy("key").count().filter(F.col("count") > CLASSES)
-            wide = members.join(apart.select("key"), "key").select("key", "rep")
-            narrow = members.join(apart.select("key"), "key", "left_anti").select("key", "rep")
-            members = stored(narrow.unionByName(_split(wide, texts)))
+    # Whoever is linked to the leader has found its class in this bucket; the others go on without the leader.
+    left, round_ = stored(_unlinked(members, links)), 0
+    while not empty(left):
+        sizes = left.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+        left = stored(left.join(sizes, "key").select("key", "rep", "leader", (F.col("n") > WIDE).alias("wide")))
+        few, led = left.filter("NOT wide").select("key", "rep"), left.filter("wide").drop("wide")
+        round_ += 1
+        if round_ == PEELED:
+            # Leaders no longer tell these members apart.
+            left = stored(_split(led.select("key", "rep"), texts).unionByName(few))
             continue
-        place = F.row_number().over(Window.partitionBy("key").orderBy("n", "class_id", "rep"))
-        leaders = members.join(members.groupBy("key", "class_id").agg(F.count("*").alias("n")), ["key", "class_id"])
-        leaders = stored(leaders.withColumn("place", place).filter(F.col("place") <= most).select("key", "rep", "class_id"))
-        new = leaders.selectExpr("key", "rep AS leader", "class_id AS own").join(members, "key").filter("class_id <> own")
-        new = new.selectExpr("least(rep, leader) AS a", "greatest(rep, leader) AS b").distinct()
-        pairs = stored(new.join(tested, ["a", "b"], "left_anti"))
+        within = few.selectExpr("key", "rep AS a").join(few.selectExpr("key", "rep AS b"), "key").filter("a < b").select("a", "b")
+        pairs = led.filter("rep <> leader").selectExpr("leader AS a", "rep AS b").unionByName(within).distinct()
         more = stored(_links(pairs, texts, kind))
-        if not empty(more):
-            links = links.unionByName(more)
-            classes = stored(components(links))
-        tested = tested.unionByName(pairs)
-        members = members.join(leaders, ["key", "rep"], "left_anti").select("key", "rep")
-        most *= 2
+        links = links.unionByName(more)
+        left = stored(_unlinked(led, more))
+    links = stored(links.dropDuplicates(["a", "b"]))
+    classes = stored(components(links))
+    # A member of another class may be linked to one that left the bucket earlier: those outside a bucket's largest class meet
+    # some of its members once more.
+    named = members.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    parts = named.groupBy("key", "class_id").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.max("n").alias("n"), F.count("*").alias("parts"))
+    mixed = stored(named.join(largest.filter("parts > 1 AND n > 1").select("key", "main"), "key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
+    some = mixed.filter("class_id = main").withColumn("place", place).filter(F.col("place") <= AGAIN)
+    again = some.selectExpr("key", "rep AS a").join(mixed.filter("class_id <> main").selectExpr("key", "rep AS b"), "key")
+    again = again.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(links, ["a", "b"], "left_anti")
+    more = stored(_links(again, texts, kind))
+    if not empty(more):
+        links = links.unionByName(more)
+        classes = stored(components(links))
     counts = links.selectExpr("a AS rep").unionByName(links.selectExpr("b AS rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = (
         groups.select("content", "rep")
