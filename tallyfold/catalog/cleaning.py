@@ -498,3 +498,27 @@ def validate_email(spark, folder):
 )
 def validate_phone(spark, folder):
     return validate.phone_validity(table(spark, folder, "customer").selectExpr(f"{PHONE} AS phone"), "phone")
+
+
+@REG.add(
+    "scan_missing_key",
+    """SELECT CAST(NULL AS BIGINT) AS row_key, 'id' AS "column", 'missing' AS issue_type FROM orders WHERE o_orderkey % 50 = 7
+       UNION ALL SELECT o_orderkey, 'amount', 'missing' FROM orders WHERE o_orderkey % 50 = 9""",
+)
+def scan_missing_key(spark, folder):
+    gaps = table(spark, folder, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 50 <> 7 THEN o_orderkey END AS id", "CASE WHEN o_orderkey % 50 <> 9 THEN o_totalprice END AS amount"
+    )
+    return scan.missing_cells(gaps, "id").select("row_key", "column", "issue_type")
+
+
+@REG.add(
+    "apply_outlier_selected_zscore",
+    """WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM orders)
+       SELECT o_orderkey, o_totalprice FROM orders, s WHERE abs(o_totalprice - m) / d <= 1.5""",
+)
+def apply_outlier_selected_zscore(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    bounds = outliers.fit(orders, "zscore", 1.5, ["o_totalprice"])
+    found = outliers.outlier_cells(orders, bounds, ["o_orderkey"])
+    return outliers.apply_bounds(orders, bounds, "remove", selected=found, key=["o_orderkey"])

@@ -451,3 +451,14 @@ def chart_multi_series(spark, folder):
 )
 def chart_top_points(spark, folder):
     return charts.top_points(table(spark, folder, "events"), "user_id", "value")
+
+
+@REG.add(
+    "kpi_count_gaps",
+    """SELECT o_orderstatus, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS value FROM orders GROUP BY 1""",
+)
+def kpi_count_gaps(spark, folder):
+    gaps = table(spark, folder, "orders").selectExpr(
+        "o_orderstatus", "CASE WHEN o_orderkey % 3 = 0 THEN double('NaN') ELSE o_totalprice END AS price"
+    )
+    return kpi.group_values(gaps, ["o_orderstatus"], "price", "count")

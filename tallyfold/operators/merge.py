@@ -26,10 +26,12 @@ def outer_merge(left: DataFrame, right: DataFrame) -> DataFrame | None:
     condition = null_safe(a, renamed, [(k, f"_right_{k}") for k in keys])
     rest = [c for c in b.columns if c not in keys]
     matched = a.join(renamed, condition, "inner").select(*[F.col(f"`{c}`") for c in [*a.columns, *rest]])
-    right_keys = renamed.select(*[F.col(f"`_right_{k}`") for k in keys]).distinct()
-    only_left = a.join(right_keys, null_safe(a, right_keys, [(k, f"_right_{k}") for k in keys]), "left_anti")
-    left_keys = a.select(*[F.col(f"`{k}`").alias(f"_left_{k}") for k in keys]).distinct()
-    only_right = b.join(left_keys, null_safe(b, left_keys, [(k, f"_left_{k}") for k in keys]), "left_anti")
+    right_keys = renamed.select(*[F.col(f"`_right_{k}`") for k in keys], F.lit(True).alias("_met")).distinct()
+    only_left = a.join(right_keys, null_safe(a, right_keys, [(k, f"_right_{k}") for k in keys]), "left")
+    only_left = only_left.filter("_met IS NULL").select(*[F.col(f"`{c}`") for c in a.columns])
+    left_keys = a.select(*[F.col(f"`{k}`").alias(f"_left_{k}") for k in keys], F.lit(True).alias("_met")).distinct()
+    only_right = b.join(left_keys, null_safe(b, left_keys, [(k, f"_left_{k}") for k in keys]), "left")
+    only_right = only_right.filter("_met IS NULL").select(*[F.col(f"`{c}`") for c in b.columns])
     return matched.unionByName(only_left, True).unionByName(only_right, True)
 
 

@@ -396,8 +396,16 @@ def apply_bounds(
     """Applies stored bounds after review: ``cap`` or ``remove``.
 
     Without ``selected`` every row is tested against the bounds again. With ``selected`` (a frame of
-    keys) only those rows are touched, found by a left semi / left join on the key."""
-    chosen = [b for b in bounds if (not target_columns or b.column in target_columns) and b.lower is not None]
+    keys) only those rows are touched, found by a left semi / left join on the key. Methods without bounds (z-score, isolation
+    forest, local outlier factor) cannot be tested again: their findings are removed by the recorded keys."""
+    wanted = [b for b in bounds if not target_columns or b.column in target_columns]
+    chosen = [b for b in wanted if b.lower is not None]
+    if len(chosen) < len(wanted):
+        if action != "remove" or selected is None:
+            raise ValueError("findings without bounds can only be removed, by their recorded keys")
+        return df.join(selected.select(*[F.col(f"`{k}`") for k in key]).distinct(), key, "left_anti").select(
+            *[F.col(f"`{c}`") for c in df.columns]
+        )
     if not chosen:
         return df
     outside = {

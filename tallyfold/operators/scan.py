@@ -20,7 +20,7 @@ COLUMNS = ["row_key", "column", "issue_type", "description", "current_value", "s
 
 def missing_cells(df: DataFrame, row_key: str) -> DataFrame:
     table = without_nan(df)
-    cells = F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in df.columns if c != row_key])
+    cells = F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in df.columns])
     found = table.select(F.col(f"`{row_key}`").alias("row_key"), F.explode(F.array_compact(cells)).alias("column"))
     return found.select(
         "row_key", "column",
@@ -39,7 +39,6 @@ def token_cells(df: DataFrame, row_key: str) -> DataFrame:
                 F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("current_value")),
             )
             for c in text_columns(df)
-            if c != row_key
         ]
     )
     found = df.select(F.col(f"`{row_key}`").alias("row_key"), F.inline(F.array_compact(cells)))
@@ -88,7 +87,8 @@ def duplicate_rows(df: DataFrame, row_key: str, key: list[str] | None = None, sc
     """Every later copy of a row with the key of the first one.
 
     Groups are counted and reduced to their first row before anything is joined, and only groups with
-    copies are joined back; a group holding a large share of the rows is joined without moving its rows."""
+    copies are joined back; a group holding a large share of the rows is joined without moving its rows. A row without a
+    key is a later copy of one that has a key."""
     keys = key or [c for c in default_key(df) if c != row_key]
     table = without_nan(df)
     named = [F.col(f"`{c}`") for c in keys]
@@ -100,7 +100,7 @@ def duplicate_rows(df: DataFrame, row_key: str, key: list[str] | None = None, sc
     rows = table.select(F.col(f"`{row_key}`").alias("row_key"), *[c for c in named])
     rows = rows if row_key not in keys else table.withColumn("row_key", F.col(f"`{row_key}`"))
     matched = attach_skewed(rows, groups, keys, "_n", row_count(df), scale)
-    return matched.filter(F.col("row_key") != F.col("_first")).select(
+    return matched.filter(~F.col("row_key").eqNullSafe(F.col("_first"))).select(
         "row_key",
         F.lit(None).cast("string").alias("column"),
         F.lit("duplicate").alias("issue_type"),

@@ -137,6 +137,8 @@ def running_sum(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = F.coalesce(F.sum("_rs_w").over(inside), F.lit(0))
+    if scale.chunks(rows) == 1:  # no earlier chunk to add
+        return chunked.withColumn(output, local).drop("_rs_w", CHUNK)
     totals = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(F.sum("_rs_w").alias("_rs_t"))
     across = (
         Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
@@ -193,6 +195,8 @@ def carried(
 
     local = chunked.withColumns({f"_l_{n}": nearest(f"_v_{n}", ahead, earlier, later) for n, _, ahead in wanted})
     scratch = [CHUNK, *[f"{p}{n}" for n, _, _ in wanted for p in ("_v_", "_l_", "_c_")]]
+    if scale.chunks(rows) == 1:  # no other chunk hands anything on
+        return local.withColumns({n: F.col(f"_l_{n}") for n, _, _ in wanted}).drop(*scratch)
     # Per key and chunk, the values it hands on: its last non-null ones in order, or its first.
     order = F.struct(*[F.col(f"`{c}`") for c in order_by])
     handed = chunked.groupBy(*keys, CHUNK).agg(
