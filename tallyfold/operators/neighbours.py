@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.numbers import number
-from tallyfold.plans.ordering import BLOCK, HALO, POSITION, attach_skewed, running_sum, with_blocks
+from tallyfold.plans.ordering import BLOCK, HALO, POSITION, attach, running_sum, with_blocks
 from tallyfold.plans.scale import DEFAULT, Scale
 
 MAX_NEIGHBOURS = 20
@@ -47,7 +47,7 @@ def density_outliers(
     scored = spread.groupBy(BLOCK).applyInPandas(score, "_x double, _n long, _factor double")
     # Copies of a value can differ in factor only through which of their equally near neighbours were taken.
     facts = scored.groupBy("_x").agg((F.avg("_factor") > THRESHOLD).alias(output), F.max("_n").alias("_n"))
-    known = attach_skewed(cells.filter("_x is not null"), facts, ["_x"], "_n", rows, scale)
+    known = attach(cells.filter("_x is not null"), facts, ["_x"])
     absent = cells.filter("_x is null").withColumn(output, F.lit(False))
     names = [F.col(f"`{c}`") for c in [*df.columns, output]]
     return known.select(*names).unionByName(absent.select(*names))

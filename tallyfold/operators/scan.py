@@ -11,8 +11,8 @@ from tallyfold.functions.numbers import without_nan
 from tallyfold.functions.text import is_missing_token
 from tallyfold.operators.outliers import Bounds, fit, outlier_cells
 from tallyfold.operators.profile import default_key, text_columns
-from tallyfold.plans.ordering import attach_skewed
-from tallyfold.plans.scale import DEFAULT, Scale, row_count
+from tallyfold.plans.ordering import attach
+from tallyfold.plans.scale import DEFAULT, Scale
 
 OUTLIER_THRESHOLD = 3.0
 COLUMNS = ["row_key", "column", "issue_type", "description", "current_value", "severity"]
@@ -99,7 +99,7 @@ def duplicate_rows(df: DataFrame, row_key: str, key: list[str] | None = None, sc
     )
     rows = table.select(F.col(f"`{row_key}`").alias("row_key"), *[c for c in named])
     rows = rows if row_key not in keys else table.withColumn("row_key", F.col(f"`{row_key}`"))
-    matched = attach_skewed(rows, groups, keys, "_n", row_count(df), scale)
+    matched = attach(rows, groups, keys)
     return matched.filter(~F.col("row_key").eqNullSafe(F.col("_first"))).select(
         "row_key",
         F.lit(None).cast("string").alias("column"),

@@ -21,7 +21,7 @@ from tallyfold.operators.relations import NAMES
 from tallyfold.operators.roles import ColumnFacts, category, column_facts, is_noise
 from tallyfold.operators.tools import correlations
 from tallyfold.plans import names as N
-from tallyfold.plans.ordering import attach_skewed, average_ranks
+from tallyfold.plans.ordering import attach, average_ranks
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
 from tallyfold.session import stored
 
@@ -134,12 +134,14 @@ def spearman_rho(df: DataFrame, columns: list[str], rows: int | None = None, sca
 
 
 def _rank_correlations(df, cells, columns, pairs, rows, scale) -> DataFrame:
-    ranked = df.select(*[cells[c].alias(f"v{i}") for i, c in enumerate(columns)])
+    # Ranks come from the source each, not from the joins before, so the plan grows with the columns and no faster.
+    base = df.select(*[cells[c].alias(f"v{i}") for i, c in enumerate(columns)])
+    ranked = base
     for i, _ in enumerate(columns):
-        facts = column_ranks(ranked, F.col(f"v{i}"), rows, scale).select(
+        facts = column_ranks(base, F.col(f"v{i}"), rows, scale).select(
             F.col("value").alias(f"v{i}"), F.col("n").alias("_n"), F.col("avg_rank").alias(f"r{i}")
         )
-        ranked = attach_skewed(ranked, facts, [f"v{i}"], "_n", rows, scale).drop("_n", f"v{i}")
+        ranked = attach(ranked, facts, [f"v{i}"]).drop("_n", f"v{i}")
     at = {c: i for i, c in enumerate(columns)}
     wide = ranked.agg(*[F.corr(f"r{at[a]}", f"r{at[b]}").alias(f"rho{i}") for i, (a, b) in enumerate(pairs)])
     rows_ = [
@@ -217,7 +219,7 @@ def kruskal_pairs(
     counted = _group_cells(df, pairs, True).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy("pair", "a").agg(F.sum("n").alias("size"))
     usable = sizes.filter("size >= 2")
-    kept = attach_skewed(counted, usable, ["pair", "a"], "size", rows * len(pairs), scale).drop("size")
+    kept = attach(counted, usable, ["pair", "a"]).drop("size")
     values = kept.groupBy("pair", F.col("b").alias("value")).agg(F.sum("n").alias("n"))
     ranks = average_ranks(values, ["pair"], rows, scale)
     group_ranks = (

@@ -29,7 +29,10 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of rows with one fact row per key, where null keys are keys too."""
+    """Inner join of rows with one fact row per key, where null keys are keys too.
+
+    A key may hold a large share of the rows: they meet a single row each, and adaptive execution splits a partition of
+    such an inner join among tasks."""
     renamed = facts.select(
         *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
         *[F.col(f"`{c}`") for c in facts.columns if c not in keys],
@@ -38,29 +41,6 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, condition, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def attach_skewed(
-    rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, scale: Scale = DEFAULT
-) -> DataFrame:
-    """``attach`` where a key may hold a large share of all rows.
-
-    Keys with more than ``total / hot_groups`` rows number fewer than ``hot_groups``, so they are safe to
-    broadcast and their rows never move. The remaining rows shuffle, no key of theirs being large.
-    """
-    limit = total / scale.hot_groups
-    hot = facts.filter(F.col(weight) > limit).withColumn("_hot", F.lit(True))
-    cold = facts.filter(F.col(weight) <= limit)
-    renamed = hot.select(
-        *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.struct(*[F.col(f"`{c}`") for c in facts.columns if c not in keys]).alias("_facts"),
-        "_hot",
-    )
-    condition = null_safe(rows, renamed, [(k, f"_k{i}") for i, k in enumerate(keys)])
-    marked = rows.join(F.broadcast(renamed), condition, "left").drop(*[f"_k{i}" for i in range(len(keys))])
-    from_hot = marked.filter("_hot").select(*[F.col(f"`{c}`") for c in rows.columns], "_facts.*")
-    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", "_facts")
-    return from_hot.unionByName(attach(rest, cold, keys).select(*from_hot.columns))
-
-
 def order_number(df: DataFrame, name: str) -> Column:
     """A number that sorts like the column, equal at worst for values that differ; for texts, which sort by their bytes, the first six of them."""
     kind = df.schema[name].dataType

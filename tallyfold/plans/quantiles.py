@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.plans.ordering import attach_skewed, running_sum
+from tallyfold.plans.ordering import attach, running_sum
 from tallyfold.plans.scale import DEFAULT, Scale
 
 
@@ -128,7 +128,7 @@ def group_quantile(
     low, high = F.floor(at), F.ceil(at)
     end = F.col("_below") + F.col("n")
     picked = (
-        attach_skewed(ranked, filled, keys, "_size", rows, scale)
+        attach(ranked, filled, keys)
         .groupBy(*named)
         .agg(
             F.max(F.when((F.col("_below") <= low) & (low < end), F.col("value"))).alias("_lo"),

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 @dataclass(frozen=True)
 class Scale:
     """``chunk_rows``: rows aimed at per ordered chunk.
-    ``hot_groups``: most groups that may be treated as hot, hence the row bound of a broadcast.
     ``bins``: histogram bins per open quantile; ``collected``: most bin rows brought to the driver."""
 
     chunk_rows: int = 2_000_000
-    hot_groups: int = 1_000
     bins: int = 4_096
     collected: int = 400_000
 

@@ -11,7 +11,7 @@ from tallyfold.operators import clean as C
 from tallyfold.operators import merge, profile, scan, validate
 from tallyfold.plans.scale import Scale
 
-TINY = Scale(chunk_rows=9, hot_groups=3, bins=8)
+TINY = Scale(chunk_rows=9, bins=8)
 
 
 def values(df, column):

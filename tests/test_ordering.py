@@ -12,7 +12,7 @@ from tallyfold.plans import ordering as O
 from tallyfold.plans.quantiles import group_quantile, quantiles
 from tallyfold.plans.scale import Scale
 
-TINY = Scale(chunk_rows=37, hot_groups=5, bins=16)
+TINY = Scale(chunk_rows=37, bins=16)
 
 
 @pytest.fixture(scope="module")
@@ -86,10 +86,10 @@ def test_blocks_hold_all_neighbours(skewed):
 
 
 @pytest.mark.parametrize("scale", [TINY, Scale()])
-def test_attach_skewed_keeps_every_row(spark, skewed, scale):
+def test_attach_keeps_every_row(spark, skewed, scale):
     df, frame = skewed
     facts = df.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    got = O.attach_skewed(df, facts, ["value"], "n", len(frame), scale).toPandas()
+    got = O.attach(df, facts, ["value"]).toPandas()
     assert sorted(got.id) == sorted(frame.id)
     first = frame.groupby("value", dropna=False).id.min()
     for value, found in zip(got.value, got["first"]):

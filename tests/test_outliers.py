@@ -10,7 +10,7 @@ from tallyfold.operators.isolation import StepScore, _tree, average_path
 from tallyfold.operators.neighbours import density_outliers
 from tallyfold.plans.scale import Scale
 
-TINY = Scale(chunk_rows=40, hot_groups=4, bins=16)
+TINY = Scale(chunk_rows=40, bins=16)
 
 
 def frame(spark, values, name="v", kind="double"):

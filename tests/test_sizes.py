@@ -11,7 +11,7 @@ from tallyfold.plans.quantiles import group_quantile, quantiles
 from tallyfold.plans.scale import Scale
 from tallyfold.streaming.ingest import run_stages
 
-SIZES = [Scale(), Scale(chunk_rows=7, hot_groups=3, bins=16)]
+SIZES = [Scale(), Scale(chunk_rows=7, bins=16)]
 
 
 @pytest.mark.parametrize("scale", SIZES)

@@ -9,7 +9,7 @@ from tallyfold.plans.scale import Scale
 from tallyfold.sources import readers, sinks
 from tallyfold.streaming.ingest import ingest_folder
 
-TINY = Scale(chunk_rows=11, hot_groups=3, bins=8)
+TINY = Scale(chunk_rows=11, bins=8)
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])

@@ -8,7 +8,7 @@ from tallyfold.operators import pps, relations, stats
 from tallyfold.operators.roles import column_facts
 from tallyfold.plans.scale import Scale
 
-TINY = Scale(chunk_rows=30, hot_groups=4, bins=16)
+TINY = Scale(chunk_rows=30, bins=16)
 
 
 # Tabulated values of the distributions.
