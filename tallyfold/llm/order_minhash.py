@@ -240,21 +240,27 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = stored(docs.join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     links = stored(_links(pairs, texts, kind))
     # Whoever is linked to the leader has found its class in this bucket; the others go on without the leader.
-    left, round_ = stored(_unlinked(members, links)), 0
+    left, round_, most = stored(_unlinked(members, links)), 0, 1
+    order = Window.partitionBy("key").orderBy("rep")
     while not empty(left):
-        sizes = left.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-        left = stored(left.join(sizes, "key").select("key", "rep", "leader", (F.col("n") > WIDE).alias("wide")))
+        sizes = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        left = stored(left.join(sizes, "key").select("key", "rep", (F.col("n") > WIDE).alias("wide"), F.row_number().over(order).alias("place")))
         few, led = left.filter("NOT wide").select("key", "rep"), left.filter("wide").drop("wide")
         round_ += 1
         if round_ == PEELED:
             # Leaders no longer tell these members apart.
             left = stored(_split(led.select("key", "rep"), texts).unionByName(few))
             continue
+        # After the cut the number of leaders grows, so that the rounds stay few.
+        most = 1 if round_ < PEELED else 4 * most
         within = few.selectExpr("key", "rep AS a").join(few.selectExpr("key", "rep AS b"), "key").filter("a < b").select("a", "b")
-        pairs = led.filter("rep <> leader").selectExpr("leader AS a", "rep AS b").unionByName(within).distinct()
+        leaders = led.filter(F.col("place") <= most).selectExpr("key", "rep AS leader", "place AS at")
+        met = leaders.join(led, "key").filter("place > at")
+        pairs = met.selectExpr("leader AS a", "rep AS b").unionByName(within).distinct()
         more = stored(_links(pairs, texts, kind))
         links = links.unionByName(more)
-        left = stored(_unlinked(led, more))
+        tied = met.join(more.selectExpr("a AS leader", "b AS rep"), ["leader", "rep"]).select("key", "rep").distinct()
+        left = stored(led.filter(F.col("place") > most).select("key", "rep").join(tied, ["key", "rep"], "left_anti"))
     links = stored(links.dropDuplicates(["a", "b"]))
     classes = stored(components(links))
     # A member of another class may be linked to one that left the bucket earlier: those outside a bucket's largest class meet
