@@ -10,7 +10,8 @@ order reach that as well; two shingles a sketch and 24 sketches miss such a pair
 Documents of the same words form a group first, so copies cost one row. Members of a bucket are aligned with its leader, not with each
 other: those linked to it are done, the others go on under a leader of their own until none is left. A bucket that stays wide, because
 its members share a passage and little else, is cut by rare words first, which loses no link. Links are then joined to classes,
-and members outside the largest class of a bucket are aligned with some inside it once more.
+and members of a bucket that lie in different classes and were not aligned yet are aligned with each other, so that in the end every
+pair of a bucket lies in one class or was aligned.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ TAKEN = 2
 #: Buckets of at most so many members are compared pair by pair. Those that are wider after so many leaders are cut by rare words.
 WIDE = 8
 PEELED = 6
-#: Members of a bucket's largest class that those outside it meet at the end.
-AGAIN = 4
+#: Members of a bucket that are paired by one task at the end; the others of their bucket are repeated for each such part.
+PART = 1024
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -196,8 +197,34 @@ def _split(wide: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = words.groupBy("rep").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "word"))
     ranked = words.join(rarity, "word").join(sizes, "rep").withColumn("place", place)
-    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).select("rep", "word")
-    return wide.join(prefix, "rep").select(F.xxhash64("key", "word").alias("key"), "rep")
+    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
+    # A word of one document brings nobody together.
+    prefix = prefix.filter("holders > 1").select("rep", "word")
+    return wide.join(prefix, "rep").select(F.xxhash64("key", "word").alias("key"), *[c for c in wide.columns if c != "key"])
+
+
+def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of bucket members in different classes that were not aligned before, each once. Buckets of many members are cut by
+    rare words. In each piece members outside the largest class meet all of other classes, so a class is not paired with itself."""
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        parts = rows.groupBy("key", "class_id").agg(F.count("*").alias("n"))
+        main = F.max_by("class_id", F.struct("n", "class_id")).alias("main")
+        parts = parts.groupBy("key").agg(main, F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+        return rows.join(parts.drop("classes"), "key")
+
+    named = members.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    named = stored(mixed(named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))))
+    wide = _split(named.filter(F.col("n") > WIDE).select("key", "rep", "class_id"), texts)
+    pieces = stored(mixed(wide.unionByName(named.filter(F.col("n") <= WIDE).select("key", "rep", "class_id"))))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    some = pieces.filter("class_id <> main").select(
+        "key", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("x"), F.col("class_id").alias("x_class")
+    )
+    others = pieces.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("y"), F.col("class_id").alias("y_class"), "main")
+    met = some.join(others, ["key", "part"]).filter("x_class <> y_class AND (y_class = main OR x_class < y_class)")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,7 +267,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = stored(docs.join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     links = stored(_links(pairs, texts, kind))
     # Whoever is linked to the leader has found its class in this bucket; the others go on without the leader.
-    left, round_, most = stored(_unlinked(members, links)), 0, 1
+    left, round_, most, tried = stored(_unlinked(members, links)), 0, 1, pairs
     order = Window.partitionBy("key").orderBy("rep")
     while not empty(left):
         sizes = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -256,25 +283,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
         within = few.selectExpr("key", "rep AS a").join(few.selectExpr("key", "rep AS b"), "key").filter("a < b").select("a", "b")
         leaders = led.filter(F.col("place") <= most).selectExpr("key", "rep AS leader", "place AS at")
         met = leaders.join(led, "key").filter("place > at")
-        pairs = met.selectExpr("leader AS a", "rep AS b").unionByName(within).distinct()
+        pairs = stored(met.selectExpr("leader AS a", "rep AS b").unionByName(within).distinct())
+        tried = tried.unionByName(pairs)
         more = stored(_links(pairs, texts, kind))
         links = links.unionByName(more)
         tied = met.join(more.selectExpr("a AS leader", "b AS rep"), ["leader", "rep"]).select("key", "rep").distinct()
         left = stored(led.filter(F.col("place") > most).select("key", "rep").join(tied, ["key", "rep"], "left_anti"))
     links = stored(links.dropDuplicates(["a", "b"]))
     classes = stored(components(links))
-    # A member of another class may be linked to one that left the bucket earlier: those outside a bucket's largest class meet
-    # some of its members once more.
-    named = members.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    parts = named.groupBy("key", "class_id").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.max("n").alias("n"), F.count("*").alias("parts"))
-    mixed = stored(named.join(largest.filter("parts > 1 AND n > 1").select("key", "main"), "key"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
-    some = mixed.filter("class_id = main").withColumn("place", place).filter(F.col("place") <= AGAIN)
-    again = some.selectExpr("key", "rep AS a").join(mixed.filter("class_id <> main").selectExpr("key", "rep AS b"), "key")
-    again = again.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(links, ["a", "b"], "left_anti")
-    more = stored(_links(again, texts, kind))
+    # A member of another class may be linked to one that left the bucket earlier. Classes only grow, so one such step is whole.
+    more = stored(_links(_across(members, classes, tried, texts), texts, kind))
     if not empty(more):
         links = links.unionByName(more)
         classes = stored(components(links))

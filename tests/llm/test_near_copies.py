@@ -70,6 +70,20 @@ def test_classes_against_all_pairs(spark):
     assert found == {i: root(i) for i in range(len(texts))}
 
 
+def test_bridge_to_a_member_that_left_its_bucket(spark):
+    words = prose(100, 7).split()
+    texts = [" ".join(words)]
+    for i in range(120):
+        at = 15 + i % 65
+        texts.append(" ".join(words[:at] + [f"own{i}x{j}" for j in range(8)] + words[at + 8 : 90]))
+    # All lie in the class of the first; the last is similar to the one before it only.
+    texts += [" ".join(words[:90]), " ".join(words[15:90])]
+    hashes = [W.read([t.encode()]).hashes for t in texts]
+    assert [i for i in range(len(texts) - 1) if lcs_bound(hashes[i], hashes[-1])] == [len(texts) - 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.class_id for r in M.near_copies(docs).collect()} == {0}
+
+
 def lcs_bound(a, b):
     return min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and M.common_length(a.tolist(), b.tolist(), max(len(a), len(b))) >= 0.8 * max(len(a), len(b))
 
