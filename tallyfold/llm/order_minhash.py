@@ -181,6 +181,12 @@ def _unlinked(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.filter("rep <> leader").join(tied, ["leader", "rep"], "left_anti").select("key", "rep")
 
 
+def _leaders(led: DataFrame, most: int) -> DataFrame:
+    """The ``most`` least members of each bucket. The filter on the number limits a bucket in every task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    return led.withColumn("place", place).filter(F.col("place") <= most).selectExpr("key", "rep AS leader")
+
+
 def _split(wide: DataFrame, texts: DataFrame) -> DataFrame:
     """Buckets of very many members that are not linked, as documents have that share a passage and little else, cut into smaller
     ones by rare words. Of ``n`` words two linked documents share 0.8 n, so, ordered from rare to frequent, they meet in one
@@ -268,10 +274,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     links = stored(_links(pairs, texts, kind))
     # Whoever is linked to the leader has found its class in this bucket; the others go on without the leader.
     left, round_, most, tried = stored(_unlinked(members, links)), 0, 1, pairs
-    order = Window.partitionBy("key").orderBy("rep")
     while not empty(left):
         sizes = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        left = stored(left.join(sizes, "key").select("key", "rep", (F.col("n") > WIDE).alias("wide"), F.row_number().over(order).alias("place")))
+        left = stored(left.join(sizes, "key").select("key", "rep", (F.col("n") > WIDE).alias("wide")))
         few, led = left.filter("NOT wide").select("key", "rep"), left.filter("wide").drop("wide")
         round_ += 1
         if round_ == PEELED:
@@ -281,14 +286,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         # After the cut the number of leaders grows, so that the rounds stay few.
         most = 1 if round_ < PEELED else 4 * most
         within = few.selectExpr("key", "rep AS a").join(few.selectExpr("key", "rep AS b"), "key").filter("a < b").select("a", "b")
-        leaders = led.filter(F.col("place") <= most).selectExpr("key", "rep AS leader", "place AS at")
-        met = leaders.join(led, "key").filter("place > at")
+        leaders = stored(_leaders(led, most))
+        met = leaders.join(led, "key").filter("rep > leader")
         pairs = stored(met.selectExpr("leader AS a", "rep AS b").unionByName(within).distinct())
         tried = tried.unionByName(pairs)
         more = stored(_links(pairs, texts, kind))
         links = links.unionByName(more)
         tied = met.join(more.selectExpr("a AS leader", "b AS rep"), ["leader", "rep"]).select("key", "rep").distinct()
-        left = stored(led.filter(F.col("place") > most).select("key", "rep").join(tied, ["key", "rep"], "left_anti"))
+        rest = led.join(leaders.withColumnRenamed("leader", "rep"), ["key", "rep"], "left_anti")
+        left = stored(rest.join(tied, ["key", "rep"], "left_anti"))
     links = stored(links.dropDuplicates(["a", "b"]))
     classes = stored(components(links))
     # A member of another class may be linked to one that left the bucket earlier. Classes only grow, so one such step is whole.

@@ -100,3 +100,11 @@ def test_odd_rows(odd, none):
     assert classes == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11}
     assert sum(r.doc_id is None for r in rows) == 2
     assert M.near_copies(none).collect() == []
+
+
+def test_leaders_are_limited_before_the_shuffle(spark):
+    led = spark.range(1000).selectExpr("id % 2 AS key", "id AS rep").repartition(3)
+    found = M._leaders(led, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") != plan.rindex("WindowGroupLimit")
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (0, 2), (1, 1), (1, 3)]
