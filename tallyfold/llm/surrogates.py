@@ -4,7 +4,8 @@ One pattern finds the mentions. A mention becomes pieces, each plain text or an
 that one person, number or address is the same entity however it is written. Every different entity gets one surrogate
 from a keyed digest: digits for digits, letters for letters of the same script and case, given names of the same gender, addresses in
 their own form. Entities whose surrogate another entity has, or that is itself an entity of the corpus, are numbered on and
-derived again until there are none, so different entities stay different. Only texts with a mention are moved.
+derived again until there are none, so different entities stay different. From the fifth attempt on the form grows with every attempt,
+so there is a free one for any number of entities after few rounds. Only texts with a mention are moved.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.shared import empty, stored
 
 KEY = "surrogates"
+#: Attempts at a surrogate of the entity's own form, before the form grows.
+SHORT = 4
 
 # Forms of address, given names by gender and script, syllables of made-up surnames.
 TITLES = {
@@ -171,26 +174,34 @@ def _derive(entities: DataFrame, key: str) -> DataFrame:
     """A surrogate, in canonical form, for every entity and its number of earlier attempts."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), "type", "entity", F.col("attempt").cast("string")), 256)
     rows = entities.withColumn("digest", digest)
-    longer = F.repeat(F.lit("0"), F.floor(F.col("attempt") / 8).cast("int"))
+    # One digit, name part, syllable, letter or octet of any width more by each attempt.
+    more = F.greatest(F.lit(0), F.col("attempt") - SHORT + 1).cast("int")
     entity = F.col("entity")
-    rows = rows.withColumn("alike", _alike(F.when(F.col("type").isin("secret", *_NUMBERS), F.concat(entity, longer)).otherwise(entity)))
+    same_form = F.when(F.col("type").isin("secret", *_NUMBERS), F.concat(entity, F.repeat(F.lit("0"), more)))
+    rows = rows.withColumn("alike", _alike(same_form.when(F.col("type") == "email", F.concat(F.repeat(F.lit("a"), more), entity)).otherwise(entity)))
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
+    def drawn(table: dict[str, list[str]], i: Column | int) -> Column:
+        return reduce(lambda c, s: c.when(script == s, _pick(table[s], _draw(i))), table, F.when(F.lit(False), ""))
+
+    def further(table: dict[str, list[str]], first: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), more), lambda i: drawn(table, i + (first - 1)))
+
     def names(table: dict[str, list[str]]) -> Column:
-        one = lambda i: reduce(lambda c, s: c.when(script == s, _pick(table[s], _draw(i))), table, F.when(F.lit(False), ""))
-        more = F.col("attempt")
-        return F.concat(one(0), F.when(more >= 4, F.concat(F.lit("-"), one(1))).otherwise(""), F.when(more >= 12, F.concat(F.lit("-"), one(2))).otherwise(""))
+        one = drawn(table, 0)
+        return F.when(more > 0, F.array_join(F.concat(F.array(one), further(table, 1)), "-")).otherwise(one)
 
     def surnames() -> Column:
-        one = lambda i: reduce(lambda c, s: c.when(script == s, _pick(SYLLABLES[s], _draw(i))), SYLLABLES, F.when(F.lit(False), ""))
-        return F.concat(one(0), one(1), one(2), F.when(F.col("attempt") >= 2, F.concat(one(3), one(4))).otherwise(""))
+        one = lambda i: drawn(SYLLABLES, i)
+        short = F.concat(one(0), one(1), one(2), F.when(F.col("attempt") >= 2, F.concat(one(3), one(4))).otherwise(""))
+        return F.when(more > 0, F.concat(short, F.array_join(further(SYLLABLES, 5), ""))).otherwise(short)
 
     octet = lambda part, i: (
-        F.when(F.length(part) == 3, 100 + F.pmod(_draw(i), F.lit(155))).when(F.length(part) == 2, 10 + F.pmod(_draw(i), F.lit(90))).otherwise(1 + F.pmod(_draw(i), F.lit(9)))
+        F.when(i < more, F.pmod(_draw(i), F.lit(256))).when(F.length(part) == 3, 100 + F.pmod(_draw(i), F.lit(155))).when(F.length(part) == 2, 10 + F.pmod(_draw(i), F.lit(90))).otherwise(1 + F.pmod(_draw(i), F.lit(9)))
     ).cast("string")
     address = F.array_join(F.transform(F.split("entity", r"\."), octet), ".")
     tail = F.regexp_extract("entity", r"(\.[^.]*)$", 1)
-    mail = F.concat(F.col("alike").substr(F.lit(1), F.length("entity") - F.length(tail)), tail)
+    mail = F.concat(F.col("alike").substr(F.lit(1), F.length("alike") - F.length(tail)), tail)
     kind = F.col("type")
     surrogate = (
         F.when(kind == "email", mail)

@@ -55,6 +55,23 @@ def test_different_entities_stay_different(spark):
     assert len({p[1] for p in parts}) == len({p[2] for p in parts}) == 300
 
 
+def test_more_entities_than_the_short_form_holds(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.de") for a in letters for b in letters]
+    rows += [("given_n", f"name{i}") for i in range(2500)]
+    rows += [("ip", f"{i // 729 + 1}.{i // 81 % 9 + 1}.{i // 9 % 9 + 1}.{i % 9 + 1}") for i in range(9**4)]
+    entities = spark.createDataFrame(rows, "type string, entity string")
+    # The forms of one late attempt alone must be enough, or the search for free ones never ends.
+    late = S._derive(entities.withColumn("attempt", S.F.lit(30)), "k").groupBy("type").agg(S.F.countDistinct("surrogate").alias("n"))
+    assert {r.type: r.n > 600 for r in late.collect()} == {"email": True, "given_n": True, "ip": True}
+    assert {r.type: r.n for r in late.collect()}["given_n"] > 1884
+    free = S._derive(entities.withColumn("attempt", S.F.lit(30)), "k").select("type", S.F.col("surrogate").alias("entity"))
+    assert free.join(entities.filter("type <> 'given_n'"), ["type", "entity"], "left_anti").groupBy("type").count().count() == 3
+    found = S.assign(entities, "k").collect()
+    assert len(found) == len(rows) == len({(r.type, r.surrogate) for r in found})
+    assert not {(r.type, r.surrogate) for r in found} & set(rows)
+
+
 def test_odd_rows(spark, odd, none):
     rows = S.replace(odd)
     assert rows.columns == odd.columns and sorted(map(repr, rows.collect())) == sorted(map(repr, odd.collect()))
