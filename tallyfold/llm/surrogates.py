@@ -10,6 +10,7 @@ so there is a free one for any number of entities after few rounds. Only texts w
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,35 @@ NEUTRAL = {
     "latin": "Alex Andrea Camille Charlie Dominique Eden Jamie Jordan Kim Robin Sam Sasha".split(),
     "cyrillic": "Женя Саша Шура Валя".split(),
 }
+#: Given names that begin a mention without a form of address, besides those above; names that are common words or places are left out.
+KNOWN = {
+    "f": (
+        "Abigail Agnes Alice Alicia Alison Amanda Amelia Amy Ana Angela Anita Anja Ann Anne Annette Antonia Audrey Barbara Beatrice Bernadette Beth Betty Beverly "
+        "Brenda Brigitte Camila Carla Carmen Carol Caroline Catherine Cecilia Celine Chiara Christina Christine Claire Claudia Colleen Cynthia Daniela Danielle "
+        "Deborah Debra Denise Diana Diane Donna Doris Dorothy Edith Eleanor Elisabeth Elizabeth Ella Ellen Emily Erica Esther Eva Evelyn Fatima Fiona Francesca Franziska Gabriela "
+        "Gabriele Giulia Gloria Hannah Heather Heidi Heike Helena Ingrid Irene Isabel Isabella Jacqueline Jane Janet Janice Jasmine Jennifer Jessica Joan Johanna Josephine "
+        "Joyce Judith Judy Julie Karen Katharina Katherine Kathleen Kathryn Katie Kelly Kimberly Kristin Lauren Lena Leonie Linda Lisa Lori Louise Lucy Lydia Magdalena Manuela Margaret "
+        "Margarita Marie Marilyn Marion Martha Mary Megan Melanie Melissa Mia Michelle Mildred Monica Monika Nadia Nancy Natalia Natalie Nathalie Nicole Nina Pamela Patricia "
+        "Petra Phyllis Pilar Rachel Rebecca Renate Rita Ruth Sabine Samantha Sandra Sara Sharon Sheila Shirley Silvia Simone Sophia Sophie Stefanie Stephanie Susan Susanne "
+        "Suzanne Sylvia Tamara Tanya Tiffany Tina Tracy Ursula Valentina Valerie Vanessa Veronica Wendy Yolanda Yvonne "
+        "Александра Анастасия Анна Валентина Валерия Вероника Виктория Галина Евгения Екатерина Елизавета Зинаида Ксения Лариса Лидия Людмила Маргарита Марина Наталья Нина Оксана "
+        "Полина Светлана София Тамара Юлия"
+    ).split(),
+    "m": (
+        "Aaron Abdul Adrian Ahmed Alan Albert Alberto Alejandro Alexander Alfred Ali Andre Andreas Andrew Andy Anthony Antonio Arnold Arthur Benjamin Bernard Bernd Bernhard Bill Bob "
+        "Brandon Brian Bruce Bruno Bryan Carl Charles Christian Christoph Christopher Claude Craig Daniel Dennis Diego Dieter Donald Douglas Dylan Eduardo Edward Edwin Enrique Eric Ernest "
+        "Ethan Eugene Fabian Fernando Florian Francesco Francis Francisco Francois François Frank Franz Fred Frederick Friedrich Gary Georg George Gerald Gerhard Giovanni Giuseppe Gordon "
+        "Greg Gregory Guillaume Günter Gustav Hans Harold Harry Heinrich Heinz Helmut Henri Henry Herbert Howard Ian Ibrahim Ivan Jack Jacob Jacques Jan Jason Javier Jeff Jeffrey Jeremy "
+        "Jerry Jesse Jesus Jim Joachim Joe Joel Johann Johannes Jonas Jonathan Jorge Jose José Joseph Joshua Juan Julian Julien Jürgen Justin Keith Kenneth Kevin Klaus Kurt Kyle Lars "
+        "Larry Laurent Lawrence Leonard Liam Lorenzo Louis Lucas Luca Luigi Lukas Manuel Manfred Marc Marcel Marcus Mario Markus Matthew Matthias Maurice Max Maximilian Miguel Mike "
+        "Mohamed Mohammed Nathan Nicholas Nicolas Nikolaus Noah Norman Olivier Otto Pablo Patrick Pedro Philip Philipp Philippe Pierre Rafael Ralph Raymond Ricardo Richard Roberto "
+        "Roger Roland Ronald Roy Rudolf Russell Ryan Samuel Scott Sean Sebastian Sergio Simon Stefan Stephan Stephen Steve Steven Sven Theodor Theodore Thierry Tim Timothy Tobias Tom "
+        "Tony Tyler Uwe Vincent Walter Werner Wilhelm William Wolfgang Xavier Yusuf Zachary "
+        "Александр Анатолий Андрей Антон Артём Вадим Валентин Валерий Василий Виталий Владимир Вячеслав Геннадий Георгий Григорий Денис Евгений Егор Игорь Илья Кирилл "
+        "Константин Леонид Максим Никита Павел Пётр Роман Семён Станислав Степан Фёдор Юрий Яков"
+    ).split(),
+    "n": "Alex Andrea Camille Charlie Dominique Jamie Kim Robin Sam Sasha Женя Саша Шура Валя".split(),
+}
 SYLLABLES = {
     "latin": "bar ben cor dal den fal gar hol kar lan mar nor pel ros sel tan tor val wen wil".split(),
     "cyrillic": "бар вор гал дан зор кар лан мир нор пол рин сал тар фед хол шен".split(),
@@ -51,10 +81,10 @@ ALPHABETS = {
 }
 
 _ATOM = r"\p{L}\p{N}._%+\-"
-_EMAIL = rf"(?<![{_ATOM}@])[{_ATOM}]{{1,128}}+@[\p{{L}}\p{{N}}\-]{{1,63}}+(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}+){{1,8}}"
+_EMAIL = rf"(?<![{_ATOM}@])[{_ATOM}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)++"
 _SECRET_NAME = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key)"
-_SECRET = rf"(?<![\p{{L}}\p{{N}}]){_SECRET_NAME}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'<>,;]{{6,256}}"
-_CODE = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])"
+_SECRET = rf"(?<![\p{{L}}\p{{N}}]){_SECRET_NAME}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'<>,;]{{6,}}+"
+_CODE = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+)(?![\p{L}\p{N}])"
 _IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 _SOCIAL = r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 _ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"
@@ -64,8 +94,19 @@ _PHONE = (
     r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}]|[.\-]\d)"
 )
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
-_ALL_GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
-_NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_ALL_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}+(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}}+)?|(?:{_ALL_GIVEN}) \p{{Lu}}[\p{{L}}'\-]{{1,40}}+)"
+_GENDERS = {g: sorted({n for (h, _), ns in GIVEN.items() if h == g for n in ns} | set(KNOWN[g])) for g in KNOWN}
+
+
+def _any_of(names: list[str]) -> str:
+    """A pattern of all names, by their first letter, so that most places are left after one character."""
+    heads = sorted({n[0] for n in names})
+    return "|".join(f"{h}(?:{'|'.join(n[1:] for n in names if n[0] == h)})" for h in heads)
+
+
+_ALL_GIVEN = _any_of(sorted({n for ns in _GENDERS.values() for n in ns}))
+_WORD = r"\p{Lu}[\p{L}'\-]++"
+_INITIALS = r"(?:\p{Lu}\. )*+"
+_NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_INITIALS}{_WORD}(?: {_INITIALS}{_WORD})?|(?:{_ALL_GIVEN}) {_INITIALS}{_WORD})"
 PATTERN = "|".join([_EMAIL, _SECRET, _CODE, _IP, _SOCIAL, _ACCOUNT, _CARD, _PHONE, _NAME])
 
 _PIECES = "array<struct<type: string, text: string>>"
@@ -85,14 +126,23 @@ def _names(mention: Column) -> Column:
     title = F.regexp_replace(words[0], r"\.$", "")
     said = reduce(lambda c, g: c.when(title.isin(TITLES[g]), g), "fm", F.when(F.lit(False), ""))
     titled = title.isin([t for ts in TITLES.values() for t in ts])
-    known = lambda w: reduce(lambda c, k: c.when(w.isin(GIVEN[k]), k[0]), GIVEN, F.when(F.lit(False), ""))
-    given = lambda w: F.concat(F.lit("given_"), F.coalesce(said, known(w), F.lit("n")))
-    space = _piece(None, F.lit(" "))
-    return (
-        F.when(titled & (F.size(words) > 2), F.array(_piece(None, words[0]), space, _piece(given(words[1]), words[1]), space, _piece("surname", words[2])))
-        .when(titled, F.array(_piece(None, words[0]), space, _piece(F.when(known(words[1]).isNotNull(), given(words[1])).otherwise("surname"), words[1])))
-        .otherwise(F.array(_piece(given(words[0]), words[0]), space, _piece("surname", words[1])))
-    )
+    known = lambda w: reduce(lambda c, g: c.when(w.isin(_GENDERS[g]), g), _GENDERS, F.when(F.lit(False), ""))
+    given = lambda w: F.concat(F.lit("given_"), F.coalesce(F.when(titled, said), known(w), F.lit("n")))
+    initial = lambda w: w.rlike(r"^\p{Lu}\.$")
+    full = F.filter(F.slice(words, F.when(titled, 2).otherwise(1), F.size(words)), lambda w: ~initial(w))
+    first = lambda w, i: ~F.exists(F.slice(words, F.when(titled, 2).otherwise(1), F.greatest(F.lit(0), i - F.when(titled, 1).otherwise(0))), lambda v: ~initial(v))
+
+    def piece(w: Column, i: Column) -> Column:
+        kind = (
+            F.when(titled & (i == 0), F.lit(None).cast("string"))
+            .when(initial(w), "initial")
+            .when(first(w, i) & ((F.size(full) > 1) | known(w).isNotNull()), given(w))
+            .otherwise("surname")
+        )
+        word = F.array(_piece(kind, w)).cast(_PIECES)
+        return F.when(i > 0, F.concat(F.array(_piece(None, F.lit(" "))).cast(_PIECES), word)).otherwise(word)
+
+    return F.flatten(F.transform(words, piece))
 
 
 def _pieces(mention: Column) -> Column:
@@ -252,8 +302,18 @@ def _render(text: Column, kind: Column, surrogate: Column) -> Column:
     )
 
 
+def _initial(text: Column, key: str) -> Column:
+    """Another initial, by one keyed cycle through the capitals of each script, so that different ones stay different; any other letter is X."""
+    froms, tos = "", ""
+    for letters in (ALPHABETS["upper"], ALPHABETS["cyrillic_upper"], ALPHABETS["greek_upper"]):
+        cycle = sorted(letters, key=lambda c: hashlib.sha256(f"{key}\x1f{c}".encode()).digest())
+        froms, tos = froms + "".join(cycle), tos + "".join(cycle[1:] + cycle[:1])
+    changed = F.translate(text, froms, tos)
+    return F.when(changed == text, "X.").otherwise(changed)
+
+
 def _entities(pieces: str) -> Column:
-    found = F.filter(pieces, lambda p: p["type"].isNotNull())
+    found = F.filter(pieces, lambda p: p["type"] != "initial")
     return F.array_distinct(F.transform(found, lambda p: F.struct(p["type"].alias("type"), canonical(p["type"], p["text"]).alias("entity"))))
 
 
@@ -277,7 +337,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     )
     said = lambda p: F.concat_ws(":", p["type"], canonical(p["type"], p["text"]))
     new = F.array_join(
-        F.transform("pieces", lambda p: F.when(p["type"].isNull(), p["text"]).otherwise(_render(p["text"], p["type"], F.col("own")[said(p)]))), ""
+        F.transform("pieces", lambda p: F.when(p["type"].isNull(), p["text"]).when(p["type"] == "initial", _initial(p["text"], key)).otherwise(_render(p["text"], p["type"], F.col("own")[said(p)]))), ""
     )
     done = found.join(own, "_place").select("_row", new.alias("_text"))
     done = done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -72,6 +72,25 @@ def test_more_entities_than_the_short_form_holds(spark):
     assert not {(r.type, r.surrogate) for r in found} & set(rows)
 
 
+def test_long_mentions_and_further_names(spark):
+    token = "aB3" * 400
+    rows = [
+        (1, f"token={token} end"),
+        (2, f"sk-{token} end"),
+        (3, "a" * 200 + "@mail.example.com end"),
+        (4, "x@a.b.c.d.e.f.g.h.i.j.k.com end"),
+        (5, "William Johnson, Jennifer Lee, Alex Brown and John F. Kennedy met Dr J. R. Smith end"),
+        (6, "Mr " + "Abc" * 30 + " end"),
+        (7, "x@a" + ".b" * 60_000 + " end"),
+    ]
+    found = replaced(spark, rows)
+    for i, private in [(1, "aB3aB3"), (2, "aB3aB3"), (3, "aaaaaaaa"), (4, "i.j.k"), (6, "Abc"), (7, ".b.b.b.b.b.b")]:
+        assert private not in found[i] and found[i].endswith(" end")
+    for name in "William Johnson Jennifer Lee Alex Brown John F. Kennedy J. R. Smith".split():
+        assert not re.search(rf"\b{re.escape(name)}(?: |,|$)", found[5]), name
+    assert re.fullmatch(r"\w+ \w+, \w+ \w+, \w+ \w+ and \w+ [A-Z]\. \w+ met Dr [A-Z]\. [A-Z]\. \w+ end", found[5])
+
+
 def test_odd_rows(spark, odd, none):
     rows = S.replace(odd)
     assert rows.columns == odd.columns and sorted(map(repr, rows.collect())) == sorted(map(repr, odd.collect()))
