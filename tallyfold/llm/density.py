@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 UNSEEN = RAW | frozenset("head object canvas audio video select option datalist button input".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset label legend".split())
 BLOCK = frozenset(
@@ -37,7 +37,7 @@ MARKED = re.compile(
 )
 COMMENTS = re.compile(r"comment|disqus|repl|respond")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
 _BLANK = re.compile(r"\s+")
 
 
@@ -143,7 +143,8 @@ def measure(root: Node) -> list[Node]:
         own = sum(len(_BLANK.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
         kids = [k for k in node.children() if not k.marked and k.tag not in UNSEEN]
         node.chars = own + sum(k.chars for k in kids)
-        node.tags = sum(k.tags + 1 for k in kids)
+        # A formula is one element, however many its signs are.
+        node.tags = 0 if node.tag == "math" else sum(k.tags + 1 for k in kids)
         link = node.tag == "a"
         node.linked = node.chars if link else sum(k.linked for k in kids)
         node.linked_tags = node.tags if link else sum(k.linked_tags + (k.tag == "a") for k in kids)

@@ -175,3 +175,16 @@ def test_recall_on_the_given_vectors(spark):
         assert len(found[ids[q]]) == 20
         hits.append(len(found[ids[q]] & set(best)) / 20)
     assert np.mean(hits) >= 0.9
+
+
+def test_words_inside_other_attributes_hide_nothing():
+    from tallyfold.llm.density import _marked, main_text
+
+    for attributes in (' href="/hidden-lake"', ' title="the hidden valley"', " data-title='hidden gems'", ' data-id="comments"', " href=/p?id=form", ' alt="id=menu class=nav"', ' title="hidden'):
+        assert _marked("div", attributes) == 0, attributes
+    for attributes in (" hidden", ' HIDDEN=""', ' aria-hidden="true"', " id=comments", ' title="a" style="display: none"', ' role="search"/'):
+        assert _marked("div", attributes) == 2, attributes
+    prose = "A long sentence about the lake and the people who live around it. " * 8
+    page = f'<body><article><p title="the hidden valley">{prose}</p><p>{prose}where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article></body>'
+    assert main_text(page).startswith("A long sentence") and len(main_text(page).split("\n")) == 2
+    assert main_text(page).endswith("where x=2 holds.")
