@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from tallyfold.catalog.base import Registry, table
-from tallyfold.llm import attribution, chat, density, mixing, multi_index, order_minhash, packing, quality, repeats, surrogates
+from tallyfold.llm import (
+    attribution,
+    chat,
+    density,
+    manifest,
+    mixing,
+    multi_index,
+    order_minhash,
+    packing,
+    quality,
+    repeats,
+    surrogates,
+)
 
 REG = Registry()
 
@@ -60,3 +72,8 @@ def op9_level_doubling(spark, folder):
 @REG.add("op10_surrogates")
 def op10_surrogates(spark, folder):
     return surrogates.replace(table(spark, folder, "documents"))
+
+
+@REG.add("op11_merkle_manifest", manifest.ORACLE)
+def op11_merkle_manifest(spark, folder):
+    return manifest.manifest(table(spark, folder, "documents")).drop("proof")
