@@ -13,6 +13,7 @@ from tallyfold.llm import (
     order_minhash,
     packing,
     quality,
+    ranked_search,
     repeats,
     surrogates,
 )
@@ -77,3 +78,8 @@ def op10_surrogates(spark, folder):
 @REG.add("op11_merkle_manifest", manifest.ORACLE)
 def op11_merkle_manifest(spark, folder):
     return manifest.manifest(table(spark, folder, "documents")).drop("proof")
+
+
+@REG.add("op13_mask_search", ranked_search.ORACLE)
+def op13_mask_search(spark, folder):
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
