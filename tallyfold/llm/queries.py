@@ -6,6 +6,7 @@ from tallyfold.catalog.base import Registry, table
 from tallyfold.llm import (
     attribution,
     chat,
+    classifier,
     density,
     manifest,
     mixing,
@@ -80,6 +81,11 @@ def op11_merkle_manifest(spark, folder):
     return manifest.manifest(table(spark, folder, "documents")).drop("proof")
 
 
+@REG.add("op12_quality_network")
+def op12_quality_network(spark, folder):
+    return classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @REG.add("op13_mask_search", ranked_search.ORACLE)
 def op13_mask_search(spark, folder):
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
