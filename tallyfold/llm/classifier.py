@@ -160,8 +160,9 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, features: np.ndarray) -> np.ndarray:
-        hidden = np.maximum((features - self.middle) / self.scale @ self.first[0] + self.first[1], 0)
-        return hidden @ self.second[0] + self.second[1]
+        # Plain sums: a matrix product may round a row differently in another batch.
+        hidden = np.maximum(np.einsum("ij,jk->ik", (features - self.middle) / self.scale, self.first[0]) + self.first[1], 0)
+        return np.einsum("ij,j->i", hidden, self.second[0]) + self.second[1]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return _chance(self.logits(features.astype(float)) / self.temperature)
