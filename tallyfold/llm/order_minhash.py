@@ -7,20 +7,20 @@ its edit similarity is 0.8 or more: the words common to both in order, by an ali
 allows, over the words of the longer text. Pairs whose shingle sets have a Jaccard similarity of 0.8 and keep their
 order reach that as well; two shingles a sketch and 24 sketches miss such a pair once in 10^10 times, one of 0.5 once in a thousand.
 
-Documents of the same words form a group first, so copies cost one row. Members of a bucket are aligned with its leader, not with each
-other: those linked to it are done, the others go on under a leader of their own until none is left. A bucket that stays wide, because
-its members share a passage and little else, is cut by rare words first, which loses no link. Links are then joined to classes,
-and members of a bucket that lie in different classes and were not aligned yet are aligned with each other, so that in the end every
-pair of a bucket lies in one class or was aligned.
+Documents of the same words form a group first, so copies cost one row. Every member of a bucket is aligned with the bucket's leader, and the links
+make classes. What is left are pairs of different classes in one bucket. Of two linked documents of ``n`` words and fewer, 0.8 n words are common, so if each has
+its words ordered from rare to frequent, they meet in one of the first ``n - 0.8 n + 1``: each document of a mixed bucket is filed once under these words, and
+those of different classes that meet there, are of fitting lengths and can still have enough words in common are aligned. No link is lost, the words of a passage that many
+share bring nobody together, and a class is never paired with itself. Two passes of alignment are the whole work, however large a group is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import words as W
@@ -30,11 +30,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 TAKEN = 2
-#: Buckets of at most so many members are compared pair by pair. Those that are wider after so many leaders are cut by rare words.
-WIDE = 8
-PEELED = 6
-#: Members of a bucket that are paired by one task at the end; the others of their bucket are repeated for each such part.
+#: Members outside the largest class of a word that one task pairs; the others of the word are repeated for each such part.
 PART = 1024
+#: Buckets of the table of word counts that rare and frequent are told apart by; any counts give the same links.
+COUNTED = 1 << 18
+#: Rarer words that a row carries, so that a pair is met at its first common word only.
+CARRIED = 32
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -96,6 +97,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id").filter(present),
+                    "mark": part.column("mark").filter(present),
                     "content": pa.array([x.tobytes() for x in content], pa.binary()),
                     "keys": pa.FixedSizeListArray.from_arrays(keys.ravel().view(np.int64), SKETCHES).cast(pa.list_(pa.int64())),
                 }
@@ -175,61 +177,92 @@ def _links(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     return rows.filter("similarity > 0")
 
 
-def _unlinked(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Bucket members other than the leader that no link ties to it."""
-    tied = links.select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-    return members.filter("rep <> leader").join(tied, ["leader", "rep"], "left_anti").select("key", "rep")
+def spread(facts: DataFrame) -> DataFrame:
+    """Facts, one row per key, dealt anew: joined by their key they then meet rows whose hot keys adaptive execution can split, which it cannot
+    while the facts still lie where they were aggregated."""
+    return facts.repartition(*facts.columns)
 
 
-def _leaders(led: DataFrame, most: int) -> DataFrame:
-    """The ``most`` least members of each bucket. The filter on the number limits a bucket in every task before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    return led.withColumn("place", place).filter(F.col("place") <= most).selectExpr("key", "rep AS leader")
+def _tokens(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with their occurrence numbers, and the bucket of each in the table of counts."""
+    tokens = labelled(hashes)
+    return tokens, (tokens % np.uint64(COUNTED)).astype(np.int64)
 
 
-def _split(wide: DataFrame, texts: DataFrame) -> DataFrame:
-    """Buckets of very many members that are not linked, as documents have that share a passage and little else, cut into smaller
-    ones by rare words. Of ``n`` words two linked documents share 0.8 n, so, ordered from rare to frequent, they meet in one
-    of the first ``n - 0.8 n + 1``: no link is lost, and the words of the passage, being frequent, bring nobody together."""
-    reps = wide.select("rep").distinct()
-    words = texts.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word"))
-    times = words.filter("word <> ''").groupBy("rep", "word").count()
-    words = stored(
-        times.select("rep", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"), "word").select(
-            "rep", F.xxhash64("word", "nth").alias("word")
-        )
-    )
-    rarity = words.groupBy("word").agg(F.count("*").alias("holders"))
-    sizes = words.groupBy("rep").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "word"))
-    ranked = words.join(rarity, "word").join(sizes, "rep").withColumn("place", place)
-    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
-    # A word of one document brings nobody together.
-    prefix = prefix.filter("holders > 1").select("rep", "word")
-    return wide.join(prefix, "rep").select(F.xxhash64("key", "word").alias("key"), *[c for c in wide.columns if c != "key"])
-
-
-def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bucket members in different classes that were not aligned before, each once. Buckets of many members are cut by
-    rare words. In each piece members outside the largest class meet all of other classes, so a class is not paired with itself."""
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        parts = rows.groupBy("key", "class_id").agg(F.count("*").alias("n"))
-        main = F.max_by("class_id", F.struct("n", "class_id")).alias("main")
-        parts = parts.groupBy("key").agg(main, F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
-        return rows.join(parts.drop("classes"), "key")
-
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTED, np.int64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = W.read(raw_texts(part.column("text")))
+            for a, b in zip(found.first[:-1], found.first[1:]):
+                buckets, times = np.unique(_tokens(found.hashes[a:b])[1], return_counts=True)
+                total[buckets] += times
+    some = np.flatnonzero(total)
+    yield pa.record_batch({"bucket": pa.array(some, pa.int32()), "n": pa.array(total[some])})
+
+
+def rare_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The words of a text, one of which every linked text shares, from rare to frequent."""
+    tokens, buckets = _tokens(hashes)
+    order = np.lexsort((tokens, counts[buckets]))
+    return tokens[order[: hashes.size - int(np.ceil(hashes.size * SIMILARITY - 1e-9)) + 1]]
+
+
+def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = W.read(raw_texts(part.column("text")))
+                words = [rare_words(found.hashes[a:b], counts).view(np.int64) for a, b in zip(found.first[:-1], found.first[1:])]
+                at = np.cumsum([0, *map(len, words)])
+                flat = np.concatenate(words) if words else np.empty(0, np.int64)
+                yield pa.record_batch(
+                    {
+                        "rep": part.column("rep"),
+                        "class_id": part.column("class_id"),
+                        "n": pa.array(found.counts(), pa.int32()),
+                        "words": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
+                    }
+                )
+
+    return run
+
+
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rep``, ``class_id`` of the members of buckets that hold several classes, each once."""
     named = members.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    named = stored(mixed(named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))))
-    wide = _split(named.filter(F.col("n") > WIDE).select("key", "rep", "class_id"), texts)
-    pieces = stored(mixed(wide.unionByName(named.filter(F.col("n") <= WIDE).select("key", "rep", "class_id"))))
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    some = pieces.filter("class_id <> main").select(
-        "key", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("x"), F.col("class_id").alias("x_class")
-    )
-    others = pieces.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("y"), F.col("class_id").alias("y_class"), "main")
-    met = some.join(others, ["key", "part"]).filter("x_class <> y_class AND (y_class = main OR x_class < y_class)")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    ends = named.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    return named.join(spread(ends.filter("low <> high").select("key")), "key").select("rep", "class_id").distinct()
+
+
+def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b) of documents in mixed buckets that lie in different classes, may be linked, and were not aligned before. Under each word members
+    outside the largest class meet all of other classes; a pair is met at the rarest word that both are filed under."""
+    own = stored(texts.join(_mixed(members, classes), F.col("doc_id") == F.col("rep")).select("rep", "class_id", "text"))
+    # A row per bucket of the table, a fixed number.
+    seen = own.select("text").mapInArrow(_token_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTED, np.int64)
+    counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
+    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, n int, words array<long>"))
+    flat = filed.select("rep", "class_id", F.posexplode("words").alias("place", "word"))
+    pieces = flat.groupBy("word", "class_id").agg(F.count("*").alias("m"))
+    main = F.max_by("class_id", F.struct("m", "class_id")).alias("main")
+    pieces = pieces.groupBy("word").agg(main, F.sum("m").alias("m"), F.count("*").alias("classes")).filter("classes > 1")
+    pieces = pieces.select("word", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    rows = flat.join(spread(pieces), "word").drop("class_id").join(filed, "rep")
+    before = F.slice("words", 1, F.least("place", F.lit(CARRIED)))
+    rows = stored(rows.select("word", "main", "parts", "rep", "class_id", "n", "place", before.alias("before")))
+    held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "n", "place", "before")]
+    some = rows.filter("class_id <> main").select("word", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), *held("x"))
+    others = rows.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", *held("y"))
+    fits = f"""x_class_id <> y_class_id AND (y_class_id = main OR x_class_id < y_class_id)
+        AND least(x_n, y_n) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
+        AND least(x_n - x_place, y_n - y_place) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
+        AND NOT arrays_overlap(x_before, y_before)"""
+    some = some.withColumnsRenamed({"word": "x_word", "part": "x_part"})
+    met = some.join(others, F.expr(f"x_word = word AND x_part = part AND {fits}"))
+    pairs = met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
@@ -241,9 +274,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         around = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.filter("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct()
+        large = stored(around.filter("v > u").join(spread(least), "u").selectExpr("v AS u", "m AS v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("v AS u", "m AS v").filter("u <> v")
+        small = large.join(spread(least), "u").selectExpr("v AS u", "m AS v").filter("u <> v")
         edges = stored(small.unionByName(least.selectExpr("u", "m AS v")).distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if new == mark:
@@ -257,51 +290,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     ``n_links`` counts aligned partners with different words, of the group of same-word documents that this one
     belongs to; pairs known to lie in one class are not aligned again. Documents without words, with null text or null ``doc_id``
-    form no group: each is a class of its own. Rows that repeat a ``doc_id`` give one row.
+    form no group: each is a class of its own. Rows that repeat a ``doc_id`` give one row; of their different texts the one with the least hash of
+    its words counts, in whatever order the rows come. An empty table has no rows; texts of any length are read whole; other columns are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text")
-    whole = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = stored(whole.mapInArrow(_sketches, f"doc_id {kind}, content binary, keys array<long>"))
-    groups = stored(found.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    members = groups.select("rep", F.posexplode("keys").alias("band", "key")).select("key", "rep")
+    whole = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
+    found = whole.mapInArrow(_sketches, f"doc_id {kind}, mark long, content binary, keys array<long>")
+    found = stored(found.groupBy("doc_id").agg(F.min(F.struct("content", "mark", "keys")).alias("x")).select("doc_id", "x.*"))
+    groups = found.groupBy("content").agg(F.min(F.struct("doc_id", "mark", "keys")).alias("x"))
+    groups = stored(groups.select("content", F.col("x.doc_id").alias("rep"), "x.mark", "x.keys"))
+    members = groups.select("rep", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(members.join(sizes, "key").select("key", "rep", "leader"))
+    members = stored(members.join(spread(sizes), "key").select("key", "rep", "leader"))
     pairs = stored(members.filter("rep <> leader").selectExpr("leader AS a", "rep AS b").distinct())
-    needed = pairs.selectExpr("a AS doc_id").unionByName(pairs.selectExpr("b AS doc_id")).distinct()
+    needed = pairs.selectExpr("a AS rep").unionByName(pairs.selectExpr("b AS rep")).distinct()
+    needed = groups.select("rep", "mark").join(needed, "rep").withColumnRenamed("rep", "doc_id")
     # Ids in candidate pairs grow with the corpus: sorted and merged at every size, never broadcast.
-    texts = stored(docs.join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
+    texts = stored(whole.join(needed.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).drop("mark"))
     links = stored(_links(pairs, texts, kind))
-    # Whoever is linked to the leader has found its class in this bucket; the others go on without the leader.
-    left, round_, most, tried = stored(_unlinked(members, links)), 0, 1, pairs
-    while not empty(left):
-        sizes = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        left = stored(left.join(sizes, "key").select("key", "rep", (F.col("n") > WIDE).alias("wide")))
-        few, led = left.filter("NOT wide").select("key", "rep"), left.filter("wide").drop("wide")
-        round_ += 1
-        if round_ == PEELED:
-            # Leaders no longer tell these members apart.
-            left = stored(_split(led.select("key", "rep"), texts).unionByName(few))
-            continue
-        # After the cut the number of leaders grows, so that the rounds stay few.
-        most = 1 if round_ < PEELED else 4 * most
-        within = few.selectExpr("key", "rep AS a").join(few.selectExpr("key", "rep AS b"), "key").filter("a < b").select("a", "b")
-        leaders = stored(_leaders(led, most))
-        met = leaders.join(led, "key").filter("rep > leader")
-        pairs = stored(met.selectExpr("leader AS a", "rep AS b").unionByName(within).distinct())
-        tried = tried.unionByName(pairs)
-        more = stored(_links(pairs, texts, kind))
-        links = links.unionByName(more)
-        tied = met.join(more.selectExpr("a AS leader", "b AS rep"), ["leader", "rep"]).select("key", "rep").distinct()
-        rest = led.join(leaders.withColumnRenamed("leader", "rep"), ["key", "rep"], "left_anti")
-        left = stored(rest.join(tied, ["key", "rep"], "left_anti"))
-    links = stored(links.dropDuplicates(["a", "b"]))
-    classes = stored(components(links))
-    # A member of another class may be linked to one that left the bucket earlier. Classes only grow, so one such step is whole.
-    more = stored(_links(_across(members, classes, tried, texts), texts, kind))
+    classes = components(links)
+    more = stored(_links(_across(members, classes, pairs, texts, kind), texts, kind))
     if not empty(more):
         links = links.unionByName(more)
-        classes = stored(components(links))
+        classes = components(classes.selectExpr("class_id AS a", "node AS b").unionByName(more.select("a", "b")))
     counts = links.selectExpr("a AS rep").unionByName(links.selectExpr("b AS rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = (
         groups.select("content", "rep")
@@ -309,9 +321,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .join(counts, "rep", "left")
         .select("content", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    named = found.select("doc_id", "content").join(named, "content").groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")
-    )
+    named = found.select("doc_id", "content").join(spread(named), "content").drop("content")
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(named, "doc_id", "left")
     lone = docs.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast(kind).alias("class_id"), F.lit(None).cast("long").alias("n_links"))
     return ids.unionByName(lone).select(

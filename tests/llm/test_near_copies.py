@@ -102,9 +102,39 @@ def test_odd_rows(odd, none):
     assert M.near_copies(none).collect() == []
 
 
-def test_leaders_are_limited_before_the_shuffle(spark):
-    led = spark.range(1000).selectExpr("id % 2 AS key", "id AS rep").repartition(3)
-    found = M._leaders(led, 2)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") != plan.rindex("WindowGroupLimit")
-    assert sorted(map(tuple, found.collect())) == [(0, 0), (0, 2), (1, 1), (1, 3)]
+def test_linked_texts_share_a_rare_word():
+    rng = random.Random(4)
+    counts = np.array([rng.randrange(50) for _ in range(M.COUNTED)])
+    for _ in range(300):
+        a = [rng.randrange(60) for _ in range(rng.randrange(1, 70))]
+        b = [x for x in a if rng.random() > 0.1] or a
+        for _ in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(60))
+        x, y = (W.mix(np.array(t, np.uint64) + np.uint64(1)) for t in (a, b))
+        if M.similar(x, y):
+            assert np.intersect1d(M.rare_words(x, counts), M.rare_words(y, counts)).size
+
+
+def test_a_group_of_a_third_of_all_documents(spark):
+    base = prose(60, 1)
+    texts = [prose(50, 1000 + i) for i in range(400)] + [edited(base, 0.04, i) for i in range(180)] + [base] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.class_id for r in M.near_copies(docs).collect()}
+    assert all(found[i] == i for i in range(400)) and {found[i] for i in range(400, 600)} == {400}
+
+
+def test_repeated_ids_give_the_same_classes_in_any_order(spark):
+    a, b = prose(80, 1), prose(80, 2)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, a + " end"), (4, b + " end")]
+    results = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
+        results.add(tuple(sorted((r.doc_id, r.class_id, r.n_links) for r in M.near_copies(docs).collect())))
+    assert len(results) == 1 and len(next(iter(results))) == 4
+
+
+def test_hot_keys_can_be_split(spark):
+    rows = spark.range(1000).selectExpr("id % 2 AS key", "id AS rep")
+    plan = rows.hint("merge").join(M.spread(rows.groupBy("key").count()), "key")._jdf.queryExecution().executedPlan().toString()
+    # An exchange of its own lies between the join and the aggregate.
+    assert "REPARTITION_BY_COL" in plan and plan.index("ENSURE_REQUIREMENTS") < plan.index("REPARTITION_BY_COL") < plan.index("HashAggregate")
