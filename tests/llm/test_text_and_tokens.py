@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -153,13 +154,24 @@ def test_search_with_odd_vectors_and_ties(spark):
     rows += [(200, None), (220, [0.0] * 4), (240, [1.0, None, 1.0, 1.0]), (260, [float("nan"), 1.0, 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0, 1.0]), (300, [1.0]), (None, [1.0] * 4), (20, rows[20][1])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int").repartition(3)
     found = defaultdict(list)
-    for r in multi_index.search(frame).orderBy("query_id", "rank").collect():
+    for r in multi_index.search(frame, share=1.0).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
         assert r["rank"] == len(found[r.query_id])
     assert found == brute(rows)
     assert multi_index.search(frame.limit(0)).collect() == []
 
 
+def recall(found, ids, vectors, queries):
+    hits = []
+    for q in queries:
+        s = vectors @ vectors[q]
+        s[q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]].tolist()
+        assert len(found[ids[q]]) == 20
+        hits.append(len(found[ids[q]] & set(best)) / 20)
+    return np.mean(hits)
+
+
 def test_recall_on_the_given_vectors(spark):
     folder = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
@@ -167,14 +179,33 @@ def test_recall_on_the_given_vectors(spark):
     found = defaultdict(set)
     for r in REG.queries["op4_multi_index"](spark, folder).collect():
         found[r.query_id].add(r.vec_id)
-    hits = []
-    for q in np.flatnonzero(ids % 20 == 0):
-        s = vectors @ vectors[q]
-        s[q] = -np.inf
-        best = ids[np.lexsort((ids, -s))[:20]].tolist()
-        assert len(found[ids[q]]) == 20
-        hits.append(len(found[ids[q]] & set(best)) / 20)
-    assert np.mean(hits) >= 0.9
+    assert recall(found, ids, vectors, np.flatnonzero(ids % 20 == 0)) >= 0.9
+
+
+@pytest.mark.parametrize("lengths", ["unit", "lognormal"])
+def test_recall_on_twenty_thousand_vectors(spark, lengths):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(20_000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        vectors *= np.exp(rng.normal(size=(20_000, 1)))
+    ids = np.arange(20_000)
+    table = pa.table({"vec_id": ids, "embedding": pa.array(list(vectors), pa.list_(pa.float64()))})
+    found, counted = defaultdict(set), []
+    frame = spark.createDataFrame(table).repartition(4)
+    for r in multi_index.search(frame, "vec_id % 200 = 0").collect():
+        found[r.query_id].add(r.vec_id)
+    got = recall(found, ids, vectors, np.flatnonzero(ids % 200 == 0))
+    # The share of the index that a query meets, from the same cells and order on the driver.
+    longest = float(np.linalg.norm(vectors, axis=1).max())
+    books = tuple(multi_index._codebook(h, multi_index.CENTROIDS) for h in multi_index.halves(vectors, longest))
+    cells = [np.argmin(d, axis=1) for d in multi_index._distances(multi_index.halves(vectors, longest), books)]
+    counts = np.zeros((multi_index.BANDS, multi_index.CENTROIDS, multi_index.CENTROIDS), int)
+    np.add.at(counts, (multi_index.bands(vectors, longest), *cells), 1)
+    for x, y in zip(*multi_index._distances(multi_index.asked(vectors[::200]), books)):
+        counted.append(counts[multi_index.visited(x, y, counts, int(np.ceil(multi_index.SHARE * 20_000)))].sum() / 20_000)
+    print(f"{lengths}: recall {got:.3f}, share met {np.mean(counted):.3f}")
+    assert got >= 0.9 and np.mean(counted) <= multi_index.SHARE + 0.02
 
 
 def test_words_inside_other_attributes_hide_nothing():
