@@ -235,7 +235,7 @@ def _facts_sql() -> str:
         if kind == "i":
             steps = (
                 f"(SELECT CASE WHEN count(*) > 10 THEN sum(CASE WHEN v - p = 1 THEN 1.0 ELSE 0.0 END) / (count(*) - 1) ELSE 0 END FROM "
-                f"(SELECT {c} AS v, lag({c}) OVER (ORDER BY {c}) AS p FROM (SELECT {c} FROM {source} ORDER BY {c} LIMIT 100)))"
+                f"(SELECT {c} AS v, lag({c}) OVER (ORDER BY {c}) AS p FROM {source} WHERE {c} IS NOT NULL))"
             )
         low = f"min({c})" if kind in "in" else "NULL"
         high = f"max({c})" if kind in "in" else "NULL"

@@ -24,7 +24,7 @@ from tallyfold.operators.profile import (
     text_columns,
 )
 from tallyfold.operators.roles import column_facts, is_identifier
-from tallyfold.plans.freq import modes
+from tallyfold.plans.freq import modes, text_key
 from tallyfold.plans.ordering import POSITION, carried, with_position
 from tallyfold.plans.quantiles import quantiles
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
@@ -322,7 +322,7 @@ def remove_duplicates(
     texts = text_columns(df)
     table = without_nan(df)
     compared = [
-        (match_key(F.col(f"`{c}`")) if normalize_text and c in texts else F.col(f"`{c}`")).alias(f"_key{i}")
+        (text_key(match_key(F.col(f"`{c}`")) if normalize_text else F.col(f"`{c}`")) if c in texts else F.col(f"`{c}`")).alias(f"_key{i}")
         for i, c in enumerate(keys)
     ]
     names = [f"_key{i}" for i in range(len(keys))]

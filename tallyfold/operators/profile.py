@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.numbers import corrected_skew, is_whole, number, without_nan
-from tallyfold.plans.freq import distinct_counts, long_form, modes, side_by_side, value_counts, wide_to_rows
+from tallyfold.plans.freq import distinct_counts, long_form, modes, row_key, side_by_side, value_counts, wide_to_rows
 from tallyfold.plans.quantiles import quantiles
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
 
@@ -120,10 +120,9 @@ def default_key(df: DataFrame) -> list[str]:
 
 def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows beyond the first of each group of equal rows."""
-    keys = [F.col(f"`{c}`") for c in (columns or default_key(df))]
+    table = without_nan(df)
     return (
-        without_nan(df)
-        .groupBy(*keys)
+        table.groupBy(*row_key(table, columns or default_key(df)))
         .agg(F.count(F.lit(1)).alias("_n"))
         .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
     )

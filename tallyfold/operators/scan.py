@@ -11,6 +11,7 @@ from tallyfold.functions.numbers import without_nan
 from tallyfold.functions.text import is_missing_token
 from tallyfold.operators.outliers import Bounds, fit, outlier_cells
 from tallyfold.operators.profile import default_key, text_columns
+from tallyfold.plans.freq import row_key as keyed
 from tallyfold.plans.ordering import attach
 from tallyfold.plans.scale import DEFAULT, Scale
 
@@ -91,17 +92,16 @@ def duplicate_rows(df: DataFrame, row_key: str, key: list[str] | None = None, sc
     key is a later copy of one that has a key."""
     keys = key or [c for c in default_key(df) if c != row_key]
     table = without_nan(df)
-    named = [F.col(f"`{c}`") for c in keys]
+    # Long texts are matched by their digests: neither the groups nor the join back move them.
+    rows = table.select(F.col(f"`{row_key}`").alias("_row"), *keyed(table, keys))
     groups = (
-        table.groupBy(*named)
-        .agg(F.min(f"`{row_key}`").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(*[F.col(f"`{c}`") for c in keys])
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1")
     )
-    rows = table.select(F.col(f"`{row_key}`").alias("row_key"), *[c for c in named])
-    rows = rows if row_key not in keys else table.withColumn("row_key", F.col(f"`{row_key}`"))
     matched = attach(rows, groups, keys)
-    return matched.filter(~F.col("row_key").eqNullSafe(F.col("_first"))).select(
-        "row_key",
+    return matched.filter(~F.col("_row").eqNullSafe(F.col("_first"))).select(
+        F.col("_row").alias("row_key"),
         F.lit(None).cast("string").alias("column"),
         F.lit("duplicate").alias("issue_type"),
         F.concat(F.lit("Same as row "), F.col("_first").cast("string")).alias("description"),

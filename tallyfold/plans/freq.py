@@ -11,6 +11,27 @@ from pyspark.sql import types as T
 from tallyfold.functions.numbers import nan_to_null
 
 
+#: Bytes up to which a text is its own key; a longer one is stood for by a digest of 128 bits.
+KEY_BYTES = 32
+
+
+def text_key(value: Column) -> Column:
+    """A key of bounded size that equal texts share, so that whole texts are never shuffled to be counted or matched."""
+    return F.when(F.octet_length(value) > KEY_BYTES, F.concat(F.lit("\0"), F.md5(value.cast("binary")))).otherwise(value)
+
+
+def row_key(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as grouping keys under their own names, texts and binary values by their keys."""
+    out = []
+    for c in columns:
+        cell = F.col(f"`{c}`")
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.BinaryType):
+            cell = F.base64(cell)
+        out.append((text_key(cell) if isinstance(kind, (T.StringType, T.BinaryType)) else cell).alias(c))
+    return out
+
+
 def family(kind: T.DataType) -> str:
     """Columns of one family share a value type in an unpivoted table."""
     if isinstance(kind, T.IntegralType):
@@ -55,13 +76,13 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, distinct, largest)``: exact distinct values and the count of the commonest one."""
-    parts = [
-        value_counts(df, group).groupBy("column").agg(
-            F.count(F.lit(1)).alias("distinct"), F.max("n").alias("largest")
-        )
-        for group in families(df, columns).values()
-    ]
+    """``(column, distinct, largest)``: distinct values and the count of the commonest one."""
+    parts = []
+    for kind, group in families(df, columns).items():
+        cells = long_form(df, group, _CAST[kind]).filter(F.col("value").isNotNull())
+        key = text_key(F.col("value")) if kind == "text" else F.col("value")
+        counts = cells.select("column", key.alias("value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("largest")))
     return reduce(DataFrame.unionByName, parts)
 
 
