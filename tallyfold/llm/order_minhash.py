@@ -10,7 +10,7 @@ order reach that as well; two shingles a sketch and 24 sketches miss such a pair
 Documents of the same words form a group first, so copies cost one row. Every member of a bucket is aligned with the bucket's leader, and the links
 make classes. What is left are pairs of different classes in one bucket. Of two linked documents of ``n`` words and fewer, 0.8 n words are common, so if each has
 its words ordered from rare to frequent, they meet in one of the first ``n - 0.8 n + 1``: each document of a mixed bucket is filed once under these words, and
-those of different classes that meet there, are of fitting lengths and can still have enough words in common are aligned. No link is lost, the words of a passage that many
+those of different classes that meet there, agree in a sketch, are of fitting lengths and can still have enough words in common are aligned. No link is lost, the words of a passage that many
 share bring nobody together, and a class is never paired with itself. Two passes of alignment are the whole work, however large a group is.
 """
 
@@ -220,6 +220,7 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     {
                         "rep": part.column("rep"),
                         "class_id": part.column("class_id"),
+                        "keys": part.column("keys"),
                         "n": pa.array(found.counts(), pa.int32()),
                         "words": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
                     }
@@ -229,22 +230,23 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rep``, ``class_id`` of the members of buckets that hold several classes, each once."""
+    """``rep``, ``class_id`` of the members of buckets that hold several classes, and the keys of these buckets."""
     named = members.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
     ends = named.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    return named.join(spread(ends.filter("low <> high").select("key")), "key").select("rep", "class_id").distinct()
+    named = named.join(spread(ends.filter("low <> high").select("key")), "key")
+    return named.groupBy("rep", "class_id").agg(F.collect_set("key").alias("keys"))
 
 
 def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """Pairs (a, b) of documents in mixed buckets that lie in different classes, may be linked, and were not aligned before. Under each word members
+    """Pairs (a, b) of documents in one mixed bucket that lie in different classes, may be linked, and were not aligned before. Under each word members
     outside the largest class meet all of other classes; a pair is met at the rarest word that both are filed under."""
-    own = stored(texts.join(_mixed(members, classes), F.col("doc_id") == F.col("rep")).select("rep", "class_id", "text"))
+    own = stored(texts.join(_mixed(members, classes), F.col("doc_id") == F.col("rep")).select("rep", "class_id", "keys", "text"))
     # A row per bucket of the table, a fixed number.
     seen = own.select("text").mapInArrow(_token_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTED, np.int64)
     counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
-    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, n int, words array<long>"))
+    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, keys array<long>, n int, words array<long>"))
     flat = filed.select("rep", "class_id", F.posexplode("words").alias("place", "word"))
     pieces = flat.groupBy("word", "class_id").agg(F.count("*").alias("m"))
     main = F.max_by("class_id", F.struct("m", "class_id")).alias("main")
@@ -252,14 +254,14 @@ def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: Dat
     pieces = pieces.select("word", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     rows = flat.join(spread(pieces), "word").drop("class_id").join(filed, "rep")
     before = F.slice("words", 1, F.least("place", F.lit(CARRIED)))
-    rows = stored(rows.select("word", "main", "parts", "rep", "class_id", "n", "place", before.alias("before")))
-    held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "n", "place", "before")]
+    rows = stored(rows.select("word", "main", "parts", "rep", "class_id", "keys", "n", "place", before.alias("before")))
+    held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "keys", "n", "place", "before")]
     some = rows.filter("class_id <> main").select("word", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), *held("x"))
     others = rows.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", *held("y"))
     fits = f"""x_class_id <> y_class_id AND (y_class_id = main OR x_class_id < y_class_id)
         AND least(x_n, y_n) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
         AND least(x_n - x_place, y_n - y_place) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
-        AND NOT arrays_overlap(x_before, y_before)"""
+        AND arrays_overlap(x_keys, y_keys) AND NOT arrays_overlap(x_before, y_before)"""
     some = some.withColumnsRenamed({"word": "x_word", "part": "x_part"})
     met = some.join(others, F.expr(f"x_word = word AND x_part = part AND {fits}"))
     pairs = met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
