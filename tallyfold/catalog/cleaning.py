@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyfold.catalog.base import DAMAGED_SQL, Registry, damaged_orders, rounded, table
 from tallyfold.operators import clean, outliers, profile, roles, scan, validate
+from tallyfold.plans.ordering import POSITION, with_position
+from tallyfold.plans.scale import DEFAULT, Scale, row_count
 
 REG = Registry()
 
@@ -146,8 +150,7 @@ def missing_identifier_drop(spark, folder):
 GAPPED = "SELECT event_id, user_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE value END AS value, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS event_type FROM events"  # noqa: E501
 
 
-@REG.add(
-    "interpolate_events",
+INTERPOLATED = (
     f"""WITH t AS ({GAPPED}), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM t),
         w AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS pp,
           first_value(value IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS np,
@@ -155,15 +158,38 @@ GAPPED = "SELECT event_id, user_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL E
           WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                  a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
         SELECT event_id, user_id, round(coalesce(value, pv + (nv - pv) * (pos - pp) / (np - pp), pv, nv), 6) AS value,
-          coalesce(event_type, pe, ne) AS event_type FROM w""",
+          coalesce(event_type, pe, ne) AS event_type FROM w"""
 )
+
+
+@REG.add("interpolate_events", INTERPOLATED)
 def interpolate_events(spark, folder):
+    return _interpolated(spark, folder, DEFAULT)
+
+
+@REG.add("interpolate_events_chunks", INTERPOLATED)
+def interpolate_events_chunks(spark, folder):
+    # Chunks of so few rows that any table has many: the plan that large tables get.
+    return _interpolated(spark, folder, Scale(chunk_rows=250))
+
+
+def _interpolated(spark, folder, scale):
     gapped = table(spark, folder, "events").selectExpr(
         "event_id", "user_id",
         "CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE value END AS value",
         "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS event_type",
     )
-    return rounded(clean.interpolate(gapped, ["event_id"], ["user_id"]), value=6)
+    return rounded(clean.interpolate(gapped, ["event_id"], ["user_id"], scale=scale), value=6)
+
+
+@REG.add(
+    "text_positions_chunks",
+    "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS position FROM customer",
+)
+def text_positions_chunks(spark, folder):
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    placed = with_position(customers, ["c_name", "c_custkey"], row_count(customers), scale=Scale(chunk_rows=100))
+    return placed.select("c_custkey", F.col(POSITION).alias("position"))
 
 
 KEY = ["customer", "status", "amount", "priority", "placed"]

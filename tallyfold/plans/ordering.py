@@ -1,16 +1,17 @@
 """Ordered work on any amount of rows: positions, running sums, ranks, carried values, row blocks.
 
-A window over a whole table (or over one hot key) is a single task. Here the order column is cut at
-approximate quantiles into chunks, each chunk gets its own window, and chunk totals, of which there are
+A window over a whole table (or over one hot key) is a single task. Here the order is cut into chunks at keys taken
+from a sample, whole keys of all order columns and any sortable type. Each chunk gets its own window, and chunk totals, of which there are
 few, carry the running state across. Cut points only balance the load; results do not depend on them.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold.plans.scale import DEFAULT, Scale
 
@@ -18,7 +19,9 @@ CHUNK = "_chunk"
 POSITION = "_position"
 BLOCK = "_block"
 HALO = "_halo"
-_REST = 1_000_000
+#: Keys looked at per chunk.
+SAMPLED = 20
+_SLOTS = 1 << 30
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -41,58 +44,43 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, condition, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """A number that sorts like the column, equal at worst for values that differ; for texts, which sort by their bytes, the first six of them."""
-    kind = df.schema[name].dataType
-    column = F.col(f"`{name}`")
-    if isinstance(kind, T.NumericType):
-        return column
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column)
-    if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
-    if isinstance(kind, T.BooleanType):
-        return column.cast("int")
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.hex(F.substring(column.cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    raise TypeError(f"order column {name} must be sortable, not {kind.simpleString()}")
-
-
 def with_chunk(df: DataFrame, order_by: list[str], rows: int, scale: Scale = DEFAULT) -> DataFrame:
-    """Adds ``_chunk``: non-decreasing in the order, balanced in rows. One chunk when the rows are few.
+    """Adds ``_chunk``: non-decreasing in the order, balanced in rows. Few rows are one chunk.
 
-    A value of the first order column that fills whole chunks alone is cut again by the second column.
-    """
+    Rows whose keys agree in all order columns lie in one chunk; any other difference, also far behind in a text, can be cut at."""
     parts = scale.chunks(rows)
     if parts == 1:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    fractions = [i / parts for i in range(1, parts)]
-    lead = order_by[:2]
-    sketches = [F.percentile_approx(order_number(df, c), fractions, max(10_000, parts * 4)).alias(c) for c in lead]
-    found = df.agg(*sketches).first()
-    cuts = {c: found[c] or [] for c in lead}
-    numbered = df.withColumn("_o0", order_number(df, lead[0]).cast("double"))
-    repeated = sorted({v for v in cuts[lead[0]] if cuts[lead[0]].count(v) > 1}) if len(lead) > 1 else []
-    first = _bucket(numbered, "_o0", cuts[lead[0]], "_c0")
-    if not repeated:
-        return first.withColumn(CHUNK, F.col("_c0").cast("long")).drop("_o0", "_c0")
-    second = first.withColumn("_o1", order_number(df, lead[1]).cast("double"))
-    second = _bucket(second, "_o1", cuts[lead[1]], "_c1")
-    inner = F.when(F.col("_o0").isin([float(v) for v in repeated]), F.col("_c1")).otherwise(F.lit(_REST))
-    chunk = F.col("_c0").cast("long") * (2 * _REST) + inner.cast("long")
-    return second.withColumn(CHUNK, chunk).drop("_o0", "_c0", "_o1", "_c1")
-
-
-def _bucket(df: DataFrame, name: str, cuts: list, output: str) -> DataFrame:
-    splits = [float("-inf"), *sorted({float(c) for c in cuts if c is not None}), float("inf")]
-    if len(splits) == 2:
-        return df.withColumn(output, F.lit(0.0))
-    # Null order values sort first, with the lowest chunk.
-    low = df.withColumn(name, F.coalesce(F.col(name), F.lit(-1.7976931348623157e308)))
-    return Bucketizer(splits=splits, inputCol=name, outputCol=output, handleInvalid="keep").transform(low)
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order_by)])
+    cuts, kind = _cuts(df, key, parts, rows)
+    return df.withColumn(CHUNK, _cuts_up_to(key, cuts, kind))
+
+
+def _cuts(df: DataFrame, key: Column, parts: int, rows: int) -> tuple[list, str]:
+    """Keys that cut the order into about ``parts`` even chunks, from the keys with the least hashes, and their type. At most about ``SAMPLED`` keys per chunk are
+    looked at, whatever the data."""
+    keys = df.select(key.alias("key"))
+    share = min(1.0, SAMPLED * parts / max(rows, 1))
+    some = keys.filter(F.pmod(F.xxhash64("key"), F.lit(_SLOTS)) < int(np.ceil(share * _SLOTS)))
+    text = some.agg(F.to_json(F.sort_array(F.collect_set("key"))).alias("keys")).first()["keys"]
+    found = json.loads(text) if text else []
+    places = sorted({i * len(found) // parts for i in range(1, parts)}) if found else []
+    return [found[i] for i in places], keys.schema["key"].dataType.simpleString()
+
+
+def _cuts_up_to(key: Column, cuts: list, kind: str) -> Column:
+    """How many of the cuts are not above the key, by binary search. Cuts are sorted again once they have their own types, so that
+    the number never falls along the order."""
+    listed = F.sort_array(F.from_json(F.lit(json.dumps(cuts)), f"array<{kind}>"))
+    state = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def halved(x: Column, _: Column) -> Column:
+        middle = F.floor((x["low"] + x["high"]) / 2).cast("int")
+        right = F.get(listed, middle) <= key
+        return F.when(x["low"] >= x["high"], x).when(right, state(middle + 1, x["high"])).otherwise(state(x["low"], middle))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
+    return F.aggregate(steps, state(F.lit(0), F.lit(len(cuts))), halved, lambda x: x["low"].cast("long"))
 
 
 def _order(order_by: list[str]) -> list[Column]:

@@ -38,6 +38,48 @@ def test_chunks_cover_and_order(skewed):
     assert ordered[ordered.t == 7][O.CHUNK].nunique() > 3
 
 
+def test_chunks_of_keys_of_any_type(spark):
+    rng = random.Random(9)
+    rows = [(f"Customer#{i:09d}", None if i % 7 == 0 else i % 5, float("nan") if i % 11 == 0 else i / 3) for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, few int, part double").repartition(4)
+    df = df.withColumns(
+        {
+            "day": F.expr("date_add(date'2020-01-01', cast(substr(name, 10) AS int) % 400)"),
+            "at": F.expr("timestamp_micros(cast(substr(name, 10) AS long) * 1001)"),
+            "exact": F.expr("cast(substr(name, 10) AS decimal(20, 4)) / 7"),
+            "raw": F.expr("unhex(sha2(name, 256))"),
+        }
+    )
+    for order in (["name"], ["few", "name"], ["part", "name"], ["day", "at"], ["at"], ["exact"], ["raw"]):
+        counts = O.with_chunk(df, order, 2000, Scale(chunk_rows=100)).groupBy(O.CHUNK).agg(
+            F.count("*").alias("n"), F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high")
+        )
+        ordered = counts.withColumn("fits", F.coalesce(F.lag("high").over(Window.orderBy(O.CHUNK)) < F.col("low"), F.lit(True))).collect()
+        assert all(r.fits for r in ordered), order
+        assert len(ordered) >= 15 and max(r.n for r in ordered) <= 300, order
+
+
+def test_quantiles_take_two_reads(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    data = {
+        "even": rng.random(n), "long_tail": np.exp(rng.normal(0, 5, n)), "few": rng.integers(0, 5, n).astype(float),
+        "endless": np.where(rng.random(n) < 0.3, np.inf, rng.normal(size=n)), "tiny": rng.normal(size=n) * 1e-310, "huge": rng.normal(size=n) * 1e307,
+    }
+    df = spark.createDataFrame(pd.DataFrame(data)).repartition(3)
+    again = []
+    real = quantiles.__globals__["_narrow"]
+    monkeypatch.setitem(quantiles.__globals__, "_narrow", lambda *a: again.append(1) or real(*a))
+    probs = [0.25, 0.5, 0.75, 0.99]
+    for scale, most in ((Scale(), 0), (Scale(bins=16, collected=200), 9)):
+        again.clear()
+        got = quantiles(df, {c: F.col(c) for c in data}, probs, scale=scale)
+        for c in data:
+            np.testing.assert_allclose(got[c], pd.Series(data[c]).quantile(probs, interpolation="linear").to_numpy(), rtol=1e-12)
+        assert len(again) <= most
+
+
 @pytest.mark.parametrize("scale", [TINY, Scale()])
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_positions(skewed, scale, keys):
