@@ -86,6 +86,33 @@ def fix_types_dates(spark, folder):
     return clean.apply_types(texts, clean.fit_types(texts))
 
 
+# Forms in which programs export dates; those that leave day and month open keep only days that cannot be months.
+_DAY = "o_orderdate"
+EXPORTED = {
+    "zoned": (f"concat(date_format({_DAY}, 'yyyy-MM-dd'), 'T05:06:07+02:00')", "+ INTERVAL '3 hours 6 minutes 7 seconds'"),
+    "bare_zone": (f"concat(date_format({_DAY}, 'yyyy-MM-dd'), ' 05:06:07 -0130')", "+ INTERVAL '6 hours 36 minutes 7 seconds'"),
+    "universal": (f"concat(date_format({_DAY}, 'yyyy-MM-dd'), 'T05:06:07.25Z')", "+ INTERVAL '5 hours 6 minutes 7.25 seconds'"),
+    "half_day": (f"concat(date_format({_DAY}, 'yyyy-MM-dd'), ' 03:04:05 PM')", "+ INTERVAL '15 hours 4 minutes 5 seconds'"),
+    "named_month": (f"date_format({_DAY}, 'dd-MMM-yyyy')", ""),
+    "compact": (f"concat(date_format({_DAY}, 'yyyyMMdd'), 'T050607')", "+ INTERVAL '5 hours 6 minutes 7 seconds'"),
+    "nanoseconds": (f"concat(date_format({_DAY}, 'yyyy-MM-dd'), ' 05:06:07.123456789')", "+ INTERVAL '5 hours 6 minutes 7.123456 seconds'"),
+    "month": (f"date_format({_DAY}, 'yyyy-MM')", None),
+    "short_year": (f"CASE WHEN day({_DAY}) > 12 THEN date_format({_DAY}, 'M/d/yy') END", ""),
+    "us_time": (f"CASE WHEN day({_DAY}) > 12 THEN concat(date_format({_DAY}, 'MM/dd/yyyy'), ' 3:04 AM') END", "+ INTERVAL '3 hours 4 minutes'"),
+}
+
+
+def _exported_sql(name: str, shift: str | None) -> str:
+    base = "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)" if shift is None else f"CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) {shift}"
+    return f"CASE WHEN day(o_orderdate) > 12 THEN {base} END AS {name}" if name in ("short_year", "us_time") else f"{base} AS {name}"
+
+
+@REG.add("fix_types_dates_zoned", f"SELECT o_orderkey, {', '.join(_exported_sql(n, x) for n, (_, x) in EXPORTED.items())} FROM orders")
+def fix_types_dates_zoned(spark, folder):
+    texts = table(spark, folder, "orders").selectExpr("o_orderkey", *[f"{e} AS {n}" for n, (e, _) in EXPORTED.items()])
+    return clean.apply_types(texts, clean.fit_types(texts))
+
+
 @REG.add(
     "missing_drop",
     f"WITH {D} SELECT row_id, status, amount, priority FROM t WHERE status IS NOT NULL AND amount IS NOT NULL AND priority IS NOT NULL",

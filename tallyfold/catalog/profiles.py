@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyfold.catalog.base import DAMAGED_SQL, Registry, damaged_orders, longs, rounded, table
@@ -11,7 +13,10 @@ from tallyfold.operators.outliers import fit, outlier_counts
 from tallyfold.operators.merge import replace_by_key
 from tallyfold.operators.tables import preview
 from tallyfold.plans.freq import side_by_side
-from tallyfold.sources.readers import read_table
+from tallyfold.session import shared_folder
+from tallyfold.sources.readers import read_csv, read_table
+from tallyfold.sources.sinks import save_new
+from tallyfold.streaming.ingest import ingest_folder, manifest, read_stage, run_stages
 
 REG = Registry()
 
@@ -29,6 +34,37 @@ def scan_lineitem(spark, folder):
     )
 
 
+@REG.add("csv_round_trip", "SELECT doc_id, md5(text) AS text_md5, source, n_chars FROM documents WHERE text <> ''")
+def csv_round_trip(spark, folder):
+    """Whole texts with their quotes and line breaks, written as CSV and read back."""
+    path = save_new(
+        table(spark, folder, "documents").select("doc_id", "text", "source", "n_chars").filter("text <> ''"),
+        f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}.csv",
+        "csv",
+    )
+    back = read_csv(spark, path, ",", "doc_id long, text string, source string, n_chars long")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "source", "n_chars")
+
+
+@REG.add(
+    "stream_orders",
+    """SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus""",
+)
+def stream_orders(spark, folder):
+    """The orders as a stream of files, the stream started twice and its first batch run again: each order counts once."""
+    root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source, target = f"{root}/arriving", f"{root}/stored"
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders.repartition(4, "o_orderkey").write.parquet(source)
+    schema = orders.schema
+    stages = {"rows": lambda df: df, "profile": lambda df: profile.missing_by_column(df, keep_complete=True)}
+    for _ in range(2):
+        ingest_folder(spark, source, schema, target, "o_orderkey", max_files=2, stages=stages).awaitTermination()
+    first = manifest(spark, target).filter("stage = 'rows'").orderBy("batch").first()
+    run_stages(spark.read.schema(schema).parquet(first["path"]), first["batch"], target, stages)
+    return read_stage(spark, target, "rows", schema).groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @REG.add("preview_orders", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50")
 def preview_orders(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")

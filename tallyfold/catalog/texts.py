@@ -111,15 +111,15 @@ TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 @REG.add(
     "merge_turns",
-    f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS role, text FROM conversations WHERE turn % 3 <> 1),
+    f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS role, text FROM conversations),
         s AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS st FROM c),
         i AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS isl FROM s)
         SELECT conv_id, min(turn) AS first_turn, min(role) AS role, count(*) AS turns,
           string_agg(coalesce(nullif({TRIM.format("text")}, ''), '(empty message)'), chr(10) || chr(10) ORDER BY turn) AS text FROM i GROUP BY conv_id, isl""",
 )
 def merge_turns(spark, folder):
-    """The fixture has no neighbours of one role, so some turns are left out and some change role first."""
-    talks = table(spark, folder, "conversations").filter("turn % 3 <> 1")
+    """The table has no neighbours of one role, so some turns change role first."""
+    talks = table(spark, folder, "conversations")
     changed = talks.withColumn("role", F.when(F.col("turn") % 4 == 3, "user").otherwise(F.col("role")))
     return turns.merge_turns(changed)
 
@@ -138,21 +138,16 @@ def transcript_tail(spark, folder):
     return turns.transcript_tail(table(spark, folder, "conversations"), 4)
 
 
-SHORTENED = "SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN left(text, 60) ELSE text END AS text FROM conversations"
-
-
 @REG.add(
     "contextual_query",
-    f"""WITH c AS ({SHORTENED}), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c),
+    f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c),
         h AS (SELECT a.conv_id, a.turn, {TRIM.format("a.text")} AS m, string_agg(b.line, chr(10) ORDER BY b.p) AS hist FROM n a
               LEFT JOIN (SELECT conv_id, p, {_line(320)} AS line FROM n) b ON a.conv_id = b.conv_id AND b.p < a.p AND b.p >= a.p - 8
               WHERE a.role = 'user' GROUP BY 1, 2, 3)
         SELECT conv_id, turn, CASE WHEN length(m) >= 100 OR hist IS NULL THEN m ELSE hist || chr(10) || 'user: ' || m END AS query FROM h""",
 )
 def contextual_query(spark, folder):
-    talks = table(spark, folder, "conversations")
-    short = F.when(F.col("turn") % 2 == 0, F.left("text", F.lit(60))).otherwise(F.col("text"))
-    return turns.contextual_query(talks.withColumn("text", short))
+    return turns.contextual_query(table(spark, folder, "conversations"))
 
 
 ASKED = """SELECT conv_id, turn, role, CASE WHEN turn % 4 = 2 THEN 'please show a chart of it' WHEN turn % 7 = 3 THEN 'compare sales by month and how they relate' ELSE text END AS text FROM conversations"""  # noqa: E501
@@ -168,9 +163,7 @@ def _asked(spark, folder):
     return table(spark, folder, "conversations").withColumn("text", asked)
 
 
-CHART = r"(?i)\b(chart|charts|graph|graphs|graphique|graphiques|graphe|graphes|visuali[sz]e?|visuali[sz]ation|plot|plots|draw|diagram|figure|affich(?:e|er).*graph|montre.*graph|show.*chart|generate.*graph)\b"  # noqa: E501
-COMPARE = r"(?i)\b(difference|compare|comparison|between|vs\.?|versus|by month|monthly|trend|over time)\b"
-RELATE = r"(?i)\b(correlat|affect|impact|improve|relate|wonder if|cut.*hour|cause|between)\b"
+CHART, COMPARE, RELATE = turns.CHART_REQUEST, turns.COMPARISON, turns.RELATION
 
 
 @REG.add(

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date texts. Each shape is matched first, so that a format is only ever tried on
-# text it fits; failed parse attempts are what makes date detection slow. ISO texts take Spark's own cast.
-ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+# Accepted date texts. ISO texts, with a zone or fractions of a second or without, take Spark's own cast.
+ISO_TEXT = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?)?$"
+#: Of other texts the shape, digits as 9 and letters as a, says which one format fits, so that each is parsed once.
 PLAIN_FORMATS = [
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^(19|20)\d{2}(0[1-9]|1[0-2])([0-2]\d|3[01])$", "yyyyMMdd"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
-    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    "yyyy/M/d",
+    "yyyy/M/d H:mm",
+    "yyyy/M/d H:mm:ss",
+    "yyyy/M",
+    "yyyyMMdd",
+    "yyyyMMdd'T'HHmmss",
+    "yyyyMMdd'T'HHmmssX",
+    "yyyy-M-d h:mm a",
+    "yyyy-M-d h:mm:ss a",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d MMM yyyy H:mm",
+    "d MMM yyyy H:mm:ss",
+    "d-MMM-yyyy",
+    "d-MMM-yyyy H:mm:ss",
+    "d/MMM/yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM yyyy",
+    "MMMM yyyy",
 ]
 _MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
 MONTH_FIRST_FORMATS = [
@@ -23,6 +41,8 @@ MONTH_FIRST_FORMATS = [
     (rf"^{_MONTH}\.{_DAY}\.\d{{4}}$", "M.d.yyyy"),
     (rf"^{_MONTH}/{_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}$", "M/d/yyyy H:mm"),
     (rf"^{_MONTH}/{_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$", "M/d/yyyy H:mm:ss"),
+    (rf"^{_MONTH}/{_DAY}/\d{{4}} \d{{1,2}}:\d{{2}} [AaPp][Mm]$", "M/d/yyyy h:mm a"),
+    (rf"^{_MONTH}/{_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}} [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
 ]
 DAY_FIRST_FORMATS = [
     (rf"^{_DAY}/{_MONTH}/\d{{4}}$", "d/M/yyyy"),
@@ -30,11 +50,18 @@ DAY_FIRST_FORMATS = [
     (rf"^{_DAY}\.{_MONTH}\.\d{{4}}$", "d.M.yyyy"),
     (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}$", "d/M/yyyy H:mm"),
     (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$", "d/M/yyyy H:mm:ss"),
+    (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}} [AaPp][Mm]$", "d/M/yyyy h:mm a"),
+    (rf"^{_DAY}/{_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}} [AaPp][Mm]$", "d/M/yyyy h:mm:ss a"),
 ]
 
-# How the two kinds of date text begin; other texts skip all shapes.
+# How texts begin whose day and month may be mistaken, and where a year of two digits stands. Years up to 68 are in this
+# century.
 SWAPPED_START = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
-PLAIN_START = r"^(\d{4}[-/]|\d{8}$|\d{1,2} [A-Z][a-z]|[A-Z][a-z]{2,8} \d)"
+SHORT_YEAR = r"^\d{1,2}[/.-](\d{1,2}|[A-Za-z]{3})[/.-]\d{2}($| )"
+_BEFORE_YEAR = r"(?<=^\d{1,2}[/.-]([0-9]{1,2}|[A-Za-z]{3})[/.-])"
+# How the shapes of all other dates begin.
+PLAIN_START = r"^(9999[-/9]|99?[- /]aaa|aaa)"
+LONGEST = 64
 
 # Strftime letters and the matching date_format letters.
 STRFTIME = {
@@ -58,19 +85,63 @@ STRFTIME = {
 
 
 def parse_date(column: Column, day_first: bool = False) -> Column:
-    """Text to timestamp; the preferred day/month order is tried first, the other one next."""
-    text = F.trim(column)
-    return F.when(text.rlike(SWAPPED_START), parse_swapped(text, day_first)).otherwise(parse_plain(text))
+    """Text to timestamp; the preferred day/month order is tried first, the other one next. Texts with a zone become the instant they name."""
+    either = lambda t: F.when(t.rlike(SWAPPED_START), _swapped(t, day_first)).otherwise(_plain(t))
+    return _once(date_text(column), either)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def date_text(column: Column) -> Column:
+    """The text without blanks around it, a year of two digits written out; null if it is too long for a date."""
 
+    def full(text: Column) -> Column:
+        late = F.regexp_replace(text, rf"{_BEFORE_YEAR}(?=([0-5]\d|6[0-8])($| ))", "20")
+        return F.when(text.rlike(SHORT_YEAR), F.regexp_replace(late, rf"{_BEFORE_YEAR}(?=\d\d($| ))", "19")).otherwise(text)
 
-def parse_plain(text: Column) -> Column:
+    return _once(F.trim(F.when(F.length(column) <= LONGEST, column)), full)
+
+
+def _plain(text: Column) -> Column:
     """Texts whose day and month cannot be mistaken."""
-    iso = F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp"))
-    return F.when(text.rlike(PLAIN_START), _first_fit(iso, text, PLAIN_FORMATS))
+    zoned = F.regexp_replace(F.regexp_replace(text, r" (?=Z$|[+-]\d{2}:?\d{2}$)", ""), r"(?<=:\d{2}[^-]{0,10}[+-]\d{2})(?=\d{2}$)", ":")
+    iso = F.when(text.rlike("[Z+]|:.*-"), zoned).otherwise(text).try_cast("timestamp")
+    kind = F.translate(text, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
+
+    def shaped(kind: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+        for pattern, own in _SHAPES.items():
+            chain = chain.when(kind.rlike(own), F.try_to_timestamp(text, F.lit(pattern)))
+        return chain
+
+    return F.when(text.rlike(ISO_TEXT), iso).otherwise(F.when(kind.rlike(PLAIN_START), _once(kind, shaped)))
+
+
+_DIGITS, _LETTERS = string.digits, string.ascii_letters
+_WIDTHS = {
+    "yyyy": "9999", "MMMM": "a{4,9}", "MMM": "aaa", "MM": "99", "dd": "99", "HH": "99", "mm": "99", "ss": "99",
+    "M": "99?", "d": "99?", "H": "99?", "h": "99?", "a": "aa", "X": "a", "'T'": "a",
+}
+
+
+def shape(pattern: str) -> str:
+    """The shapes of all texts that a format can fit."""
+    tokens = re.findall(r"'T'|y+|M+|d+|H+|h+|m+|s+|a|X|[^A-Za-z]", pattern)
+    return "^" + "".join(_WIDTHS.get(t, t) for t in tokens) + "$"
+
+
+_SHAPES = {p: shape(p) for p in PLAIN_FORMATS}
 
 
 def parse_swapped(text: Column, day_first: bool) -> Column:
-    """Texts like 03/04/2024."""
+    """Texts like 03/04/2024, as ``date_text`` gives them."""
+    return _once(text, lambda t: _swapped(t, day_first))
+
+
+def _swapped(text: Column, day_first: bool) -> Column:
     month, day = MONTH_FIRST_FORMATS, DAY_FIRST_FORMATS
     return _first_fit(None, text, day + month if day_first else month + day)
 

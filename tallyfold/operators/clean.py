@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.dates import SWAPPED_START, java_pattern, parse_date, parse_swapped, parse_with
+from tallyfold.functions.dates import SWAPPED_START, date_text, java_pattern, parse_date, parse_swapped, parse_with
 from tallyfold.functions.numbers import number, text_to_number, without_nan
 from tallyfold.functions.text import is_missing_token, match_key, tidy
 from tallyfold.operators import outliers
@@ -111,8 +111,8 @@ def _type_rates(cells: dict[str, Column], date_format: str | None) -> list[Colum
     parts = []
     for i, cell in enumerate(cells.values()):
         month_first = parse_with(cell, date_format) if date_format else parse_date(cell)
-        swapped = F.trim(cell).rlike(SWAPPED_START)
-        differs = F.when(swapped, parse_swapped(F.trim(cell), True) != parse_swapped(F.trim(cell), False))
+        text = date_text(cell)
+        differs = F.when(text.rlike(SWAPPED_START), parse_swapped(text, True) != parse_swapped(text, False))
         present = cell.isNotNull()
         parts += [
             F.avg(F.when(present, text_to_number(cell).isNotNull().cast("int"))).alias(f"num{i}"),

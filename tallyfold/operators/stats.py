@@ -62,8 +62,7 @@ def is_junk(f: ColumnFacts, match: str = "joined") -> bool:
     """Identifier-like or free text. By default separators are removed before whole words are compared, so
     ``customer_id`` is not caught; ``match='token'`` compares its parts."""
     name = re.sub(r"[_\-\s]", "" if match == "joined" else " ", f.column)
-    words = r"\b(" + "|".join(N.JUNK_WORDS) + r")\b"
-    if re.search(words, name, re.IGNORECASE):
+    if re.search(N.JUNK_NAME, name, re.IGNORECASE):
         return True
     present = max(f.rows - f.missing, 1)
     return f.kind == "text" and f.distinct / present > 0.9

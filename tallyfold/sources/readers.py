@@ -103,6 +103,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     ).otherwise(F.col("carried"))
     found = found.select("file", "block", "line", "value", inside.alias("inside"), (F.col("odd") == 1).alias("odd"), start.alias("start"))
     whole = found.filter("NOT inside AND NOT odd").select("file", "block", "line", F.col("value").alias("record"))
+    # In the order of the file within a task, as readers of lines give them.
+    whole = whole.sortWithinPartitions("file", "block", "line")
     parts = found.filter("inside OR odd").groupBy("file", "start").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n").alias("record")
     )

@@ -1,11 +1,14 @@
 """Files arriving in a folder: each micro-batch is stored, profiled and scanned, stage by stage.
 
-The stream keeps no state. Every stage writes under its batch number in overwrite mode, so a batch that
-is run again after a failure replaces its own output and nothing is counted twice.
+The stream keeps no state. A batch is stored once, under a folder of its own for every attempt; the other stages read what was stored. When an attempt
+is done, one file in the manifest says where its results lie, and readers take the last such attempt of every batch. So a
+batch that is run again after a failure replaces its earlier results for every reader at once, nothing is counted twice, and what a
+failed attempt left behind is never read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,7 @@ Stage = Callable[[DataFrame], DataFrame]
 
 # The stage that stores the rows; the others only report on them.
 STORAGE = "rows"
+_MANIFEST = "manifest"
 
 
 def default_stages(row_key: str) -> dict[str, Stage]:
@@ -30,28 +34,56 @@ def default_stages(row_key: str) -> dict[str, Stage]:
     }
 
 
+MANIFEST = "batch long, attempt string, stage string, path string, status string, finished_at timestamp"
+
+
 def run_stages(batch: DataFrame, batch_id: int, target: str, stages: dict[str, Stage]) -> dict[str, str]:
-    """Runs each stage on its own; the status table says which ones failed and why. If the rows themselves could not be
-    stored, the batch fails once its status is written, so that it is not committed and is run again."""
+    """Runs each stage on its own, the reports on the stored rows; the manifest says which ones failed and why. If the rows themselves could not be
+    stored, the batch fails once that is written, so that it is not committed and is run again."""
+    spark = batch.sparkSession
+    attempt = uuid.uuid4().hex
+    path = lambda name: f"{target}/{name}/batch={batch_id}/attempt={attempt}"
     status = {}
     lost = None
-    for name, stage in stages.items():
+    kept = batch
+    for name, stage in sorted(stages.items(), key=lambda x: x[0] != STORAGE):
         try:
-            stage(batch).write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+            out = stage(kept)
+            out.write.mode("errorifexists").parquet(path(name))
             status[name] = "done"
+            if name == STORAGE:
+                kept = spark.read.schema(out.schema).parquet(path(name))
         except Exception as error:  # noqa: BLE001 - one stage's failure must not stop the others
             status[name] = f"failed: {type(error).__name__}: {str(error)[:200]}"
-            lost = error if name == STORAGE else lost
-    rows = [(name, text) for name, text in status.items()]
-    report = batch.sparkSession.createDataFrame(rows, "stage string, status string")
-    report.withColumn("finished_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(
-        f"{target}/status/batch={batch_id}"
-    )
+            if name == STORAGE:
+                lost = error
+                break
+    rows = [(batch_id, attempt, name, path(name), text) for name, text in status.items()]
+    report = spark.createDataFrame(rows, "batch long, attempt string, stage string, path string, status string")
+    report.withColumn("finished_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{target}/{_MANIFEST}")
     if lost is not None:
         raise lost
     return status
 
 
+def manifest(spark: SparkSession, target: str) -> DataFrame:
+    """The valid results: of each batch the last attempt whose rows were stored, one row per stage."""
+    entries = spark.read.schema(MANIFEST).parquet(f"{target}/{_MANIFEST}")
+    stored = entries.filter((F.col("stage") == STORAGE) & (F.col("status") == "done"))
+    valid = stored.groupBy("batch").agg(F.max_by("attempt", F.struct("finished_at", "attempt")).alias("attempt"))
+    return entries.join(valid, ["batch", "attempt"])
+
+
+def read_stage(spark: SparkSession, target: str, stage: str, schema: StructType | None = None) -> DataFrame:
+    """What a stage has written for all batches, each batch once."""
+    done = manifest(spark, target).filter((F.col("stage") == stage) & (F.col("status") == "done"))
+    paths = [r["path"] for r in done.select("path").orderBy("path").collect()]  # one per batch
+    if not paths and schema is not None:
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*paths)
+
+
 def ingest_folder(
     spark: SparkSession,
     source: str,

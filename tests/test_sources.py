@@ -1,5 +1,7 @@
+import csv
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyfold.operators import retrieval, turns
 from tallyfold.plans.scale import Scale
 from tallyfold.sources import readers, sinks
-from tallyfold.streaming.ingest import ingest_folder
+from tallyfold.streaming.ingest import default_stages, ingest_folder, manifest, read_stage, run_stages
 
 TINY = Scale(chunk_rows=11, bins=8)
 
@@ -27,6 +29,59 @@ def test_csv_of_any_delimiter(spark, tmp_path, sep):
     assert readers.count_bad_lines(spark, str(path)) == 1
 
 
+def test_csv_with_quoted_line_breaks_in_many_splits(spark, tmp_path):
+    rng = random.Random(1)
+    want = []
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", "w", newline="") as out:
+            rows = csv.writer(out, lineterminator="\n")
+            rows.writerow(["id", "text", "x\ny", "n"])
+            for i in range(500):
+                text = "".join(rng.choice(["a", "b", '"', "\n", ",", ";", " ", "\r\n"]) for _ in range(rng.randrange(1, 40)))
+                rows.writerow([f * 1000 + i, text, rng.choice(["p", "q\n\n", '"']), i / 2])
+                want.append((f * 1000 + i, text, i / 2))
+                if i % 100 == 7:
+                    rows.writerow([-1, "bad", "c", 1, "more", "z\nz"])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert readers.sniff_delimiter(spark, str(tmp_path)) == ","
+        assert readers.csv_records(spark, str(tmp_path)).select("file", "block").distinct().count() > 40
+        df = readers.read_csv(spark, str(tmp_path), ",")
+        assert df.columns == ["id", "text", "x\ny", "n"]
+        assert sorted((r[0], r[1], r[3]) for r in df.collect()) == sorted(want)
+        surplus = readers.surplus_records(spark, str(tmp_path), ",").collect()
+        assert len(surplus) == 10 and {r["record"] for r in surplus} == {'-1,bad,c,1,more,"z\nz"'}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    root, pointers = str(tmp_path / "data"), str(tmp_path / "pointers")
+    real = sinks.save_new
+    failed = []
+
+    def second_writer(df, path, file_type):
+        monkeypatch.setattr(sinks, "save_new", real)
+        try:
+            sinks.replace_version(spark.range(9), root, "d", pointers)
+        except sinks.VersionTaken as error:
+            failed.append(error)
+        return real(df, path, file_type)
+
+    monkeypatch.setattr(sinks, "save_new", second_writer)
+    path = sinks.replace_version(spark.range(3), root, "d", pointers)
+    assert len(failed) == 1 and sinks.current_path(spark, pointers, "d") == path and spark.read.parquet(path).count() == 3
+    # A job that died after its claim is passed over once it is given up.
+    sinks._claim(spark, f"{root}/d", sinks._pointer(spark, pointers, "d"))
+    with pytest.raises(sinks.VersionTaken):
+        sinks.replace_version(spark.range(4), root, "d", pointers)
+    sinks.abandon(spark, root, "d", pointers)
+    assert sinks.replace_version(spark.range(4), root, "d", pointers).endswith("v000003/data")
+
+
 def test_csv_with_schema_and_json_lines(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("id;price\n1;2.5\n2;bad\n3;1;9\n")
@@ -88,16 +143,21 @@ def test_folder_ingest_is_replayable(spark, tmp_path):
     spark.createDataFrame([(11, 1.0, "y")], schema).coalesce(1).write.mode("append").parquet(str(source))
     run()
     run()
-    assert spark.read.parquet(f"{target}/rows").count() == 11
-    issues = {(r["row_key"], r["issue_type"]) for r in spark.read.parquet(f"{target}/issues").collect()}
+    assert read_stage(spark, str(target), "rows").count() == 11
+    issues = {(r["row_key"], r["issue_type"]) for r in read_stage(spark, str(target), "issues").collect()}
     assert {(2, "missing"), (1, "missing_token")} <= issues
-    status = spark.read.parquet(f"{target}/status")
+    status = manifest(spark, str(target))
     assert status.filter("status <> 'done'").count() == 0 and status.select("batch").distinct().count() == 2
+    # A batch run again takes the place of its first run; what a failed attempt leaves behind is not read.
+    run_stages(spark.createDataFrame([(11, 1.0, "y")], schema), 1, str(target), default_stages("id"))
+    broken = {"rows": lambda df: df.withColumn("value", F.raise_error(F.lit("no")).cast("double"))}
+    with pytest.raises(Exception, match="no"):
+        run_stages(spark.createDataFrame([(12, 1.0, "y")], schema), 1, str(target), broken)
+    assert sorted(r["id"] for r in read_stage(spark, str(target), "rows").collect()) == [*range(10), 11]
+    assert read_stage(spark, str(target), "profile").count() == 6
 
 
 def test_one_stage_may_fail(spark, tmp_path):
-    from tallyfold.streaming.ingest import run_stages
-
     def broken(df):
         raise RuntimeError("no")
 
