@@ -43,6 +43,33 @@ def test_targets_and_totals(spark, small):
         assert abs(taken[s] - target[s]) <= max(r.size for r in rows if source[r.doc_id] == s)
 
 
+def test_inclusion_is_the_solved_one(spark):
+    """Over many seeds each size is taken as often as its solved probability says, and certain ones always."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 1, 2] * 10 + [50] * 40 + [1000] * 40 + [20_000] * 12 + rng.integers(100, 400, 60).tolist()
+    total = sum(sizes)
+    wanted = 0.5 * total
+    counts = spark.createDataFrame([("a", s, sizes.count(s), float(wanted)) for s in sorted(set(sizes))], "source string, size long, n long, rest double")
+    row = mixing.solved(counts).first()
+    measure = lambda s: mixing.HALF_ODDS / (s + mixing.HALF_ODDS)
+    dealt = {s: 1.0 if s < row.open else row.factor * measure(s) for s in set(sizes)}
+    assert max(dealt.values()) <= 1 and sum(dealt[s] * s for s in sizes) == pytest.approx(wanted)
+    docs = [(i, s) for i, s in enumerate(sizes)]
+    frame = spark.createDataFrame(docs, "doc_id long, size long").withColumns({"factor": mixing.F.lit(row.factor), "typical": mixing.F.lit(row.typical)})
+    seeds = 300
+    ranks = frame.select("doc_id", "size", *[mixing._rank(f"s{k}").alias(f"r{k}") for k in range(seeds)]).toPandas()
+    taken = defaultdict(list)
+    for k in range(seeds):
+        open_ = ranks[ranks["size"] >= row.open].sort_values([f"r{k}", "doc_id"])
+        inside = open_[open_["size"].cumsum() - open_["size"] / 2 <= row.left]
+        assert open_[f"r{k}"].between(0, 1).all() and abs(inside["size"].sum() - row.left) <= 20_000
+        for s in set(sizes):
+            taken[s].append((inside["size"] == s).sum() / sizes.count(s) if s >= row.open else 1.0)
+    for s in (50, 1000, 20_000):
+        noise = 4 * np.sqrt(dealt[s] * (1 - dealt[s]) / (seeds * sizes.count(s))) + 0.02
+        assert abs(np.mean(taken[s]) - dealt[s]) < noise, (s, np.mean(taken[s]), dealt[s])
+
+
 def test_slices_do_not_change_the_sample(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     one = sorted(map(tuple, mixing.mix(docs).collect()))
