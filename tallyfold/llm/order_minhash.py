@@ -35,7 +35,7 @@ PART = 1024
 #: Buckets of the table of word counts that rare and frequent are told apart by; any counts give the same links.
 COUNTED = 1 << 18
 #: Rarer words that a row carries, so that a pair is met at its first common word only.
-CARRIED = 32
+CARRIED = 64
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -252,9 +252,11 @@ def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: Dat
     main = F.max_by("class_id", F.struct("m", "class_id")).alias("main")
     pieces = pieces.groupBy("word").agg(main, F.sum("m").alias("m"), F.count("*").alias("classes")).filter("classes > 1")
     pieces = pieces.select("word", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    rows = flat.join(spread(pieces), "word").drop("class_id").join(filed, "rep")
-    before = F.slice("words", 1, F.least("place", F.lit(CARRIED)))
-    rows = stored(rows.select("word", "main", "parts", "rep", "class_id", "keys", "n", "place", before.alias("before")))
+    # Words of one class bring nobody together; a row carries the rarer ones of the others.
+    kept = flat.join(spread(pieces), "word").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "word", "main", "parts"))).alias("kept"))
+    rows = kept.join(filed.drop("words"), "rep").select("rep", "class_id", "keys", "n", "kept", F.posexplode("kept").alias("nth", "own"))
+    before = F.slice("kept.word", 1, F.least("nth", F.lit(CARRIED)))
+    rows = stored(rows.select("own.word", "own.main", "own.parts", "own.place", "rep", "class_id", "keys", "n", before.alias("before")))
     held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "keys", "n", "place", "before")]
     some = rows.filter("class_id <> main").select("word", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), *held("x"))
     others = rows.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", *held("y"))
