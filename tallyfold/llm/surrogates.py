@@ -84,14 +84,22 @@ _ATOM = r"\p{L}\p{N}._%+\-"
 _EMAIL = rf"(?<![{_ATOM}@])[{_ATOM}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)++"
 _SECRET_NAME = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key)"
 _SECRET = rf"(?<![\p{{L}}\p{{N}}]){_SECRET_NAME}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'<>,;]{{6,}}+"
-_CODE = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+)(?![\p{L}\p{N}])"
+_CODE = (
+    r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+|eyJ[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]++(?:\.[0-9A-Za-z_\-]*+)?)(?![\p{L}\p{N}])"
+)
+_BEARER = r"(?<![\p{L}\p{N}])(?i:bearer)[ \t]{1,3}[0-9A-Za-z._~+/\-]{16,}+=*+"
 _IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
-_SOCIAL = r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+_IP6 = (
+    rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[A-Fa-f:]*\d)(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}})"
+    r"(?![\p{L}\p{N}:]|\.\d)"
+)
+_SOCIAL = r"(?<![\p{L}\p{N}\-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4})(?![\p{L}\p{N}]|-\d)"
 _ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"
 _CARD = r"(?<![\p{L}\p{N}.\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\p{L}\p{N}]|[.\-]\d)"
 _PHONE = (
     r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}"
-    r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}]|[.\-]\d)"
+    r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d{2,4}[ \-/]\d{3,4}[ \-]?\d{3,4})(?![\p{L}\p{N}]|[.\-]\d)"
 )
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _GENDERS = {g: sorted({n for (h, _), ns in GIVEN.items() if h == g for n in ns} | set(KNOWN[g])) for g in KNOWN}
@@ -103,11 +111,19 @@ def _any_of(names: list[str]) -> str:
     return "|".join(f"{h}(?:{'|'.join(n[1:] for n in names if n[0] == h)})" for h in heads)
 
 
-_ALL_GIVEN = _any_of(sorted({n for ns in _GENDERS.values() for n in ns}))
-_WORD = r"\p{Lu}[\p{L}'\-]++"
+_LISTED = sorted({n for ns in _GENDERS.values() for n in ns})
+_ALL_GIVEN = _any_of(sorted({*_LISTED, *(n.upper() for n in _LISTED)}))
+# Small words inside surnames.
+PARTICLES = "van von der den de del della di da dos du la le ten ter zu bin ibn al".split()
+# An apostrophe or hyphen belongs to a name inside it only, and not before a possessive s.
+_WORD = r"\p{Lu}(?:\p{L}|['’\-](?=\p{L})(?!s(?!\p{L})))++"
 _INITIALS = r"(?:\p{Lu}\. )*+"
-_NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_INITIALS}{_WORD}(?: {_INITIALS}{_WORD})?|(?:{_ALL_GIVEN}) {_INITIALS}{_WORD})"
-PATTERN = "|".join([_EMAIL, _SECRET, _CODE, _IP, _SOCIAL, _ACCOUNT, _CARD, _PHONE, _NAME])
+_FURTHER = rf"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_INITIALS}{_WORD})"
+_NAME = (
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_INITIALS}(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD}{_FURTHER}{{0,3}}"
+    rf"|(?:{_ALL_GIVEN})(?![\p{{L}}'’\-]){_FURTHER}{{1,3}})"
+)
+PATTERN = "|".join([_EMAIL, _SECRET, _BEARER, _CODE, _IP, _IP6, _SOCIAL, _ACCOUNT, _CARD, _PHONE, _NAME])
 
 _PIECES = "array<struct<type: string, text: string>>"
 
@@ -126,17 +142,19 @@ def _names(mention: Column) -> Column:
     title = F.regexp_replace(words[0], r"\.$", "")
     said = reduce(lambda c, g: c.when(title.isin(TITLES[g]), g), "fm", F.when(F.lit(False), ""))
     titled = title.isin([t for ts in TITLES.values() for t in ts])
-    known = lambda w: reduce(lambda c, g: c.when(w.isin(_GENDERS[g]), g), _GENDERS, F.when(F.lit(False), ""))
+    plain = lambda w: F.when(w == F.upper(w), F.initcap(F.lower(w))).otherwise(w)
+    known = lambda w: reduce(lambda c, g: c.when(plain(w).isin(_GENDERS[g]), g), _GENDERS, F.when(F.lit(False), ""))
     given = lambda w: F.concat(F.lit("given_"), F.coalesce(F.when(titled, said), known(w), F.lit("n")))
-    initial = lambda w: w.rlike(r"^\p{Lu}\.$")
+    initial = lambda w: w.rlike(r"^\p{Lu}\.$|^\p{Ll}+$")
     full = F.filter(F.slice(words, F.when(titled, 2).otherwise(1), F.size(words)), lambda w: ~initial(w))
     first = lambda w, i: ~F.exists(F.slice(words, F.when(titled, 2).otherwise(1), F.greatest(F.lit(0), i - F.when(titled, 1).otherwise(0))), lambda v: ~initial(v))
 
     def piece(w: Column, i: Column) -> Column:
         kind = (
-            F.when(titled & (i == 0), F.lit(None).cast("string"))
+            F.when(titled & (i == 0) | w.isin(PARTICLES), F.lit(None).cast("string"))
             .when(initial(w), "initial")
             .when(first(w, i) & ((F.size(full) > 1) | known(w).isNotNull()), given(w))
+            .when((i < F.size(words) - 1) & known(w).isNotNull(), given(w))
             .otherwise("surname")
         )
         word = F.array(_piece(kind, w)).cast(_PIECES)
@@ -149,12 +167,15 @@ def _pieces(mention: Column) -> Column:
     """A mention as plain and private pieces; the first form that fits it whole names its type."""
     whole = lambda p: mention.rlike(f"^(?:{p})$")
     lead = F.regexp_extract(mention, rf"^({_SECRET_NAME}[\"']?[ \t]*[=:][ \t]*[\"']?)", 1)
+    bearer = F.regexp_extract(mention, r"^(\w+[ \t]+)", 1)
     country = F.regexp_extract(mention, r"^(\+\d{1,3}[ .\-]?)(?=[(\d])", 1)
     return (
         F.when(whole(_EMAIL), _only("email", mention))
         .when(whole(_SECRET), F.array(_piece(None, lead), _piece("secret", mention.substr(F.length(lead) + 1, F.length(mention)))))
+        .when(whole(_BEARER), F.array(_piece(None, bearer), _piece("secret", mention.substr(F.length(bearer) + 1, F.length(mention)))))
         .when(whole(_CODE), F.array(_piece(None, mention.substr(1, 4)), _piece("secret", mention.substr(F.lit(5), F.length(mention)))))
         .when(whole(_IP), _only("ip", mention))
+        .when(whole(_IP6), _only("ip6", mention))
         .when(whole(_SOCIAL), _only("number", mention))
         .when(whole(_ACCOUNT), F.array(_piece(None, mention.substr(1, 2)), _piece("account", mention.substr(F.lit(3), F.length(mention)))))
         .when(whole(_CARD), _only("card", mention))
@@ -185,13 +206,13 @@ def _draw(i: Column | int) -> Column:
 
 def _alike(text: Column, offset: int = 0) -> Column:
     """Another text of the same form: each digit or letter by one of its script and case, hexadecimal texts by hexadecimal."""
-    hexadecimal = (F.col("type") == "secret") & text.rlike("^[0-9a-f]*$")
+    hexadecimal = ((F.col("type") == "secret") & text.rlike("^[0-9a-f]*$")) | (F.col("type") == "ip6")
 
     def char(c: Column, i: Column) -> Column:
         n = _draw(i + offset)
         letters = lambda a: _pick(list(ALPHABETS[a]), n)
         return (
-            F.when(hexadecimal, _pick(list("0123456789abcdef"), n))
+            F.when(hexadecimal & (c != ":"), _pick(list("0123456789abcdef"), n))
             .when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
             .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), letters("cyrillic_upper"))
             .when(c.rlike(r"\p{IsCyrillic}"), letters("cyrillic_lower"))
@@ -228,6 +249,8 @@ def _derive(entities: DataFrame, key: str) -> DataFrame:
     more = F.greatest(F.lit(0), F.col("attempt") - SHORT + 1).cast("int")
     entity = F.col("entity")
     same_form = F.when(F.col("type").isin("secret", *_NUMBERS), F.concat(entity, F.repeat(F.lit("0"), more)))
+    # An address of the long kind has all eight groups once short forms are used up.
+    same_form = same_form.when((F.col("type") == "ip6") & (more > 0), F.lit(":".join(["ffff"] * 8)))
     rows = rows.withColumn("alike", _alike(same_form.when(F.col("type") == "email", F.concat(F.repeat(F.lit("a"), more), entity)).otherwise(entity)))
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
@@ -296,6 +319,7 @@ def _render(text: Column, kind: Column, surrogate: Column) -> Column:
     return (
         F.when(kind.isin(*_NUMBERS), step)
         .when(kind.isin("ip", "secret"), surrogate)
+        .when(kind == "ip6", F.when(F.upper(text) == text, F.upper(surrogate)).otherwise(surrogate))
         .when(shouted & (F.lower(text) != text), F.upper(surrogate))
         .when(kind == "email", surrogate)
         .otherwise(F.array_join(F.transform(F.split(surrogate, "-"), F.initcap), "-"))
@@ -317,19 +341,44 @@ def _entities(pieces: str) -> Column:
     return F.array_distinct(F.transform(found, lambda p: F.struct(p["type"].alias("type"), canonical(p["type"], p["text"]).alias("entity"))))
 
 
+def _surnames(pieces: str) -> Column:
+    """A pattern of the surnames of a text that may stand alone elsewhere in it; matches nothing without one. Surnames hold letters, apostrophes and
+    hyphens only."""
+    found = F.filter(pieces, lambda p: (p["type"] == "surname") & (F.length(p["text"]) > 2))
+    names = F.array_distinct(F.transform(found, lambda p: p["text"]))
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}'’\-])(?:"), F.array_join(names, "|"), F.lit(r")(?=['’]s(?![\p{L}\p{N}])|(?!['’\-]?[\p{L}\p{N}]))")))
+
+
+def _with_lone_surnames(pieces: str, pattern: str) -> Column:
+    """The pieces, plain ones cut at mentions of the text's own surnames."""
+
+    def cut(p: Column) -> Column:
+        plain = F.transform(F.split(p["text"], F.col(pattern), -1), lambda t: F.array(_piece(None, t)).cast(_PIECES))
+        names = F.transform(F.regexp_extract_all(p["text"], F.col(pattern), F.lit(0)), lambda t: F.array(_piece("surname", t)).cast(_PIECES))
+        both = F.zip_with(plain, names, lambda a, b: F.concat(a, F.coalesce(b, F.array().cast(_PIECES))))
+        again = p["type"].isNull() & F.col(pattern).isNotNull() & F.rlike(p["text"], F.col(pattern))
+        return F.when(again, F.flatten(both)).otherwise(F.array(p))
+
+    return F.flatten(F.transform(pieces, cut))
+
+
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with surrogates for personal data in ``text``; all columns, names and rows as before.
 
-    Null and empty texts and texts without a mention stay as they are. Rows are told apart by their place in a stored table, so repeated rows and null
-    ids do no harm."""
+    Null and empty texts and texts without a mention stay as they are; texts of any length are read whole. Rows are told apart by their place in a
+    stored table, so repeated rows and null ids do no harm."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     private = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
-    found = docs.filter(private).select(F.struct(*columns).alias("_row"))
-    text = F.col("_row.text")
-    mentions = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), _pieces)
-    plain = F.transform(F.split(text, PATTERN, -1), lambda t: F.array(_piece(None, t)).cast(_PIECES))
-    pieces = F.flatten(F.flatten(F.zip_with(plain, mentions, lambda a, b: F.array(a, F.coalesce(b, F.array().cast(_PIECES))))))
-    found = stored(found.select("_row", pieces.alias("pieces"), F.monotonically_increasing_id().alias("_place")))
+    # One run of the pattern marks all mentions; what marks them is made from the text's own hash, so it does not occur in it.
+    mark = F.concat(F.lit("\ue000"), F.lower(F.hex(F.xxhash64("text"))), F.lit("\ue001"))
+    parts = F.split(F.regexp_replace("text", F.lit(PATTERN), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+    # As rows of a generator the parts are formed once; the filter on them would otherwise repeat all steps.
+    found = docs.filter("text IS NOT NULL").select(F.struct(*columns).alias("_row"), F.explode(F.array(parts)).alias("_parts")).filter("size(_parts) > 1")
+    whole = lambda t: F.array(_piece(None, t)).cast(_PIECES)
+    pieces = F.flatten(F.transform("_parts", lambda t, i: F.when(i % 2 == 1, _pieces(t)).otherwise(whole(t))))
+    found = found.select("_row", F.explode(F.array(pieces)).alias("pieces")).withColumn("_names", _surnames("pieces"))
+    found = found.select("_row", _with_lone_surnames("pieces", "_names").alias("pieces"), F.monotonically_increasing_id().alias("_place"))
+    found = stored(found)
     named = stored(found.select("_place", F.explode(_entities("pieces")).alias("e")).select("_place", "e.*"))
     table = assign(named, key)
     own = named.join(table, ["type", "entity"]).groupBy("_place").agg(
@@ -339,6 +388,6 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     new = F.array_join(
         F.transform("pieces", lambda p: F.when(p["type"].isNull(), p["text"]).when(p["type"] == "initial", _initial(p["text"], key)).otherwise(_render(p["text"], p["type"], F.col("own")[said(p)]))), ""
     )
-    done = found.join(own, "_place").select("_row", new.alias("_text"))
+    done = found.join(own, "_place", "left").select("_row", new.alias("_text"))
     done = done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     return docs.filter(~private).select(*columns).unionByName(done)

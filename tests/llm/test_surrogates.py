@@ -91,6 +91,55 @@ def test_long_mentions_and_further_names(spark):
     assert re.fullmatch(r"\w+ \w+, \w+ \w+, \w+ \w+ and \w+ [A-Z]\. \w+ met Dr [A-Z]\. [A-Z]\. \w+ end", found[5])
 
 
+def test_no_half_of_a_name_stays(spark):
+    rows = [
+        (1, "John Fitzgerald Kennedy and Dr. Jane Ann Doe-Miller met Mr Ludwig van der Rohe end"),
+        (2, "Mr Smith came. Later Smith left, and Smith's dog; Smithers stayed, smith too end"),
+        (3, "JOHN SMITH signed, Mr O’Brien did not, later O’Brien came end"),
+        (4, "Authorization: Bearer abcDEF0123456789.xyz_-abc= end"),
+        (5, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U end"),
+        (6, "from 2001:db8:85a3:0:0:8a2e:370:7334 and fe80::1ff:fe23:4567:890a but std::vector, a::b, 12:30:45 end"),
+        (7, "ssn 123 45 6789, call 07911 123456 or 020 7946 0018 end"),
+    ]
+    found = replaced(spark, rows)
+    assert all(t.endswith(" end") for t in found.values())
+    for i, words in [(1, "John Fitzgerald Kennedy Jane Ann Doe Miller Ludwig Rohe"), (2, "Smith"), (3, "JOHN SMITH O’Brien Brien"), (7, "6789 07911 123456 7946")]:
+        for word in words.split():
+            assert not re.search(rf"(?<!\w){re.escape(word)}(?!\w)", found[i]), (word, found[i])
+    one = re.fullmatch(r"Mr (\w+) came\. Later (\w+) left, and (\w+)'s dog; Smithers stayed, smith too end", found[2])
+    assert one and len(set(one.groups())) == 1
+    three = re.fullmatch(r"([A-Z]+) ([A-Z]+) signed, Mr ([\w’]+) did not, later ([\w’]+) came end", found[3])
+    assert three and three[3] == three[4]
+    assert re.fullmatch(r"Authorization: Bearer [A-Za-z0-9._-]{25}= end", found[4]) and "abcDEF" not in found[4]
+    assert found[5].startswith("eyJh") and "dozjgNryP4" not in found[5] and found[5].count(".") == 2
+    six = re.fullmatch(r"from ([0-9a-f:]+) and ([0-9a-f:]+) but std::vector, a::b, 12:30:45 end", found[6])
+    assert six and six[1] != "2001:db8:85a3:0:0:8a2e:370:7334" and six[2].count("::") == 1 and six[2] != "fe80::1ff:fe23:4567:890a"
+    assert re.fullmatch(r"ssn \d{3} \d{2} \d{4}, call \d{5} \d{6} or \d{3} \d{4} \d{4} end", found[7])
+
+
+def test_coreference_and_distinctness_against_a_plain_reading(spark):
+    """Over many documents equal mentions get equal surrogates and different ones different ones, never one of the corpus."""
+    import random
+
+    rng = random.Random(6)
+    surnames = [a + b for a in ("Al", "Ber", "Car", "Dor", "Ev") for b in ("ton", "mann", "sky", "ley", "sen")]
+    kinds = {
+        "name": lambda: f"Mrs {rng.choice(surnames)}", "mail": lambda: f"{rng.choice('abcdef')}.{rng.choice(surnames).lower()}@mail.example.com",
+        "ip": lambda: f"10.0.{rng.randrange(9)}.{rng.randrange(9)}", "phone": lambda: f"+49 30 555 {rng.randrange(1000, 1040)}",
+    }
+    rows, said = [], []
+    for i in range(150):
+        parts = [(k, make()) for k, make in kinds.items()]
+        rows.append((i, " | ".join(x for _, x in parts)))
+        said.append(parts)
+    found = replaced(spark, rows)
+    forth, back = {}, {}
+    for i, parts in enumerate(said):
+        for (kind, old), new in zip(parts, found[i].split(" | ")):
+            assert forth.setdefault((kind, old), new) == new and back.setdefault((kind, new), old) == old
+    assert not {v for v in forth.values()} & {old for _, old in forth}
+
+
 def test_odd_rows(spark, odd, none):
     rows = S.replace(odd)
     assert rows.columns == odd.columns and sorted(map(repr, rows.collect())) == sorted(map(repr, odd.collect()))
