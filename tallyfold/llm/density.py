@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,11 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 UNSEEN = RAW | frozenset("head object canvas audio video select option datalist button input".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset label legend".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold an article, and elements inside one that are text whatever they are called.
+ARTICLE = frozenset("article main".split())
+TEXTUAL = HEADINGS | frozenset("p blockquote pre figure figcaption table tr td th dl dt dd li a em strong b i span code q cite time small sup sub label".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,7 +41,16 @@ MARKED = re.compile(
     r"(?:$|[\s_-])"
 )
 COMMENTS = re.compile(r"comment|disqus|repl|respond")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+#: Inside an article a part is something else only if a whole name says so, alone or with a word for a box.
+_PARTS = "box|bar|block|banner|links?|buttons?|list|posts?|items?|stories|articles|section|widget|container|form|wrapper|wrap|area|unit|slot|inner|thread|prompt|message"
+WHOLLY = re.compile(
+    r"(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|popup|modal|overlay|"
+    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|skip|copyright)"
+    rf"(?:[-_](?:{_PARTS}|ads?|cookies?|comments?|share|notice|promo|signup|consent))*"
+)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S
+)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
 _BLANK = re.compile(r"\s+")
 
@@ -51,16 +65,23 @@ class Node:
         return (p for p in self.parts if isinstance(p, Node))
 
 
-def _marked(tag: str, attributes: str) -> int:
-    """Whether an element is named as something other than the article: 0 no, 1 by a name that may also stand around the article, 2 for sure."""
+def _marked(tag: str, attributes: str, inside: bool = False) -> int:
+    """Whether an element is named as something other than the article: 0 no, 1 by a name that may also stand around the article, 2 for sure.
+    Inside an article, headings and other textual elements go by no name, and boxes by whole names only."""
     if tag in BOILERPLATE:
-        return 1 if tag in ("form", "aside", "header") else 2
+        if inside and (tag == "header" or tag == "aside" and "quote" in attributes.lower()):
+            return 0
+        return 1 if tag in ("form", "aside", "header") and not inside else 2
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and (found := MARKED.search(value)):
-            return 2 if COMMENTS.search(found[0]) else 1
+        if name in ("class", "id"):
+            if inside:
+                if tag not in TEXTUAL and any(WHOLLY.fullmatch(word) for word in value.split()):
+                    return 2
+            elif tag not in HEADINGS and (found := MARKED.search(value)):
+                return 2 if COMMENTS.search(found[0]) else 1
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -69,12 +90,24 @@ def _marked(tag: str, attributes: str) -> int:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Elements that are left open end where HTML says or with their parent; unseen content is skipped."""
+    """The tree of a page. Elements that are left open end where HTML says or with their parent; unseen content is skipped. What is open is counted, so
+    that stray end tags cost nothing, and after the last ``>`` there are no tags."""
     root = Node("html", None)
-    here, at, size = root, 0, len(page)
+    here, at, size, last = root, 0, len(page), page.rfind(">")
+    open_tags: Counter[str] = Counter()
+
+    def leave(upto: Node) -> Node:
+        """Ends all elements from ``here`` up to and with ``upto``."""
+        node = here
+        while True:
+            open_tags[node.tag] -= 1
+            if node is upto:
+                return node.up
+            node = node.up
+
     while at < size:
         cut = page.find("<", at)
-        if cut < 0:
+        if cut < 0 or cut > last:
             cut = size
         if cut > at:
             here.parts.append(html.unescape(page[at:cut]))
@@ -88,44 +121,49 @@ def parse(page: str) -> Node:
         at = found.end()
         if found[1]:
             tag, open_ = found[1].lower(), here
-            while open_ is not None and open_.tag != tag:
-                open_ = open_.up
-            if open_ is not None and open_.up is not None:
-                here = open_.up
+            if open_tags[tag] > 0:
+                while open_.tag != tag:
+                    open_ = open_.up
+                here = leave(open_)
         elif found[2]:
             tag = found[2].lower()
             if tag in RAW and not found[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
                 at = end.end() if end else size
                 continue
             if tag in ("html", "body"):
                 if tag == "body" and not any(n.tag == "body" for n in root.children()):
+                    open_tags.clear()
                     here = Node("body", root)
                     root.parts.append(here)
                 continue
-            here = _closed(here, tag)
-            node = Node(tag, here, _marked(tag, found[3]))
+            ended = _ended(here, tag, open_tags)
+            if ended is not None:
+                here = leave(ended)
+            inside = any(open_tags[t] > 0 for t in ARTICLE)
+            node = Node(tag, here, _marked(tag, found[3], inside))
             here.parts.append(node)
             if tag not in VOID and not found[3].endswith("/"):
+                open_tags[tag] += 1
                 here = node
     return root
 
 
-def _closed(here: Node, tag: str) -> Node:
-    """Where a new element goes: some end the one before them of their kind."""
+def _ended(here: Node, tag: str, open_tags: Counter[str]) -> Node | None:
+    """The open element that a new one ends: some end the one before them of their kind."""
     if tag in CLOSES_P:
         open_ = here
-        while open_.up is not None and (open_.tag not in BLOCK):
+        while open_tags["p"] > 0 and open_.up is not None and open_.tag not in BLOCK:
             open_ = open_.up
-        return open_.up if open_.tag == "p" else here
+        return open_ if open_.tag == "p" else None
     for group, stop in ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("td", "th"), ("tr", "table")), (("tr",), ("table",)), (("option",), ("select",))):
-        if tag in group:
+        if tag in group and any(open_tags[t] > 0 for t in group):
             open_ = here
             while open_.up is not None and open_.tag not in stop:
                 if open_.tag in group:
-                    return open_.up
+                    return open_
                 open_ = open_.up
-    return here
+    return None
 
 
 def _order(root: Node) -> list[Node]:
@@ -186,7 +224,7 @@ def _wanted(root: Node) -> list[Node]:
         path.append(path[-1].up)
     threshold = min(n.density for n in path)
     for n in path:
-        if n.tag in ("article", "main"):
+        if n.tag in ARTICLE:
             best = n
     wanted = [best]
     for parent in path[path.index(best) + 1 :]:
@@ -195,7 +233,7 @@ def _wanted(root: Node) -> list[Node]:
             if n in path:
                 before = False
             elif id(n) in shown and n.chars:
-                heading = before and n.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                heading = before and n.tag in HEADINGS
                 if heading or n.density >= threshold and n.linked * 3 < n.chars and n.tag in BLOCK:
                     wanted.append(n)
     place = {id(n): i for i, n in enumerate(_reading(body))}

@@ -219,3 +219,67 @@ def test_words_inside_other_attributes_hide_nothing():
     page = f'<body><article><p title="the hidden valley">{prose}</p><p>{prose}where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article></body>'
     assert main_text(page).startswith("A long sentence") and len(main_text(page).split("\n")) == 2
     assert main_text(page).endswith("where x=2 holds.")
+
+
+LINE = "A long sentence about the lake and the people who live around it, with commas and words. " * 4
+
+
+def test_names_inside_an_article():
+    page = (
+        f'<body><nav>menu</nav><article><header><h1>The title</h1></header><p>{LINE}</p><h2 id="related-work">Related work</h2><h2 id="search-and-sort">Search</h2>'
+        f'<section id="legal-history"><p>{LINE}</p></section><p class="notice-board">Board {LINE}</p><p>See <label>this label</label> here.</p>'
+        '<aside class="pullquote">A quote</aside><div class="ad">BUY</div><div class="big share-buttons">Share</div><section id="comments"><p>first!</p></section>'
+        "<footer>foot</footer></article></body>"
+    )
+    found = density.main_text(page).replace(LINE.strip(), "P").split("\n")
+    assert found == ["The title", "P", "Related work", "Search", "P", "Board P", "See this label here.", "A quote"]
+
+
+def test_pages_without_an_article_by_density_alone():
+    links = "".join(f"<li><a href='/{i}'>Link number {i}</a></li>" for i in range(30))
+    text = "".join(f"<p>{i} {LINE}</p>" for i in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Title</h1><div>{text}</div></div><div>Short <a href='#'>link</a></div><div><ul>{links}</ul></div></body>"
+    assert density.main_text(page).split("\n") == ["Title", *[f"{i} {LINE}".strip() for i in range(6)]]
+
+
+def test_densities_against_a_plain_count():
+    import math
+
+    page = f"<body><div>own <a href='#'>link text</a><p>{LINE}</p><p>b <b>c</b></p></div><div><a>x</a><a>yy</a></div><section>{LINE}<br></section></body>"
+    root = density.parse(page)
+    nodes = density.measure(root)
+
+    def texts(node, linked=False):
+        linked = linked or node.tag == "a"
+        for part in node.parts:
+            if isinstance(part, str):
+                yield len(" ".join(part.split())), linked
+            else:
+                yield from texts(part, linked)
+
+    def tags(node, linked=False):
+        linked = linked or node.tag == "a"
+        for kid in node.children():
+            yield linked or kid.tag == "a"
+            yield from tags(kid, linked)
+
+    ratio = sum(n for n, a in texts(root) if a) / sum(n for n, _ in texts(root))
+    for node in nodes:
+        chars, links = sum(n for n, _ in texts(node)), sum(n for n, a in texts(node) if a)
+        under = list(tags(node))
+        assert node.chars == chars and node.linked == links and node.tags == len(under)
+        if chars:
+            t, lt = max(len(under), 1), max(sum(under) if node.tag != "a" else len(under), 1)
+            log_base = math.log(chars * links / max(chars - links, 1) + ratio * chars + math.e)
+            want = chars / t * math.log(max(chars * t / (max(links, 1) * lt), 1.0), max(log_base, math.e))
+            assert node.density == pytest.approx(max(want, 0.0))
+        assert node.total == pytest.approx(sum(k.density for k in node.children()))
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<a " * 8000, "<a " * 8000 + ">", "<div>" * 4000 + "</b>" * 4000, '<a "' * 8000 + ">", "<a '" * 8001):
+        start = time.perf_counter()
+        density.main_text(page)
+        assert time.perf_counter() - start < 1.5
