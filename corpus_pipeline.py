@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm import mixing, order_minhash, packing, quality, surrogates
@@ -19,13 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-copies the document with the least id stays; rows without an id all stay, rows that repeat the
-    kept id stay once."""
+    """Of each class of near-copies the document with the least id stays; rows without an id all stay. Of rows that repeat the kept id the one with the
+    least hash of its text, then of all its columns, stays, in whatever order they come."""
     columns = docs.columns
     classes = order_minhash.near_copies(docs)
     kept = classes.filter("doc_id = class_id").select("doc_id")
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL")).select(columns)
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return first.select([f"`{c}`" for c in columns]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the documents of a folder; each but the last is stored in the shared folder."""
+    """All stages applied to the documents of a folder; each but the last is stored in the shared folder. One row per piece of a document in a
+    packed sequence. Null, empty and very long texts, repeated rows and other columns are handled by each stage as it says; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
