@@ -11,6 +11,7 @@ all documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +96,15 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
         a, b = place(x), place(y)
         return (x.bitwiseAND(upper) == y.bitwiseAND(upper)) & (h[a] == h[b]) & (h[a + 1] == h[b + 1]) & (h[a + 2] == h[b + 2])
 
-    twice = F.filter(s, lambda x, i: F.when(i > 0, same(x, s[i - 1])).otherwise(False) | F.when(i < F.size(s) - 1, same(x, s[i + 1])).otherwise(False))
-    step = step.select("_row", "trusted", "h", "lines", "pairs", F.sort_array(F.transform(twice, place)).alias("starts"))
+    def doubled(s: Column, equal: Callable[[Column, Column], Column]) -> Column:
+        after = lambda x, i: F.when(i < F.size(s) - 1, equal(x, s[i + 1])).otherwise(False)
+        return F.filter(s, lambda x, i: F.when(i > 0, equal(x, s[i - 1])).otherwise(False) | after(x, i))
+
+    # A text of so many windows that a place needs more bits sorts pairs of hash and place.
+    pairs_of = F.transform(places, lambda i: F.struct(F.xxhash64(h[i], h[i + 1], h[i + 2]).alias("hash"), i.cast("int").alias("place")))
+    long_way = F.flatten(F.transform(F.array(F.array_sort(pairs_of)), lambda s: F.transform(doubled(s, lambda x, y: x["hash"] == y["hash"]), lambda x: x["place"])))
+    starts = F.when(n < (1 << _PLACES), F.transform(doubled(s, same), place)).otherwise(long_way)
+    step = step.select("_row", "trusted", "h", "lines", "pairs", F.sort_array(starts).alias("starts"))
     covered = F.aggregate(
         "starts",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),

@@ -77,6 +77,14 @@ def test_documents(spark, small):
     check([(r.doc_id, r.text) for r in docs.collect()], Q.verdicts(docs, labels).collect(), trusted)
 
 
+def test_texts_of_more_windows_than_places_have_bits(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_PLACES", 5)
+    texts = ["a b c " * 30, "x " * 40, " ".join(f"w{i % 17}" for i in range(90)), " ".join(f"w{i}" for i in range(60)), "a b c a b c", "p q r s " + "t u v " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = Q.verdicts(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in found} == {i: base(t)[4] for i, t in enumerate(texts)}
+
+
 def test_odd_rows(odd, none, labels):
     check([(r.doc_id, r.text) for r in odd.collect()], Q.verdicts(odd, labels).collect(), {1, 8})
     assert Q.kept_documents(odd, labels).columns == odd.columns
