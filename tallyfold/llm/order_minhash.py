@@ -10,7 +10,8 @@ order reach that as well; two shingles a sketch and 24 sketches miss such a pair
 Documents of the same words form a group first, so copies cost one row. Every member of a bucket is aligned with the bucket's leader, and the links
 make classes. What is left are pairs of different classes in one bucket. Of two linked documents of ``n`` words and fewer, 0.8 n words are common, so if each has
 its words ordered from rare to frequent, they meet in one of the first ``n - 0.8 n + 1``: each document of a mixed bucket is filed once under these words, and
-those of different classes that meet there, agree in a sketch, are of fitting lengths and can still have enough words in common are aligned. No link is lost, the words of a passage that many
+those of different classes that meet there, agree in a sketch, are of fitting lengths and, by maps of
+their words, can have enough of them in common are aligned. No link is lost, the words of a passage that many
 share bring nobody together, and a class is never paired with itself. Two passes of alignment are the whole work, however large a group is.
 """
 
@@ -35,7 +36,9 @@ PART = 1024
 #: Buckets of the table of word counts that rare and frequent are told apart by; any counts give the same links.
 COUNTED = 1 << 18
 #: Rarer words that a row carries, so that a pair is met at its first common word only.
-CARRIED = 64
+CARRIED = 16
+#: Bits of the map of a text's words that bounds what two texts can have in common.
+BITS = 2048
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -208,6 +211,13 @@ def rare_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order[: hashes.size - int(np.ceil(hashes.size * SIMILARITY - 1e-9)) + 1]]
 
 
+def word_map(hashes: np.ndarray) -> np.ndarray:
+    """A bit per word and occurrence number. Two maps differ in no more bits than the texts in words."""
+    held = np.zeros(BITS, np.uint8)
+    held[(labelled(hashes) >> np.uint64(40)) % np.uint64(BITS)] = 1
+    return np.packbits(held, bitorder="little").view(np.int64)
+
+
 def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,6 +226,8 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 words = [rare_words(found.hashes[a:b], counts).view(np.int64) for a, b in zip(found.first[:-1], found.first[1:])]
                 at = np.cumsum([0, *map(len, words)])
                 flat = np.concatenate(words) if words else np.empty(0, np.int64)
+                maps = [word_map(found.hashes[a:b]) for a, b in zip(found.first[:-1], found.first[1:])]
+                maps = np.concatenate(maps) if maps else np.empty(0, np.int64)
                 yield pa.record_batch(
                     {
                         "rep": part.column("rep"),
@@ -223,6 +235,7 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                         "keys": part.column("keys"),
                         "n": pa.array(found.counts(), pa.int32()),
                         "words": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
+                        "bits": pa.FixedSizeListArray.from_arrays(pa.array(maps), BITS // 64).cast(pa.list_(pa.int64())),
                     }
                 )
 
@@ -246,7 +259,7 @@ def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: Dat
     seen = own.select("text").mapInArrow(_token_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTED, np.int64)
     counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
-    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, keys array<long>, n int, words array<long>"))
+    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, keys array<long>, n int, words array<long>, bits array<long>"))
     flat = filed.select("rep", "class_id", F.posexplode("words").alias("place", "word"))
     pieces = flat.groupBy("word", "class_id").agg(F.count("*").alias("m"))
     main = F.max_by("class_id", F.struct("m", "class_id")).alias("main")
@@ -254,16 +267,17 @@ def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: Dat
     pieces = pieces.select("word", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     # Words of one class bring nobody together; a row carries the rarer ones of the others.
     kept = flat.join(spread(pieces), "word").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "word", "main", "parts"))).alias("kept"))
-    rows = kept.join(filed.drop("words"), "rep").select("rep", "class_id", "keys", "n", "kept", F.posexplode("kept").alias("nth", "own"))
+    rows = kept.join(filed.drop("words"), "rep").select("rep", "class_id", "keys", "n", "bits", "kept", F.posexplode("kept").alias("nth", "own"))
     before = F.slice("kept.word", 1, F.least("nth", F.lit(CARRIED)))
-    rows = stored(rows.select("own.word", "own.main", "own.parts", "own.place", "rep", "class_id", "keys", "n", before.alias("before")))
-    held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "keys", "n", "place", "before")]
+    rows = stored(rows.select("own.word", "own.main", "own.parts", "own.place", "rep", "class_id", "keys", "n", "bits", before.alias("before")))
+    held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "keys", "n", "place", "bits", "before")]
     some = rows.filter("class_id <> main").select("word", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), *held("x"))
     others = rows.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", *held("y"))
     fits = f"""x_class_id <> y_class_id AND (y_class_id = main OR x_class_id < y_class_id)
         AND least(x_n, y_n) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
         AND least(x_n - x_place, y_n - y_place) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
-        AND arrays_overlap(x_keys, y_keys) AND NOT arrays_overlap(x_before, y_before)"""
+        AND arrays_overlap(x_keys, y_keys) AND NOT arrays_overlap(x_before, y_before)
+        AND x_n + y_n - aggregate(zip_with(x_bits, y_bits, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c) >= 2 * ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)"""
     some = some.withColumnsRenamed({"word": "x_word", "part": "x_part"})
     met = some.join(others, F.expr(f"x_word = word AND x_part = part AND {fits}"))
     pairs = met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()

@@ -111,6 +111,8 @@ def test_linked_texts_share_a_rare_word():
         for _ in range(rng.randrange(4)):
             b.insert(rng.randrange(len(b) + 1), rng.randrange(60))
         x, y = (W.mix(np.array(t, np.uint64) + np.uint64(1)) for t in (a, b))
+        differ = len(a) + len(b) - 2 * sum(min(a.count(w), b.count(w)) for w in set(a))
+        assert int(np.bitwise_count((M.word_map(x) ^ M.word_map(y)).view(np.uint64)).sum()) <= differ
         if M.similar(x, y):
             assert np.intersect1d(M.rare_words(x, counts), M.rare_words(y, counts)).size
 
