@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.numbers import number
 from tallyfold.operators.isolation import StepScore, fit_isolation
-from tallyfold.operators.neighbours import density_outliers
+from tallyfold.operators.neighbours import density_flags
 from tallyfold.operators.profile import FLAG_SUFFIX, numeric_columns
 from tallyfold.operators.roles import ColumnFacts, column_facts, is_outlier_excluded, numeric_role
 from tallyfold.plans.quantiles import quantiles
@@ -227,10 +227,8 @@ def mask(df: DataFrame, b: Bounds) -> Column:
 
 def prepared(df: DataFrame, bounds: list[Bounds], scale: Scale = DEFAULT) -> DataFrame:
     """Adds the one kind of mask that is not a plain expression: neighbour density."""
-    for b in bounds:
-        if b.method == "lof":
-            df = density_outliers(df, b.column, lof_column(b.column), scale=scale)
-    return df
+    wanted = {b.column: lof_column(b.column) for b in bounds if b.method == "lof"}
+    return density_flags(df, wanted, scale=scale) if wanted else df
 
 
 def _without_helpers(df: DataFrame) -> DataFrame:

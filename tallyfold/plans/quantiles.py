@@ -40,7 +40,7 @@ def quantiles(
             for k, part in (
                 ("n", F.count(c)), ("lo", F.min(finite)), ("hi", F.max(finite)),
                 ("below", F.count_if(c == -endless)), ("above", F.count_if(c == endless)),
-                ("near", F.percentile_approx(finite, fractions, ACCURACY)),
+                ("near", F.percentile_approx(c, fractions, ACCURACY)),
             )
         ]
     ).first()
@@ -60,8 +60,9 @@ def quantiles(
                     wanted[(i, rank)] = math.inf
                 else:
                     ranks.setdefault(i, set()).add(rank)
-                    lo = bounds[f"lo{i}"] if p <= margin else near[max(0.0, p - margin)]
-                    hi = bounds[f"hi{i}"] if p >= 1 - margin else near[min(1.0, p + margin)]
+                    least, most = bounds[f"lo{i}"], bounds[f"hi{i}"]
+                    lo = least if p <= margin else max(least, near[max(0.0, p - margin)])
+                    hi = most if p >= 1 - margin else min(most, near[min(1.0, p + margin)])
                     brackets.setdefault(i, []).append((lo, hi))
     if ranks:
         open_ranges, closed = _first_cut(base, ranks, {i: _disjoint(b) for i, b in brackets.items()}, bounds, scale)

@@ -76,3 +76,22 @@ def test_package_never_checkpoints_locally():
     for path in (Path(__file__).resolve().parents[1] / "tallyfold").rglob("*.py"):
         source = path.read_text()
         assert "localCheckpoint(" not in source and "crossJoin" not in source and ".rdd" not in source
+
+
+def test_local_outlier_factor_reads_the_rows_once(lines):
+    from tallyfold.operators.neighbours import density_flags
+
+    columns = ["l_quantity", "l_extendedprice", "l_tax"]
+    for n in (1, 2, 3):
+        flagged = density_flags(lines, {c: f"far_{c}" for c in columns[:n]})
+        # The rows, and the outlying values once per column.
+        assert plan(flagged).count("FileScan parquet") == 1 + n
+
+
+def test_digests_stand_for_texts(spark, small):
+    from tallyfold.operators import profile, scan
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for frame in (profile.duplicate_count(docs), distinct_counts(docs, ["text", "lang"]), scan.duplicate_rows(docs, "doc_id")):
+        text = plan(frame)
+        assert "md5" in text and "Exchange hashpartitioning" in text
