@@ -2,7 +2,7 @@
 
 The first level looks at windows of half the wanted length. Of those inside one wanted window only the one with the
 least hash stands for it (the same in every copy), so about a quarter of all positions travel. Windows repeated there
-alone are extended to twice that length, and so on to the wanted length, where each surviving window is decided by its
+alone are extended to twice that length, and so on to the wanted length, where each surviving window is decided by 128 bits of its
 own words; ``deepest`` goes on doubling beyond it until no candidate survives.
 
 A level is one aggregate (a window's first and last document) and one join back, both by hash, so a window that very
@@ -56,25 +56,33 @@ def _seeds(length: int, seed: int):
 
 
 def _extended(length: int, seed: int):
-    """Windows of the wanted length whose standing-in window is among the document's repeated ones."""
+    """Windows of the wanted length whose standing-in window is among the document's repeated ones, by two hashes, as these windows are decided
+    by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = W.read(raw_texts(part.column("text")))
+                texts = raw_texts(part.column("text"))
+                found = W.read(texts)
                 low = W.least(W.windows(found.hashes, seed), length - seed + 1)
-                whole = W.windows(found.hashes, length)
-                kept, owner = [], []
+                whole, other = W.windows(found.hashes, length), W.windows(W.read(texts, 1).hashes, length)
+                kept, checks, owner = [], [], []
                 for i, repeated in enumerate(_lists(part.column("windows"))):
                     a, b = found.first[i], found.first[i + 1] - length + 1
                     if b > a and repeated.size:
-                        own = np.unique(whole[a:b][np.isin(low[a:b], repeated)])
+                        hit = np.isin(low[a:b], repeated)
+                        own, at = np.unique(whole[a:b][hit], return_index=True)
                         kept.append(own)
+                        checks.append(other[a:b][hit][at])
                         owner.append(np.full(own.size, i))
-                kept = np.concatenate(kept) if kept else np.empty(0, np.uint64)
+                kept, checks = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (kept, checks))
                 owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
                 yield pa.record_batch(
-                    {"window": kept.view(np.int64), "doc_id": part.column("doc_id").take(pa.array(owner))}
+                    {
+                        "window": kept.view(np.int64),
+                        "doc_id": part.column("doc_id").take(pa.array(owner)),
+                        "check": checks.view(np.int64),
+                    }
                 )
 
     return run
@@ -85,10 +93,10 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else np.empty(0, np.uint64)
 
 
-def _shared(found: DataFrame) -> DataFrame:
+def _shared(found: DataFrame, key: tuple[str, ...] = ("window",)) -> DataFrame:
     """Windows of two documents or more, each with the first of them."""
-    ends = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return ends.filter("first < last").select("window", "first")
+    ends = found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return ends.filter("first < last").select(*key, "first")
 
 
 def _by_document(found: DataFrame) -> DataFrame:
@@ -100,13 +108,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = docs.select(F.lit(0).cast("long").alias("window"), "doc_id").schema
     seed = _levels(length)[0]
-    seeds = docs.mapInArrow(_seeds(length, seed), schema)
+    seeds, key = docs.mapInArrow(_seeds(length, seed), schema), ("window",)
     if seed < length:
+        schema.add("check", "long")
+        key = ("window", "check")
         common = stored(_shared(seeds))
         candidates = stored(_by_document(seeds.join(common, "window").select("doc_id", "window")))
         seeds = stored(docs.join(candidates, "doc_id").mapInArrow(_extended(length, seed), schema))
-    common = stored(_shared(seeds))
-    return stored(_by_document(seeds.join(common, "window").filter("doc_id > first").select("doc_id", "window")))
+    common = stored(_shared(seeds, key))
+    return stored(_by_document(seeds.join(common, list(key)).filter("doc_id > first").select("doc_id", "window")))
 
 
 def _cut(length: int):
