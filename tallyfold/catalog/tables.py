@@ -12,19 +12,21 @@ REG = Registry()
 
 
 def _halves(spark, folder):
-    """Customer halves that overlap, with null keys on both sides."""
+    """All customers twice, in part under other keys so that each side has keys of its own, with null keys on both sides."""
     customers = table(spark, folder, "customer")
-    left = customers.filter("c_custkey % 3 <> 0").selectExpr(
+    left = customers.selectExpr(
         "CASE WHEN c_custkey % 200 = 1 THEN NULL ELSE c_custkey END AS c_custkey", "c_name", "c_acctbal"
     )
-    right = customers.filter("c_custkey % 3 <> 1").selectExpr(
-        "CASE WHEN c_custkey % 200 = 2 THEN NULL ELSE c_custkey END AS c_custkey", "c_mktsegment", "c_nationkey"
+    right = customers.selectExpr(
+        "CASE WHEN c_custkey % 200 = 2 THEN NULL WHEN c_custkey % 3 = 1 THEN -c_custkey ELSE c_custkey END AS c_custkey",
+        "c_mktsegment",
+        "c_nationkey",
     )
     return left, right
 
 
-HALVES = """l AS (SELECT CASE WHEN c_custkey % 200 = 1 THEN NULL ELSE c_custkey END AS k, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0),
-  r AS (SELECT CASE WHEN c_custkey % 200 = 2 THEN NULL ELSE c_custkey END AS k, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 1),
+HALVES = """l AS (SELECT CASE WHEN c_custkey % 200 = 1 THEN NULL ELSE c_custkey END AS k, c_name, c_acctbal FROM customer),
+  r AS (SELECT CASE WHEN c_custkey % 200 = 2 THEN NULL WHEN c_custkey % 3 = 1 THEN -c_custkey ELSE c_custkey END AS k, c_mktsegment, c_nationkey FROM customer),
   m AS (SELECT coalesce(l.k, r.k) AS c_custkey, c_name, c_acctbal, c_mktsegment, c_nationkey FROM l FULL JOIN r ON l.k IS NOT DISTINCT FROM r.k)"""
 
 
