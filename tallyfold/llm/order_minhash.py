@@ -36,7 +36,7 @@ PART = 1024
 #: Buckets of the table of word counts that rare and frequent are told apart by; any counts give the same links.
 COUNTED = 1 << 18
 #: Rarer words that a row carries, so that a pair is met at its first common word only.
-CARRIED = 16
+CARRIED = 256
 #: Bits of the map of a text's words that bounds what two texts can have in common.
 BITS = 2048
 
