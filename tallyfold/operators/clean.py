@@ -1,7 +1,7 @@
 """The cleaning pipeline: text, missing tokens, types, outliers, missing values, duplicates, dates.
 
-Each step is fit (one aggregate over all columns, giving a small plan) and transform (a projection), so
-the whole chain stays a single lineage that Spark fuses between its few shuffles.
+Each step is fit (one aggregate over all columns, giving a small plan) and transform (a projection). Once texts are
+cleaned and typed, which is dear, the table is stored, and the later steps, which read it several times, start from there.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.functions.dates import SWAPPED_START, date_text, java_pattern, parse_date, parse_swapped, parse_with
 from tallyfold.functions.numbers import number, text_to_number, without_nan
@@ -28,6 +29,7 @@ from tallyfold.plans.freq import modes, text_key
 from tallyfold.plans.ordering import POSITION, carried, with_position
 from tallyfold.plans.quantiles import quantiles
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
+from tallyfold.session import stored
 
 NUMBER_RATE = 0.8
 DATE_RATE = 0.3
@@ -383,6 +385,8 @@ def clean(
         out = apply_types(out, plan)
         changes["types"] = {"numbers": plan.numbers, "dates": plan.dates, "ambiguous": plan.ambiguous}
         operations.append("fix_types")
+    # The steps below read the table several times: from here on without parsing texts anew.
+    out = _kept(out)
     if profile.detect_outliers:
         out, changes["outliers"] = _clean_outliers(out, profile, scale)
         operations.append("outliers")
@@ -424,6 +428,13 @@ def clean(
     return out, report
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The table as stored once in the shared folder, whatever its columns are called; one with a column of no type stays a plan."""
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return df
+    return stored(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).toDF(*df.columns)
+
+
 def _clean_outliers(df: DataFrame, profile: Profile, scale: Scale) -> tuple[DataFrame, dict]:
     method, threshold = profile.outlier_method, profile.outlier_threshold
     if profile.outlier_action == "remove":
