@@ -23,7 +23,7 @@ Stage = Callable[[DataFrame], DataFrame]
 
 # The stage that stores the rows; the others only report on them.
 STORAGE = "rows"
-_MANIFEST = "manifest"
+_MANIFEST = "status"
 
 
 def default_stages(row_key: str) -> dict[str, Stage]:
