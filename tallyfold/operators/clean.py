@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.functions.dates import SWAPPED_START, date_text, java_pattern, parse_date, parse_swapped, parse_with
+from tallyfold.functions.dates import LONGEST, date_facts, java_pattern, parse_date, parse_with
 from tallyfold.functions.numbers import number, text_to_number, without_nan
 from tallyfold.functions.text import is_missing_token, match_key, tidy
 from tallyfold.operators import outliers
@@ -101,36 +101,45 @@ def fit_types(
     df: DataFrame, number_rate: float = NUMBER_RATE, date_rate: float = DATE_RATE, date_format: str | None = None
 ) -> TypePlan:
     """Measures, in one scan of the text columns, how many cells parse as numbers and as dates."""
-    cells = {c: F.col(f"`{c}`") for c in text_columns(df) if not c.endswith(FLAG_SUFFIX)}
-    if not cells:
+    columns = [c for c in text_columns(df) if not c.endswith(FLAG_SUFFIX)]
+    if not columns:
         return TypePlan([], [], [], date_format)
-    row = df.agg(*_type_rates(cells, date_format)).first()
-    return _type_plan(row, list(cells), number_rate, date_rate, date_format)
-
-
-def _type_rates(cells: dict[str, Column], date_format: str | None) -> list[Column]:
-    """Per cell expression: shares of numbers and of dates, and how often the day/month order matters."""
-    parts = []
-    for i, cell in enumerate(cells.values()):
-        month_first = parse_with(cell, date_format) if date_format else parse_date(cell)
-        text = date_text(cell)
-        differs = F.when(text.rlike(SWAPPED_START), parse_swapped(text, True) != parse_swapped(text, False))
-        present = cell.isNotNull()
-        parts += [
-            F.avg(F.when(present, text_to_number(cell).isNotNull().cast("int"))).alias(f"num{i}"),
-            F.avg(F.when(present, month_first.isNotNull().cast("int"))).alias(f"date{i}"),
-            (F.count_if(differs) / F.nullif(F.count(month_first), F.lit(0))).alias(f"diff{i}"),
-        ]
-    return parts
-
-
-def _type_plan(row, columns: list[str], number_rate: float, date_rate: float, date_format: str | None) -> TypePlan:
+    found = {r["i"]: r for r in _type_rates(df, columns, date_format).collect()}
+    return _type_plan([found.get(i) for i in range(len(columns))], columns, number_rate, date_rate, date_format)
+
+
+def _type_rates(df: DataFrame, columns: list[str], date_format: str | None) -> DataFrame:
+    """Per column (its number is ``i``) with a cell: shares of numbers and of dates, and how often the day/month order matters. Texts that may be
+    dates are counted first, so that each is parsed once."""
+
+    def cell(i: int, c: str) -> Column:
+        text = F.col(f"`{c}`")
+        short = text if date_format else F.when(F.length(text) <= LONGEST, text)
+        return F.struct(F.lit(i).alias("i"), text.isNotNull().alias("filled"), text_to_number(text).isNotNull().alias("number"), short.alias("text"))
+
+    cells = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).filter("filled")
+    counted = cells.groupBy("i", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    text = F.col("text")
+    given = F.struct(parse_with(text, date_format).isNotNull().alias("dated"), F.lit(False).alias("differs")) if date_format else date_facts(text)
+    times = lambda test: F.sum(F.when(F.col(test), F.col("n")).otherwise(0))
+    return (
+        counted.withColumn("date", given)
+        .groupBy("i")
+        .agg(
+            (times("number") / F.sum("n")).alias("num"),
+            (times("date.dated") / F.sum("n")).alias("date"),
+            (times("date.differs") / F.nullif(times("date.dated"), F.lit(0))).alias("diff"),
+        )
+    )
+
+
+def _type_plan(rates: list, columns: list[str], number_rate: float, date_rate: float, date_format: str | None) -> TypePlan:
     numbers, dates, ambiguous = [], [], []
-    for i, c in enumerate(columns):
-        if (row[f"num{i}"] or 0) >= number_rate:
+    for c, row in zip(columns, rates):
+        if (row["num"] if row else 0) >= number_rate:
             numbers.append(c)
-        elif (row[f"date{i}"] or 0) >= date_rate:
-            unclear = not date_format and (row[f"diff{i}"] or 0) > AMBIGUOUS_RATE
+        elif (row["date"] if row else 0) >= date_rate:
+            unclear = not date_format and row is not None and (row["diff"] or 0) > AMBIGUOUS_RATE
             (ambiguous if unclear else dates).append(c)
     return TypePlan(numbers, dates, ambiguous, date_format)
 
@@ -367,13 +376,10 @@ def clean(
     if profile.strip_whitespace:
         out = clean_text(out, profile.standardize_text)
         operations.append("clean_text")
-    # One scan counts rows and placeholders and measures what the remaining texts parse as.
     texts = text_columns(out)
-    cells = {c: F.when(~_token(c, profile.column_rules), F.col(f"`{c}`")) for c in texts if not c.endswith(FLAG_SUFFIX)}
     found = out.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(_token(c, profile.column_rules)).alias(f"tok{i}") for i, c in enumerate(texts)],
-        *(_type_rates(cells, profile.date_format) if profile.fix_types else []),
     ).first()
     rows_before = found["rows"]
     if texts:
@@ -381,7 +387,7 @@ def clean(
         out = null_tokens(out, profile.column_rules)
         operations.append("missing_tokens")
     if profile.fix_types:
-        plan = _type_plan(found, list(cells), profile.number_rate, DATE_RATE, profile.date_format)
+        plan = fit_types(out, profile.number_rate, DATE_RATE, profile.date_format)
         out = apply_types(out, plan)
         changes["types"] = {"numbers": plan.numbers, "dates": plan.dates, "ambiguous": plan.ambiguous}
         operations.append("fix_types")

@@ -201,3 +201,28 @@ def test_fact_numbers(spark):
     assert got == ["1,234,567", "1,234.50", "12.5", "3", "n/a", "-0.25"]
     short = values(df.select(numbers.short_number(F.col("v")).alias("t")), "t")
     assert short == ["1.23M", "1.23K", "12.50", "3.00", "N/A", "-0.25"]
+
+
+def test_each_text_is_parsed_once(spark):
+    rows = [(f"2024-01-{1 + i % 20:02d}T05:06:07+02:00", "03/04/2024 3:04 AM", "x" * 70) for i in range(60)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    rates = C._type_rates(df, df.columns, None)
+    plan = rates._jdf.queryExecution().optimizedPlan().toString()
+    # The shape of a text is worked out in one place, of the texts that are counted and not of the rows below.
+    below = plan[plan.rindex("Aggregate [i") :].split("\n", 1)[1]
+    assert plan.count("mask(") == 1 and "mask(" not in below
+    found = {r["i"]: (r["num"], r["date"], r["diff"]) for r in rates.collect()}
+    assert found == {0: (0.0, 1.0, 0.0), 1: (0.0, 1.0, 1.0), 2: (0.0, 0.0, None)}
+
+
+@pytest.mark.parametrize(
+    "written, instant",
+    [
+        ("2024-01-02 05:06:07 -0130", (2024, 1, 2, 6, 36, 7)), ("2024-01-02T05:06:07.25 Z", (2024, 1, 2, 5, 6, 7, 250000)), ("2024-01-02T05:06+02:00\n", (2024, 1, 2, 3, 6)),
+        ("2024-1-2 3:04 PM", (2024, 1, 2, 15, 4)), ("02-jan-2024", (2024, 1, 2)), ("2/1/24", (2024, 2, 1)), ("13.02.2024", (2024, 2, 13)), ("2024/01/02\n", None), ("2024-01-02 -0130", None),
+    ],
+)
+def test_zones_and_shapes(spark, written, instant):
+    df = spark.createDataFrame([(written,)], "d string")
+    got = df.select(dates.parse_date(F.col("d")).alias("v"), dates.date_facts(F.col("d"))["dated"].alias("dated")).first()
+    assert got["v"] == (datetime.datetime(*instant) if instant else None) and got["dated"] == (instant is not None)
