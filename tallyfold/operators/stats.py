@@ -21,7 +21,7 @@ from tallyfold.operators.relations import NAMES
 from tallyfold.operators.roles import ColumnFacts, category, column_facts, is_noise
 from tallyfold.operators.tools import correlations
 from tallyfold.plans import names as N
-from tallyfold.plans.ordering import attach, average_ranks
+from tallyfold.plans.ordering import attach, average_ranks, running_sums
 from tallyfold.plans.scale import DEFAULT, Scale, row_count
 from tallyfold.session import stored
 
@@ -107,7 +107,8 @@ def pearson_pairs(df: DataFrame, columns: list[str], least: float = PEARSON_LEAS
 def column_ranks(df: DataFrame, value: Column, rows: int, scale: Scale = DEFAULT) -> DataFrame:
     """``(value, n, avg_rank)`` of one expression."""
     freq = df.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return average_ranks(freq, [], rows, scale)
+    # Several chunks read the table for their cuts, their totals and their rows: it is counted once.
+    return average_ranks(freq if scale.chunks(rows) == 1 else stored(freq), [], rows, scale)
 
 
 def spearman_rho(df: DataFrame, columns: list[str], rows: int | None = None, scale: Scale = DEFAULT) -> DataFrame:
@@ -212,24 +213,18 @@ def kruskal_pairs(
 ) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H, its p-value and eta² per (category, number) pair.
 
-    Groups need two rows, pairs two groups and enough complete rows. Ranks are taken per pair over its
-    value/count table; hot values are single rows there."""
+    Groups need two rows, pairs two groups and enough complete rows. All categories of a number share one table of its values with their
+    labels, counted once; hot values are single rows there, and the ranks of all pairs are running sums of one pass over it."""
     rows = row_count(df) if rows is None else rows
-    counted = _group_cells(df, pairs, True).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.groupBy("pair", "a").agg(F.sum("n").alias("size"))
-    usable = sizes.filter("size >= 2")
-    kept = attach(counted, usable, ["pair", "a"]).drop("size")
-    values = kept.groupBy("pair", F.col("b").alias("value")).agg(F.sum("n").alias("n"))
-    ranks = average_ranks(values, ["pair"], rows, scale)
-    group_ranks = (
-        kept.join(ranks.select("pair", F.col("value").alias("b"), "avg_rank"), ["pair", "b"])
-        .groupBy("pair", "a")
-        .agg(F.sum(F.col("avg_rank") * F.col("n")).alias("rank_sum"), F.sum("n").alias("size"))
-    )
+    sizes = stored(_group_cells(df, pairs, True).groupBy("pair", "a").agg(F.count(F.lit(1)).alias("size")))
+    # One row per pair with groups of a single row.
+    lone = {r["pair"] for r in sizes.filter("size = 1").select("pair").distinct().collect()}
+    parts = []
+    for b in dict.fromkeys(b for _, b in pairs):
+        own = {i: a for i, (a, other) in enumerate(pairs) if other == b}
+        parts.append(_rank_sums(df, b, own, sizes, lone, scale))
+    group_ranks, ties = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
     total = F.col("total").cast("double")
-    ties = values.groupBy("pair").agg(
-        F.sum("n").alias("total"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie_sum")
-    )
     spread = group_ranks.groupBy("pair").agg(
         F.sum(F.pow("rank_sum", 2) / F.col("size")).alias("_ranks"), F.count(F.lit(1)).alias("groups")
     )
@@ -247,6 +242,38 @@ def kruskal_pairs(
     return named.join(eta_squared(df, pairs).drop("rows"), ["col_a", "col_b"])
 
 
+def _rank_sums(
+    df: DataFrame, number_column: str, own: dict[int, str], sizes: DataFrame, lone: set[int], scale: Scale
+) -> tuple[DataFrame, DataFrame]:
+    """Of one number and its categories, by pair: ``(pair, a, rank_sum, size)`` of groups of two rows and more, each ranked among
+    the rows of such groups, and ``(pair, total, tie_sum)``."""
+    labels = [F.col(f"`{a}`").cast("string").alias(f"a{i}") for i, a in own.items()]
+    cells = df.select(number(df, number_column).alias("value"), *labels).filter("value is not null")
+    counted = cells.groupBy("value", *[f"a{i}" for i in own]).agg(F.count(F.lit(1)).alias("n"))
+    for i in lone.intersection(own):
+        single = sizes.filter((F.col("pair") == i) & (F.col("size") == 1)).select(F.col("a").alias(f"a{i}"), F.lit(True).alias("_lone"))
+        counted = counted.join(single, f"a{i}", "left").withColumn(f"a{i}", F.when(F.col("_lone").isNull(), F.col(f"a{i}"))).drop("_lone")
+    counted = stored(counted)
+    used = {f"n{i}": F.sum(F.when(F.col(f"a{i}").isNotNull(), F.col("n")).otherwise(0)).alias(f"n{i}") for i in own}
+    values = stored(counted.groupBy("value").agg(*used.values()))
+    ranks = running_sums(values, [], ["value"], {f"r{i}": F.col(f"n{i}") for i in own}, row_count(values), scale)
+    ranks = ranks.select(F.col("value"), *[(F.col(f"r{i}") + (F.col(f"n{i}") + 1) / F.lit(2.0)).alias(f"r{i}") for i in own])
+    ranked = attach(counted, ranks, ["value"])
+    rows = [F.struct(F.lit(i).alias("pair"), F.col(f"a{i}").alias("a"), F.col(f"r{i}").alias("avg_rank"), F.col("n").alias("n")) for i in own]
+    group_ranks = (
+        ranked.select(F.inline(F.array(*rows)))
+        .filter("a is not null")
+        .groupBy("pair", "a")
+        .agg(F.sum(F.col("avg_rank") * F.col("n")).alias("rank_sum"), F.sum("n").alias("size"))
+    )
+    cubes = values.agg(
+        *[F.sum(f"n{i}").alias(f"t{i}") for i in own],
+        *[F.sum(F.pow(F.col(f"n{i}").cast("double"), 3) - F.col(f"n{i}")).alias(f"c{i}") for i in own],
+    )
+    totals = [F.struct(F.lit(i).alias("pair"), F.col(f"t{i}").alias("total"), F.col(f"c{i}").alias("tie_sum")) for i in own]
+    return group_ranks, cubes.select(F.inline(F.array(*totals)))
+
+
 def contingency(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Per pair: rows, table size, chi² with and without Yates correction, least expected-free cell count.
 

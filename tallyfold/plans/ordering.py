@@ -97,27 +97,37 @@ def running_sum(
     scale: Scale = DEFAULT,
 ) -> DataFrame:
     """Adds the sum of ``weight`` over the earlier rows of the same key, the row itself left out."""
-    weighted = df.withColumn("_rs_w", weight)
+    return running_sums(df, keys, order_by, {output: weight}, rows, scale)
+
+
+def running_sums(
+    df: DataFrame, keys: list[str], order_by: list[str], weights: dict[str, Column], rows: int, scale: Scale = DEFAULT
+) -> DataFrame:
+    """``running_sum`` of several weights, by output name, in one pass over the order."""
+    outputs = list(weights)
+    weighted = df.withColumns({f"_rs_w{i}": w for i, w in enumerate(weights.values())})
     chunked = with_chunk(weighted, order_by, rows, scale)
     inside = (
         Window.partitionBy(*[F.col(f"`{k}`") for k in keys], CHUNK)
         .orderBy(*_order(order_by))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = F.coalesce(F.sum("_rs_w").over(inside), F.lit(0))
+    local = [F.coalesce(F.sum(f"_rs_w{i}").over(inside), F.lit(0)) for i in range(len(outputs))]
+    scratch = [CHUNK, *[f"{p}{i}" for i in range(len(outputs)) for p in ("_rs_w", "_rs_before", "_rs_local")]]
     if scale.chunks(rows) == 1:  # no earlier chunk to add
-        return chunked.withColumn(output, local).drop("_rs_w", CHUNK)
-    totals = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(F.sum("_rs_w").alias("_rs_t"))
+        return chunked.withColumns(dict(zip(outputs, local))).drop(*scratch)
+    totals = chunked.groupBy(*[F.col(f"`{k}`") for k in keys], CHUNK).agg(
+        *[F.sum(f"_rs_w{i}").alias(f"_rs_t{i}") for i in range(len(outputs))]
+    )
     across = (
         Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
         .orderBy(CHUNK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = totals.select(
-        *[F.col(f"`{k}`") for k in keys], CHUNK, F.coalesce(F.sum("_rs_t").over(across), F.lit(0)).alias("_rs_before")
-    )
-    joined = attach(chunked.withColumn("_rs_local", local), offsets, [*keys, CHUNK])
-    return joined.withColumn(output, F.col("_rs_before") + F.col("_rs_local")).drop("_rs_w", "_rs_t", "_rs_before", "_rs_local", CHUNK)
+    before = [F.coalesce(F.sum(f"_rs_t{i}").over(across), F.lit(0)).alias(f"_rs_before{i}") for i in range(len(outputs))]
+    offsets = totals.select(*[F.col(f"`{k}`") for k in keys], CHUNK, *before)
+    joined = attach(chunked.withColumns({f"_rs_local{i}": x for i, x in enumerate(local)}), offsets, [*keys, CHUNK])
+    return joined.withColumns({o: F.col(f"_rs_before{i}") + F.col(f"_rs_local{i}") for i, o in enumerate(outputs)}).drop(*scratch)
 
 
 def with_position(

@@ -165,3 +165,25 @@ def test_merge_is_symmetric_in_pairs(spark):
     assert first == [("correlation", 0.8), ("predictive", 0.4)]
     later = [(r["type"], r["strength"]) for r in relations.merge_relationships(one, two, later_wins=True).collect()]
     assert later == [("correlation", 0.9), ("correlation", 0.8)]
+
+
+def test_kruskal_counts_each_number_once(spark):
+    # Gaps in either column, a group of one row, a category with two labels, ties: against ranks taken per pair.
+    rows = [(["a", "b", "c", None][i % 4], "xy"[i % 2] if i else "lone", float(i * i % 23) if i % 7 else None, float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, h string, v double, w double")
+    pairs = [("g", "v"), ("h", "v"), ("g", "w"), ("h", "w")]
+    frame = df.toPandas()
+    found = {(r.col_a, r.col_b): r for r in stats.kruskal_pairs(df, pairs).collect()}
+    assert found.keys() == set(pairs)
+    for a, b in pairs:
+        part = frame[[a, b]].dropna()
+        groups = [x for _, x in part.groupby(a)[b] if len(x) > 1]
+        ranks = pd.concat(groups).rank()
+        n, t = len(ranks), pd.concat(groups).value_counts()
+        h = 12 / (n * (n + 1)) * sum(ranks[g.index].sum() ** 2 / len(g) for g in groups) - 3 * (n + 1)
+        assert found[a, b].groups == len(groups)
+        assert found[a, b].statistic == pytest.approx(h / (1 - (t**3 - t).sum() / (n**3 - n)))
+    # The table of a number is counted for all its categories together: no row is copied for each of them before it is shuffled.
+    sums = stats._rank_sums(df, "v", {0: "g", 1: "h"}, stats._group_cells(df, pairs, True).groupBy("pair", "a").count().withColumnRenamed("count", "size"), set(), Scale())
+    plan = sums[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Join")
