@@ -8,9 +8,9 @@ allows, over the words of the longer text. Pairs whose shingle sets have a Jacca
 order reach that as well; two shingles a sketch and 24 sketches miss such a pair once in 10^10 times, one of 0.5 once in a thousand.
 
 Documents of the same words form a group first, so copies cost one row. Every member of a bucket is aligned with the bucket's leader, and the links
-make classes. What is left are pairs of different classes in one bucket. Of two linked documents of ``n`` words and fewer, 0.8 n words are common, so if each has
-its words ordered from rare to frequent, they meet in one of the first ``n - 0.8 n + 1``: each document of a mixed bucket is filed once under these words, and
-those of different classes that meet there, agree in a sketch, are of fitting lengths and, by maps of
+make classes. What is left are pairs of different classes in one bucket. In a bucket of few members (``NARROW``) each meets each. In wider ones: of two linked documents of ``n`` words and fewer, 0.8 n words are common, so if each has
+its words ordered from rare to frequent, they meet in one of the first ``n - 0.8 n + 1``: each document of a wide mixed bucket is filed once under these words, and
+those of different classes meet there. Of either kind, those that agree in a sketch, are of fitting lengths and, by maps of
 their words, can have enough of them in common are aligned. No link is lost, the words of a passage that many
 share bring nobody together, and a class is never paired with itself. Two passes of alignment are the whole work, however large a group is.
 """
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm import words as W
@@ -31,6 +31,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 TAKEN = 2
+#: Members up to which all pairs of a bucket are compared by lengths and word maps; more go by their rare words, whose rows repeat a document's facts under each
+#: word. Either way gives the same links.
+NARROW = 64
 #: Members outside the largest class of a word that one task pairs; the others of the word are repeated for each such part.
 PART = 1024
 #: Buckets of the table of word counts that rare and frequent are told apart by; any counts give the same links.
@@ -39,6 +42,10 @@ COUNTED = 1 << 18
 CARRIED = 256
 #: Bits of the map of a text's words that bounds what two texts can have in common.
 BITS = 2048
+#: Texts of ``x_n`` and ``y_n`` words that could reach the bound by their lengths, and by what their maps differ in.
+_LENGTHS = f"least(x_n, y_n) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)"
+_MAPS = f"""x_n + y_n - aggregate(zip_with(x_bits, y_bits, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c)
+    >= 2 * ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)"""
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -102,6 +109,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "doc_id": part.column("doc_id").filter(present),
                     "mark": part.column("mark").filter(present),
                     "content": pa.array([x.tobytes() for x in content], pa.binary()),
+                    "n": pa.array(counts[some], pa.int32()),
                     "keys": pa.FixedSizeListArray.from_arrays(keys.ravel().view(np.int64), SKETCHES).cast(pa.list_(pa.int64())),
                 }
             )
@@ -232,7 +240,8 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     {
                         "rep": part.column("rep"),
                         "class_id": part.column("class_id"),
-                        "keys": part.column("keys"),
+                        "near": part.column("near"),
+                        "wide": part.column("wide"),
                         "n": pa.array(found.counts(), pa.int32()),
                         "words": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
                         "bits": pa.FixedSizeListArray.from_arrays(pa.array(maps), BITS // 64).cast(pa.list_(pa.int64())),
@@ -243,23 +252,30 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rep``, ``class_id`` of the members of buckets that hold several classes, and the keys of these buckets."""
+    """``rep``, ``class_id`` of the members of buckets that hold several classes, and the keys of these buckets: ``near`` those of few members, ``wide`` the others."""
     named = members.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    ends = named.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    named = named.join(spread(ends.filter("low <> high").select("key")), "key")
-    return named.groupBy("rep", "class_id").agg(F.collect_set("key").alias("keys"))
+    ends = named.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("m"))
+    named = named.join(spread(ends.filter("low <> high").select("key", (F.col("m") <= NARROW).alias("few"))), "key")
+    return named.groupBy("rep", "class_id").agg(F.collect_set(F.expr("IF(few, key, NULL)")).alias("near"), F.collect_set(F.expr("IF(few, NULL, key)")).alias("wide"))
 
 
-def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """Pairs (a, b) of documents in one mixed bucket that lie in different classes, may be linked, and were not aligned before. Under each word members
-    outside the largest class meet all of other classes; a pair is met at the rarest word that both are filed under."""
-    own = stored(texts.join(_mixed(members, classes), F.col("doc_id") == F.col("rep")).select("rep", "class_id", "keys", "text"))
-    # A row per bucket of the table, a fixed number.
-    seen = own.select("text").mapInArrow(_token_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTED, np.int64)
-    counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
-    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, keys array<long>, n int, words array<long>, bits array<long>"))
+def _held(side: str, *columns: str) -> list[Column]:
+    return [F.col(c).alias(f"{side}_{c}") for c in columns]
+
+
+def _in_narrow(filed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one narrow bucket, of different classes, that lengths and maps do not rule out. A member meets fewer than ``NARROW`` others."""
+    rows = filed.select(F.explode("near").alias("key"), "rep", "class_id", "n", "bits")
+    x, y = (rows.select(F.col("key").alias(f"{s}_key"), *_held(s, "rep", "class_id", "n", "bits")) for s in "xy")
+    met = x.join(y, F.expr(f"x_key = y_key AND x_rep < y_rep AND x_class_id <> y_class_id AND {_LENGTHS} AND {_MAPS}"))
+    return met.selectExpr("x_rep AS a", "y_rep AS b")
+
+
+def _in_wide(filed: DataFrame) -> DataFrame:
+    """The same for wide buckets. Under each word members outside the largest class meet all of other classes; a pair is met at the rarest word that both are
+    filed under."""
+    filed = filed.filter("size(wide) > 0").withColumnRenamed("wide", "keys")
     flat = filed.select("rep", "class_id", F.posexplode("words").alias("place", "word"))
     pieces = flat.groupBy("word", "class_id").agg(F.count("*").alias("m"))
     main = F.max_by("class_id", F.struct("m", "class_id")).alias("main")
@@ -267,39 +283,46 @@ def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: Dat
     pieces = pieces.select("word", "main", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     # Words of one class bring nobody together; a row carries the rarer ones of the others.
     kept = flat.join(spread(pieces), "word").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "word", "main", "parts"))).alias("kept"))
-    rows = kept.join(filed.drop("words"), "rep").select("rep", "class_id", "keys", "n", "bits", "kept", F.posexplode("kept").alias("nth", "own"))
+    rows = kept.join(filed.drop("words", "near"), "rep").select("rep", "class_id", "keys", "n", "bits", "kept", F.posexplode("kept").alias("nth", "own"))
     before = F.slice("kept.word", 1, F.least("nth", F.lit(CARRIED)))
     rows = stored(rows.select("own.word", "own.main", "own.parts", "own.place", "rep", "class_id", "keys", "n", "bits", before.alias("before")))
-    held = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("rep", "class_id", "keys", "n", "place", "bits", "before")]
-    some = rows.filter("class_id <> main").select("word", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), *held("x"))
-    others = rows.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", *held("y"))
-    fits = f"""x_class_id <> y_class_id AND (y_class_id = main OR x_class_id < y_class_id)
-        AND least(x_n, y_n) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
+    held = ("rep", "class_id", "keys", "n", "place", "bits", "before")
+    some = rows.filter("class_id <> main").select(F.col("word").alias("x_word"), F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("x_part"), *_held("x", *held))
+    others = rows.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", *_held("y", *held))
+    fits = f"""x_class_id <> y_class_id AND (y_class_id = main OR x_class_id < y_class_id) AND {_LENGTHS}
         AND least(x_n - x_place, y_n - y_place) >= ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)
-        AND arrays_overlap(x_keys, y_keys) AND NOT arrays_overlap(x_before, y_before)
-        AND x_n + y_n - aggregate(zip_with(x_bits, y_bits, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c) >= 2 * ceil(greatest(x_n, y_n) * {SIMILARITY}D - 1e-9D)"""
-    some = some.withColumnsRenamed({"word": "x_word", "part": "x_part"})
+        AND arrays_overlap(x_keys, y_keys) AND NOT arrays_overlap(x_before, y_before) AND {_MAPS}"""
     met = some.join(others, F.expr(f"x_word = word AND x_part = part AND {fits}"))
-    pairs = met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+
+
+def _across(members: DataFrame, classes: DataFrame, tried: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b) of documents in one mixed bucket that lie in different classes, may be linked, and were not aligned before."""
+    own = stored(texts.join(_mixed(members, classes), F.col("doc_id") == F.col("rep")).select("rep", "class_id", "near", "wide", "text"))
+    # A row per bucket of the table, a fixed number.
+    wide = own.filter("size(wide) > 0")
+    seen = wide.select("text").mapInArrow(_token_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTED, np.int64)
+    counts[seen.column("bucket").to_numpy()] = seen.column("n").to_numpy()
+    filed = stored(own.mapInArrow(_filed(counts), f"rep {kind}, class_id {kind}, near array<long>, wide array<long>, n int, words array<long>, bits array<long>"))
+    pairs = _in_narrow(filed).unionByName(_in_wide(filed)).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node``, ``class_id``: the least node that links lead to. Each round ties every node's larger neighbours, then its
-    smaller ones, to the least of them, until nothing changes; a round is one stored table."""
+    """``node``, ``class_id``: the least node that links lead to. Each round, one stored table, ties every node's larger neighbours, then its
+    smaller ones, to the least of them, until all that is left are stars: no node is tied to two, none that others are tied to is tied itself."""
     edges = stored(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct())
-    mark = None
     while True:
+        ends = edges.selectExpr("u AS node", "1 AS up", "0 AS down").unionByName(edges.selectExpr("v AS node", "0 AS up", "1 AS down"))
+        if empty(ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1")):
+            break
         around = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(around.filter("v > u").join(spread(least), "u").selectExpr("v AS u", "m AS v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(spread(least), "u").selectExpr("v AS u", "m AS v").filter("u <> v")
-        edges = stored(small.unionByName(least.selectExpr("u", "m AS v")).distinct())
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if new == mark:
-            break
-        mark = new
+        large = around.filter("v > u").join(spread(least), "u").selectExpr("v AS u", "m AS v")
+        least = F.min("v").over(Window.partitionBy("u"))
+        small = large.withColumn("m", least).select(F.expr("IF(v = m, u, v)").alias("u"), F.col("m").alias("v"))
+        edges = stored(small.distinct())
     return edges.selectExpr("u AS node", "v AS class_id").unionByName(edges.selectExpr("v AS node", "v AS class_id")).distinct()
 
 
@@ -314,15 +337,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text")
     whole = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
-    found = whole.mapInArrow(_sketches, f"doc_id {kind}, mark long, content binary, keys array<long>")
-    found = stored(found.groupBy("doc_id").agg(F.min(F.struct("content", "mark", "keys")).alias("x")).select("doc_id", "x.*"))
-    groups = found.groupBy("content").agg(F.min(F.struct("doc_id", "mark", "keys")).alias("x"))
-    groups = stored(groups.select("content", F.col("x.doc_id").alias("rep"), "x.mark", "x.keys"))
-    members = groups.select("rep", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(members.join(spread(sizes), "key").select("key", "rep", "leader"))
-    pairs = stored(members.filter("rep <> leader").selectExpr("leader AS a", "rep AS b").distinct())
-    needed = pairs.selectExpr("a AS rep").unionByName(pairs.selectExpr("b AS rep")).distinct()
+    found = whole.mapInArrow(_sketches, f"doc_id {kind}, mark long, content binary, n int, keys array<long>")
+    found = stored(found.groupBy("doc_id").agg(F.min(F.struct("content", "mark", "n", "keys")).alias("x")).select("doc_id", "x.*"))
+    groups = found.groupBy("content").agg(F.min(F.struct("doc_id", "mark", "n", "keys")).alias("x"))
+    groups = stored(groups.select("content", F.col("x.doc_id").alias("rep"), "x.mark", "x.n", "x.keys"))
+    members = groups.select("rep", F.col("n").alias("y_n"), F.explode("keys").alias("key"))
+    leaders = members.groupBy("key").agg(F.min(F.struct("rep", "y_n")).alias("x"), F.count("*").alias("m")).filter("m > 1")
+    leaders = leaders.select("key", F.col("x.rep").alias("leader"), F.col("x.y_n").alias("x_n"))
+    members = stored(members.join(spread(leaders), "key").select("key", "rep", "leader", "x_n", "y_n"))
+    pairs = stored(members.filter(f"rep <> leader AND {_LENGTHS}").selectExpr("leader AS a", "rep AS b").distinct())
+    needed = members.select("rep").distinct()
     needed = groups.select("rep", "mark").join(needed, "rep").withColumnRenamed("rep", "doc_id")
     # Ids in candidate pairs grow with the corpus: sorted and merged at every size, never broadcast.
     texts = stored(whole.join(needed.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).drop("mark"))

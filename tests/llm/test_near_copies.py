@@ -140,3 +140,59 @@ def test_hot_keys_can_be_split(spark):
     plan = rows.hint("merge").join(M.spread(rows.groupBy("key").count()), "key")._jdf.queryExecution().executedPlan().toString()
     # An exchange of its own lies between the join and the aggregate.
     assert "REPARTITION_BY_COL" in plan and plan.index("ENSURE_REQUIREMENTS") < plan.index("REPARTITION_BY_COL") < plan.index("HashAggregate")
+
+
+def mixed_buckets():
+    """Documents that share a passage, in small groups and in a large one, each group with edited copies of its members."""
+    texts = []
+    for group, members in enumerate((3, 4, 5, 40)):
+        passage = prose(40, 500 + group)
+        for i in range(members):
+            text = f"{passage} {prose(30, 600 + 50 * group + i)}"
+            texts += [text, edited(text, 0.03, i)] if i % 2 else [text]
+    return texts
+
+
+def test_narrow_and_wide_buckets_give_the_same_links(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(mixed_buckets())), "doc_id long, text string").repartition(3)
+    found = []
+    for most in (0, M.NARROW, 10**6):
+        monkeypatch.setattr(M, "NARROW", most)
+        found.append(sorted(tuple(r) for r in M.near_copies(docs).collect()))
+    assert found[0] == found[1] == found[2]
+    assert len({r[1] for r in found[0]}) < len(found[0])
+
+
+def test_members_of_narrow_buckets_have_no_rows_under_words(spark, monkeypatch):
+    tables, plain = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df: tables.append(plain(df)) or tables[-1])
+    docs = spark.createDataFrame(list(enumerate(mixed_buckets()[:17])), "doc_id long, text string").repartition(3)
+    M.near_copies(docs).collect()
+    filed = next(t for t in tables if "words" in t.columns)
+    assert filed.count() > 0
+    assert [t.count() for t in tables if "before" in t.columns] == [0]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    tables, plain = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df: tables.append(1) or plain(df))
+    stars = spark.createDataFrame([(10 * i, 10 * i + j) for i in range(5) for j in range(1, 9)], "a long, b long")
+    assert {r.node: r.class_id for r in M.components(stars).collect()} == {10 * i + j: 10 * i for i in range(5) for j in range(9)}
+    assert len(tables) == 1
+
+
+def test_components_against_union_by_hand(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(i, 149 - i) for i in range(20)] + [(7, 7)]
+    parent = list(range(150))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    found = M.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.node, r.class_id) for r in found) == sorted((i, root(i)) for i in nodes)
