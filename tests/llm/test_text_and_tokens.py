@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyfold.llm import attribution, chat, density, multi_index
@@ -136,6 +137,40 @@ def test_chat_examples_and_odd_turns(spark, monkeypatch):
     assert chat.digests(chat.format_turns(turns.limit(0))).collect() == []
 
 
+def test_every_reply_is_written_with_its_whole_context(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 2)
+    monkeypatch.setattr(chat, "WRITTEN", 100)
+    rows = [(c, i, ("user", "assistant", "assistant")[i % 3], f"<|im_end|> {c} é🙂\n{i}") for c, n in ((1, 40), (2, 3), (3, 1), (None, 7)) for i in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    written = chat.format_turns(turns)
+    whole = {}
+    for r in sorted(written.collect(), key=lambda r: (r.conv_id or 0, r.start)):
+        whole[r.conv_id] = whole.get(r.conv_id, []) + [r]
+    found = chat.examples(written).collect()
+    replies = {(r.conv_id, r.example): r for r in found if r.example is not None}
+    assert len(replies) == sum(x[2] == "assistant" for x in rows)
+    for c, parts in whole.items():
+        text, last, n = "", 0, 0
+        for r in parts:
+            text += r.formatted
+            if r.example is not None:
+                e = replies[c, r.example]
+                assert e.text == text and e.since == last and text[e.loss_start : e.loss_end] == chat._TURN.fullmatch(r.formatted)[2]
+                last, n = len(text), n + 1
+        rest = [e for e in found if e.conv_id == c and e.example is None]
+        assert [e.text for e in rest] == ([text] if len(text) > last else []) and n == sum(e.conv_id == c for e in replies.values())
+
+
+def test_the_digests_read_the_contexts(spark, monkeypatch):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"text {i}") for i in range(8)]
+    written = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    plain = chat.examples
+    # A context that is not what the example before it says is found out.
+    monkeypatch.setattr(chat, "examples", lambda w: plain(w).withColumn("text", F.expr("IF(example = 2, replace(text, 'text 1', 'text x'), text)")))
+    with pytest.raises(Exception, match="does not continue"):
+        chat.digests(written).collect()
+
+
 def brute(rows, k=20):
     width = 4
     good = {(i, tuple(v)) for i, v in rows if i is not None and v and len(v) == width and all(x is not None and np.isfinite(x) for x in v) and any(v)}
