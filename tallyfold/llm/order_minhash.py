@@ -33,7 +33,7 @@ SKETCHES = 24
 TAKEN = 2
 #: Members up to which all pairs of a bucket are compared by lengths and word maps; more go by their rare words, whose rows repeat a document's facts under each
 #: word. Either way gives the same links.
-NARROW = 64
+NARROW = 256
 #: Members outside the largest class of a word that one task pairs; the others of the word are repeated for each such part.
 PART = 1024
 #: Buckets of the table of word counts that rare and frequent are told apart by; any counts give the same links.
@@ -219,6 +219,13 @@ def rare_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order[: hashes.size - int(np.ceil(hashes.size * SIMILARITY - 1e-9)) + 1]]
 
 
+def shared_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of the rare words that another text may hold: a word counted once brings nobody together. Places among them are no later than among all, so
+    bounds by places stay bounds."""
+    rare = rare_words(hashes, counts)
+    return rare[counts[(rare % np.uint64(COUNTED)).astype(np.int64)] != 1]
+
+
 def word_map(hashes: np.ndarray) -> np.ndarray:
     """A bit per word and occurrence number. Two maps differ in no more bits than the texts in words."""
     held = np.zeros(BITS, np.uint8)
@@ -231,7 +238,7 @@ def _filed(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             for part in slices(batch, "text"):
                 found = W.read(raw_texts(part.column("text")))
-                words = [rare_words(found.hashes[a:b], counts).view(np.int64) for a, b in zip(found.first[:-1], found.first[1:])]
+                words = [shared_words(found.hashes[a:b], counts).view(np.int64) for a, b in zip(found.first[:-1], found.first[1:])]
                 at = np.cumsum([0, *map(len, words)])
                 flat = np.concatenate(words) if words else np.empty(0, np.int64)
                 maps = [word_map(found.hashes[a:b]) for a, b in zip(found.first[:-1], found.first[1:])]

@@ -196,3 +196,13 @@ def test_components_against_union_by_hand(spark):
     nodes = {x for a, b in links if a != b for x in (a, b)}
     found = M.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r.node, r.class_id) for r in found) == sorted((i, root(i)) for i in nodes)
+
+
+def test_words_of_one_text_are_not_filed():
+    x, y = (W.read([t.encode()]).hashes for t in (prose(50, 1) + " only here", prose(50, 1) + " or there"))
+    counts = np.zeros(M.COUNTED, np.int64)
+    for h in (x, y):
+        np.add.at(counts, M._tokens(h)[1], 1)
+    left, right = M.shared_words(x, counts), M.shared_words(y, counts)
+    assert set(left) & set(right) == set(M.rare_words(x, counts)) & set(M.rare_words(y, counts)) != set()
+    assert len(left) < len(M.rare_words(x, counts))
