@@ -97,6 +97,11 @@ def test_no_python_in_the_plan(odd, labels):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
+def test_plan_does_not_spell_out_the_tables(odd, labels):
+    plan = Q.kept_documents(odd, labels)._jdf.queryExecution().toString()
+    assert len(plan) < 10 * Q.BUCKETS
+
+
 def test_clean_documents_stay_and_junk_goes(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
