@@ -25,10 +25,10 @@ from tallyfold.llm.shared import slices
 LENGTH = 4096
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-_WORD = re.compile(r"[^\x20\t-\r]+")
 #: Latin letters, then ASCII punctuation (no apostrophe, which may join letters): two units of the vocabulary at most.
 _TWO = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]_{|}~]*)")
-_HELD = 1_000_000
+#: Words that a worker process holds.
+_HELD = 200_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -40,7 +40,8 @@ def vocabulary(name: str = VOCABULARY) -> str:
 class Encoder:
     """Ids of whole texts. The vocabulary never joins ids across white space, so each different word between ASCII white space is
     encoded once and its ids are put in place wherever it stands. Of most words, letters and then punctuation, the two
-    parts are encoded once each as well. Words are forgotten when there are too many of them."""
+    parts are words of their own, encoded once each as well. A fixed number of words is held: when there are more, those not met again
+    since the last time go. A slice of texts adds its own words before that."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -50,61 +51,72 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Ids of parts that are one unit to the vocabulary, so each ends with the first id that ends a unit."""
+        # Places 0 and 1 are no words: nothing, and the end of a text.
+        self.known: dict[bytes, int] = {b"": 0, b" ": 1}
+        self.flat, self.start = np.array([END], np.uint32), np.array([0, 0, 1], np.int64)
+        self.met = np.ones(2, bool)
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words, one after the other, and the place after each."""
+        first = self.start[which]
+        size = self.start[which + 1] - first
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if ends.size else 0
+        return self.flat[np.arange(total) + np.repeat(first - (ends - size), size)], ends
+
+    def _add(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.start = np.concatenate([self.start, self.start[-1] + ends])
+        self.flat = np.concatenate([self.flat, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(words), bool)])
+
+    def _forget(self) -> None:
+        """Words met again stay, half of what is held at most."""
+        self.met[:2] = True
+        stay = np.flatnonzero(self.met)[: _HELD // 2]
+        words = list(self.known)
+        self.known = {words[i]: place for place, i in enumerate(stay.tolist())}
+        self.flat, ends = self._gather(stay)
+        self.start = np.concatenate([np.zeros(1, np.int64), ends])
+        self.met = np.zeros(stay.size, bool)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        two = {w: (m[1].lower().encode(), m[2].encode()) for w in fresh if (m := _TWO.fullmatch(w.decode()))}
+        parts = list(set(chain.from_iterable(two.values())).difference(self.known))
+        # Parts are one unit to the vocabulary, so each ends with the first id that ends a unit.
         for a in range(0, len(parts), 2000):
             some = parts[a : a + 2000]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            assert cuts.size == len(some)
-            whole, first = ids.tobytes(), 0
-            for part, end in zip(some, cuts.tolist()):
-                self.parts[part] = whole[first:end]
-                first = end
-
-    def _learn(self, fresh: list[str]) -> None:
-        found, parts = {}, self.parts
-        two = [(m[0], m[1].lower(), m[2]) for m in map(_TWO.fullmatch, fresh) if m]
-        unknown = {x for _, x, _ in two}.union(y for _, _, y in two).difference(parts)
-        self._learn_parts(list(unknown))
-        for word, x, y in two:
-            found[word] = parts[x] + parts[y]
-        rest = [w for w in fresh if w not in found]
-        if rest:
-            many = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            found |= zip(rest, (np.array(x.ids, "<u4").tobytes() for x in many))
-        self.known.update(zip(found, range(len(self.known), len(self.known) + len(found))))
-        sizes = np.fromiter(map(len, found.values()), np.int64, len(found)) // 4
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found.values()), "<u4")])
+            ids = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            assert ends.size == len(some)
+            self._add(some, ids, ends)
+        rest = [w for w in fresh if w not in two]
+        for a in range(0, len(rest), 2000):
+            some = rest[a : a + 2000]
+            many = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            self._add(some, np.array(list(chain.from_iterable(many)), np.uint32), np.cumsum([len(x) for x in many]))
+        whole = [w for w in two if w not in self.known]
+        if whole:
+            ids, ends = self._gather(np.array([self.known[x] for w in whole for x in two[w]], np.int64))
+            self._add(whole, ids, ends[1::2])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > _HELD:
-            self.forget()
-        words = [_WORD.findall(t) for t in texts]
+            self._forget()
+        before = len(self.known)
+        # ``bytes.split`` cuts at ASCII white space, no more and no less.
+        words = [t.encode().split() for t in texts]
         fresh = set().union(*words).difference(self.known)
         if fresh:
             self._learn(list(fresh))
-        out = []
         for ws in words:
-            which = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            first = self.start[which]
-            size = self.start[which + 1] - first
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if ends.size else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.arange(total) + np.repeat(first - (ends - size), size)]
-            ids[total] = END
-            out.append(ids)
-        return out
+            ws.append(b" ")
+        ends = np.cumsum([len(ws) for ws in words])
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+        self.met[which[which < before]] = True
+        ids, after = self._gather(which)
+        return np.split(ids, after[ends[:-1] - 1]) if texts else []
 
 
 @cache
@@ -218,7 +230,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_id
         kind = None
         for batch in batches:
             kind = batch.column("doc_id").type
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 done: list[tuple] = []
                 keys = part.column("doc_id").to_pylist()
                 for doc, ids in zip(keys, coder.encode([t or "" for t in part.column("text").to_pylist()])):
