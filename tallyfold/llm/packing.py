@@ -28,7 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Latin letters, then ASCII punctuation (no apostrophe, which may join letters): two units of the vocabulary at most.
 _TWO = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]_{|}~]*)")
 #: Words that a worker process holds.
-_HELD = 200_000
+_HELD = 400_000
 
 
 def vocabulary(name: str = VOCABULARY) -> str:

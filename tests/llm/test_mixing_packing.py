@@ -1,7 +1,7 @@
 """Mixing and packing: totals, limits, round trips."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -105,6 +105,23 @@ def test_ids_equal_those_of_whole_texts():
     assert [x.tolist() for x in coder.encode(texts)] == encoded(texts)
 
 
+def test_words_held_stay_few_and_words_met_again_stay(monkeypatch):
+    """A worker's memory does not follow its input: of many words, each met once, few are held, and a word of every text is learned once."""
+    coder, learned = packing.Encoder(packing.vocabulary()), Counter()
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda fresh: (learned.update(w if isinstance(w, str) else w.decode() for w in fresh), learn(fresh))[1])
+    for k in range(90):
+        texts = [" ".join(["the", *(f"w{k}n{i}" for i in range(5000))])]
+        assert [x.size > 5000 for x in coder.encode(texts)] == [True]
+        assert len(coder.known) <= 420_000
+    assert learned["the"] == 1
+    monkeypatch.setattr(packing, "_HELD", 40)
+    texts = [f"the same É{'xyz'[k % 3] * k}, {k}'s Same. x{k}" for k in range(60)] + ["", "\x1c \x0b"]
+    found = [x.tolist() for t in texts for x in coder.encode([t])]
+    assert found == encoded(texts) and len(coder.known) <= 60
+    assert learned["the"] == learned["same"] == 1
+
+
 def test_pieces_give_the_documents_back(odd, none):
     rows = packing.pack(odd.repartition(3)).collect()
     sequences, documents = defaultdict(list), defaultdict(list)
