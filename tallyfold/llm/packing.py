@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -81,25 +81,36 @@ class Encoder:
         self.met = np.zeros(stay.size, bool)
 
     def _learn(self, fresh: list[bytes]) -> None:
-        two = {w: (m[1].lower().encode(), m[2].encode()) for w in fresh if (m := _TWO.fullmatch(w.decode()))}
-        parts = list(set(chain.from_iterable(two.values())).difference(self.known))
+        # Lists of plain strings, not a tuple a word: Python's collector would go through those again and again.
+        split = list(map(_TWO.fullmatch, b"\n".join(fresh).decode().split("\n")))
+        two = [w for w, m in zip(fresh, split) if m]
+        left, right = ["\n".join([m[k] for m in split if m]).lower().encode().split(b"\n") for k in (1, 2)]
+        parts = {*left, *right}.difference(self.known)
+        # Punctuation may be a part and a word of its own.
+        rest = [w for w, m in zip(fresh, split) if not m and w not in parts]
+        parts = list(parts)
+        del split
+        found, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         # Parts are one unit to the vocabulary, so each ends with the first id that ends a unit.
         for a in range(0, len(parts), 2000):
             some = parts[a : a + 2000]
             ids = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids
-            ids = np.array(ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            assert ends.size == len(some)
-            self._add(some, ids, ends)
-        rest = [w for w in fresh if w not in two]
+            found.append(np.array(ids, np.uint32))
+            cuts = np.flatnonzero(self.ends[found[-1]]) + 1
+            assert cuts.size == len(some)
+            sizes.append(np.diff(cuts, prepend=0))
         for a in range(0, len(rest), 2000):
-            some = rest[a : a + 2000]
-            many = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            self._add(some, np.array(list(chain.from_iterable(many)), np.uint32), np.cumsum([len(x) for x in many]))
-        whole = [w for w in two if w not in self.known]
-        if whole:
-            ids, ends = self._gather(np.array([self.known[x] for w in whole for x in two[w]], np.int64))
-            self._add(whole, ids, ends[1::2])
+            many = self.tokenizer.encode_batch_fast([w.decode() for w in rest[a : a + 2000]], add_special_tokens=False)
+            many = [x.ids for x in many]
+            found.append(np.array(list(chain.from_iterable(many)), np.uint32))
+            sizes.append(np.array(list(map(len, many)), np.int64))
+        self._add(parts + rest, np.concatenate(found), np.cumsum(np.concatenate(sizes)))
+        known = self.known
+        is_new = [w not in known for w in two]
+        two, left, right = [list(compress(x, is_new)) for x in (two, left, right)]
+        if two:
+            ids, cuts = self._gather(np.fromiter(map(known.__getitem__, chain.from_iterable(zip(left, right))), np.int64))
+            self._add(two, ids, cuts[1::2])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > _HELD:

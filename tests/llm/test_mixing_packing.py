@@ -105,6 +105,13 @@ def test_ids_equal_those_of_whole_texts():
     assert [x.tolist() for x in coder.encode(texts)] == encoded(texts)
 
 
+def test_punctuation_that_is_a_word_and_a_part_of_one():
+    texts = ["foo, , Bar. . -- baz--", "zeta, 5's , . eta--"]
+    coder = packing.Encoder(packing.vocabulary())
+    assert [x.tolist() for t in texts for x in coder.encode([t])] == encoded(texts)
+    assert len(coder.known) == coder.start.size - 1
+
+
 def test_words_held_stay_few_and_words_met_again_stay(monkeypatch):
     """A worker's memory does not follow its input: of many words, each met once, few are held, and a word of every text is learned once."""
     coder, learned = packing.Encoder(packing.vocabulary()), Counter()
